@@ -14,11 +14,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailcast.llm.buckets import link, shared_only
 from tailcast.llm.common import discard, mix, saved, shingle_sets, steps
-from tailcast.llm.graph import components
 
 _SIGNED = "id long, n_shingles long, digest string, u array<long>, v array<long>"
 
@@ -79,6 +79,36 @@ def _sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out + (shingle_sets(part, shingle) if part else [])
 
 
+def across_components(placed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of (id, component) in different components that may be linked; every
+    linked pair is among them.
+
+    A prefix join: with each text's shingles in one order, rarest first, two texts with
+    an overlap of o share one of the first n - o + 1 of each, and what follows their
+    first common shingle must leave room for the rest of the overlap. Edited shingles
+    are rare and come first, so that copies apart by their edits never meet.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts_ in steps(batches, "text"):
+            sets = shingle_sets(texts_, shingle)
+            names = pa.array([hashlib.blake2b(s.tobytes(), digest_size=8).hexdigest() for s in sets])
+            values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("component"), names, values], names=["id", "component", "set", "s"])
+
+    sets = texts.join(placed, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, set string, s array<long>")
+    each = sets.select("id", "component", "set", F.size("s").cast("long").alias("n"), F.explode("s").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("often"))
+    first = Window.partitionBy("id", "set").orderBy("often", "s")
+    ranked = each.join(often, "s").withColumn("at", F.row_number().over(first) - 1)
+    prefix = saved(ranked.where((F.col("often") > 1) & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    sizes = F.col("x.n") + F.col("y.n")
+    could = (F.col("x.component") < F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * room >= percent * sizes)
+    return x.join(y, (F.col("x.s") == F.col("y.s")) & could).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, tables: int = 8, width: int = 3) -> DataFrame:
     """For every row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -87,40 +117,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with nothing. Texts with equal sets form a class, named by its smallest id, at
     once; the tables work on classes only, so copies cost nothing further.
 
-    In a table's bucket all members are compared with its hub, the member that meets
-    most others over all buckets. Members that are in one component after that need no
-    comparison; all pairs of the bucket whose sizes allow a link and which are still in
-    different components are then compared, so no link that the tables offer is lost.
+    Pairs are verified on full sets, and no link that the tables offer is lost (see
+    ``buckets.link``); a pair's sizes must allow it.
     Rows that share an id are one document when links are followed. A null id gets the
     component of its equals, or null, and is not kept. Empty tables give no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = saved(signatures(own, shingle, tables, width))
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("u").alias("u"), F.first("v").alias("v")).where("id is not null")
-    keys = classes.select("id", "n", F.explode("u").alias("u"), "v").select("id", "n", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "id", "n")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = saved(keys.join(shared, "key"))
-
-    weight = members.groupBy("id").agg(F.sum("members").alias("weight"))
-    hubs = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("hub"))
-    with_hub = members.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    keys = classes.select("id", "n", F.explode("u").alias("u"), "v").select("id", "n", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "id", F.col("n").alias("attr"))
+    members = shared_only(keys)
     texts = saved(own.join(members.select("id").distinct(), "id", "left_semi"))
-    tried = saved(with_hub)
-    links = saved(verified(tried, texts, shingle, percent))
-
-    first = saved(components(links))
-    placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_ = saved(placed.join(split, "key", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    rest = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = saved(verified(rest, texts, shingle, percent))
-
-    linked = saved(components(links.union(more)))
+    linked = link(members, lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y), lambda pairs: verified(pairs, texts, shingle, percent), lambda placed: across_components(placed, texts, shingle, percent))
     named = classes.select("digest", F.col("id").alias("name")).join(linked.withColumnRenamed("id", "name"), "name", "left").select("digest", F.coalesce("component", "name").alias("component"))
     out = signed.join(named, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-    discard(members, texts, tried, links, first, open_, more)
+    discard(members, texts)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
