@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailcast.llm import bpe, exact, mixing, near, quality
+from tailcast.llm import ann, bpe, exact, language, licence, lines, mixing, near, quality, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Shares of the blocks; a source that isn't named has OTHER_SHARE.
 SHARES = {"src0": 6, "src1": 4, "src2": 4, "src3": 3}
 OTHER_SHARE, BLOCK_ROWS = 2, 64
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,32 +29,52 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.classified(docs, labels).select("doc_id", F.col("_p").alias("evidence"), F.col("_site").alias("site_rate"), F.col("_quality").alias("quality"), (F.col("_quality") >= quality.THRESHOLD).alias("kept"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "pages"), language.train(table(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     placed = mixing.mixed(docs, SHARES, OTHER_SHARE, BLOCK_ROWS)
     return placed.select("doc_id", "source", *[F.col(f"_{c}").cast("long").alias(c) for c in ("block", "cycle", "slot", "rank")])
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.searched(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled are the pages whose path has the number of a labelled document."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})", 1)
+    numbered = pages.select("url", F.when(number != "", number).cast("long").alias("doc_id"))
+    return urls.judged(pages, urls.mine(numbered.join(labels, "doc_id")), URL_RULES)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe": op1_bpe,
-    "op3_quality": op3_quality,
-    "op5_mixing": op5_mixing,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op9_near_dedup": op9_near_dedup,
-}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_licence, op3_quality, op4_language, op5_mixing, op6_nearest, op7_exact_dedup, op8_urls, op9_near_dedup, op10_lines)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": r"""
