@@ -8,6 +8,7 @@ spread between sites (method of moments), so sites with few documents stay near
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import saved, small_side, steps
+from tailcast.llm.common import saved, small_side, steps, word_hashes
 
 #: Documents that the classifier is fitted on at most: those whose hashed ids are smallest.
 FIT_ROWS = 20_000
-#: A document is kept at this posterior or more.
-THRESHOLD = 0.5
+#: A document is kept at this posterior or more; below even odds, since a clean one lost costs more.
+THRESHOLD = 0.4
 
 _CLASSES = np.zeros((256, 7), dtype=bool)
 _CLASSES[65:91, 0] = True  # capitals
@@ -34,7 +35,8 @@ _CLASSES[33:127, 6] = ~_CLASSES[33:127, :6].any(axis=1)  # other symbols
 
 def features(texts: list[bytes]) -> np.ndarray:
     """A row for each text: shares of the byte classes, square roots of them (they tell
-    few from none), mean word length and logarithm of the size."""
+    few from none), share of words that equal the one before, compressed share of the
+    size (repetition), mean word length and logarithm of the size."""
     buf = np.frombuffer(b"".join(texts) + b" ", dtype=np.uint8)
     size = np.array([len(x) for x in texts], dtype=np.int64)
     starts = np.cumsum(size) - size
@@ -44,7 +46,12 @@ def features(texts: list[bytes]) -> np.ndarray:
         counts[:, k] = ones[starts + size] - ones[starts]
     share = counts / np.maximum(size, 1)[:, None]
     word = np.minimum((size - counts[:, 3]) / (counts[:, 3] + 1), 40.0) / 10
-    return np.column_stack([share, np.sqrt(share), word, np.log1p(size) / 10])
+    words, first = word_hashes(texts)
+    again = np.concatenate(([0, 0], np.cumsum(words[1:] == words[:-1])))
+    inner = np.maximum(first[1:] - first[:-1] - 1, 0)
+    repeated = np.where(inner > 0, again[np.maximum(first[1:], 1)] - again[np.minimum(first[:-1] + 1, len(again) - 1)], 0) / np.maximum(inner, 1)
+    packed = np.array([len(zlib.compress(x, 1)) for x in texts]) / (size + 60)
+    return np.column_stack([share, np.sqrt(share), repeated, packed, word, np.log1p(size) / 10])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
