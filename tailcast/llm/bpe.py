@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tailcast.llm.common import steps
 
-#: Pieces of text whose encodings a Python worker remembers.
-CACHE_PIECES = 150_000
+#: Pieces of text, prefixes, and pairs of tokens that a Python worker remembers.
+CACHE_PIECES = CACHE_PREFIXES = CACHE_PAIRS = 300_000
+#: Pieces of at most so many bytes share what is known of their prefixes.
+SHARED_BYTES = 64
 
 
 class Vocabulary:
@@ -34,7 +36,7 @@ class Vocabulary:
         self.suffixes = {t[i:] for t in self.rank for i in range(len(t))}
         self._joint: dict[tuple[int, int], int] = {}
         self._parts: dict[int, tuple[int, int]] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
         for r, t in self.token.items():  # by rank: parts come before what they form
             for k in range(1, len(t)):
                 left, right = self.rank.get(t[:k]), self.rank.get(t[k:])
@@ -61,11 +63,13 @@ class Vocabulary:
                 return True
 
     def follows(self, left: int, right: int) -> bool:
-        known = self._follows.get((left, right))
+        """Whether ``right`` can come straight after ``left`` in an encoding."""
+        key = left << 32 | right
+        known = self._follows.get(key)
         if known is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) >= CACHE_PAIRS:
                 self._follows.clear()
-            known = self._follows[left, right] = self._unmerged(left, right)
+            known = self._follows[key] = self._unmerged(left, right)
         return known
 
 
@@ -122,18 +126,43 @@ class Prefixes:
 
 
 class _Pieces(dict):
-    """Packed ids of pieces of text, worked out when first asked for."""
+    """Packed ids of pieces of text, worked out when first asked for. Short pieces share
+    a table of last tokens by prefix, filled only where an encoding leads."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self._last: dict[bytes, int] = {}
+        self._packed = {r: r.to_bytes(4, "little") for r in vocabulary.token}
+
+    def last(self, prefix: bytes) -> int:
+        known = self._last.get(prefix)
+        if known is None:
+            rank = self.vocabulary.rank
+            known = rank.get(prefix)
+            start = 0
+            while known is None:  # the longest token that can end here is the one
+                start += 1
+                token = rank.get(prefix[start:])
+                if token is not None and self.vocabulary.follows(self.last(prefix[:start]), token):
+                    known = token
+            self._last[prefix] = known
+        return known
 
     def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        if len(data) > SHARED_BYTES:
+            return np.array(Prefixes(self.vocabulary, data).ids(), dtype="<u4").tobytes()
         if len(self) >= CACHE_PIECES:
             self.clear()
-        packed = np.array(Prefixes(self.vocabulary, piece.encode()).ids(), dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = packed
+        if len(self._last) >= CACHE_PREFIXES:
+            self._last.clear()
+        ids, end = [], len(data)
+        while end:
+            token = self.last(data[:end])
+            ids.append(self._packed[token])
+            end -= len(self.vocabulary.token[token])
+        packed = self[piece] = b"".join(reversed(ids))
         return packed
 
 
