@@ -1 +1 @@
-""""""
+"""Operators over long tables."""

@@ -1 +1 @@
-""""""
+"""Reading, the fixed chain of preparations, writing."""
