@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tailcast.functions import statistics
 
@@ -53,17 +54,17 @@ def ad_raw(both: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return c.where("nf > 0 and no > 0").groupBy(*by).agg(made.alias("a2"), F.max("nf").alias("n_f"), F.max("no").alias("n_o"))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([statistics.ks_two_sample_p(*x) if x[0] == x[0] else None for x in zip(d, n1, n2, strict=True)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ad_standard(a2: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([(a - 1) / statistics.ad_sigma(int(x), int(y)) if a == a and x + y > 3 else None for a, x, y in zip(a2, n1, n2, strict=True)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ad_p(a: pd.Series) -> pd.Series:
     return pd.Series([statistics.anderson_darling_p(x) if x == x else None for x in a], dtype=float)
 

@@ -104,7 +104,7 @@ def temporal_aggregation(
         out = out.join(short, "_label", "left_anti")
     columns = [*by, F.col("_label").alias(time), F.col("_value").alias(value)]
     if dates:
-        columns.append(F.date_format(F.date_from_unix_date(F.abs("_event.d")), "yyyy-MM-dd").alias("event_time"))
+        columns.append(F.date_format(F.date_from_unix_date(F.col("_event.d") * (-1 if method == "max" else 1)), "yyyy-MM-dd").alias("event_time"))
     out = out.select(*columns)
     return reset_annual(out, df, time) if reset_times else out
 

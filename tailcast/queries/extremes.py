@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailcast.functions import gev
@@ -63,7 +63,8 @@ def _params(spark: SparkSession, d: str) -> DataFrame:
     return gev.fit_lmoments(fcst(spark, d), "value", ["lead_time"])
 
 
-P = [F.col(k) for k in ("c", "location", "scale")]
+def _p() -> list[Column]:
+    return [F.col(k) for k in ("c", "location", "scale")]
 
 
 @query(f"with {FCST}, {LMM} select lead_time, n, round(c, 6) as c, round(location, 4) as location, round(scale, 4) as scale from params")
@@ -74,26 +75,26 @@ def gev_lmm_fit(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {FCST}, {LMM} select lead_time, t as return_period, round(location + scale * (1 - pow(-ln(1 - 1 / t), c)) / c, 3) as return_level from params, (values (2.0::double), (20.0), (200.0)) v(t)")
 def gev_return_level(spark: SparkSession, d: str) -> DataFrame:
     each = _params(spark, d).withColumn("return_period", F.explode(F.array(F.lit(2.0), F.lit(20.0), F.lit(200.0))))
-    return each.select("lead_time", "return_period", F.round(gev.return_level(F.col("return_period"), *P), 3).alias("return_level"))
+    return each.select("lead_time", "return_period", F.round(gev.return_level(F.col("return_period"), *_p()), 3).alias("return_level"))
 
 
 @query(f"with {FCST}, {LMM}, v as (select *, location + 0.5 * scale as v from params) select lead_time, round(1 / ({SF}), 5) as return_period from v")
 def gev_return_period(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("location") + 0.5 * F.col("scale")
-    return _params(spark, d).select("lead_time", F.round(gev.return_period(at, *P), 5).alias("return_period"))
+    return _params(spark, d).select("lead_time", F.round(gev.return_period(at, *_p()), 5).alias("return_period"))
 
 
 @query(f"""with {FCST}, {LMM}, v as (select lead_time, value as v, c, location, scale from fcst join params using (lead_time))
     select lead_time, round(sum(case when {OUTSIDE} then {gev.PENALTY!r} else ln(scale) - (1 / c - 1) * ln(1 - c * (v - location) / scale) + pow(1 - c * (v - location) / scale, 1 / c) end), 3) as nllf from v group by 1""")
 def gev_nllf(spark: SparkSession, d: str) -> DataFrame:
     joined = fcst(spark, d).join(_params(spark, d), "lead_time")
-    return joined.groupBy("lead_time").agg(F.round(gev.penalised_sum(F.col("value"), *P), 3).alias("nllf"))
+    return joined.groupBy("lead_time").agg(F.round(gev.penalised_sum(F.col("value"), *_p()), 3).alias("nllf"))
 
 
 @query(f"with {FCST}, {LMM}, v as (select lead_time, t as v, c, location, scale from params, (values (60000.0::double), (90000.0)) w(t)), u as (select *, case when not ({OUTSIDE}) then pow(1 - c * (v - location) / scale, 1 / c) end as t from v) select lead_time, v as x, round(coalesce(exp(-t), case when c > 0 then 1 else 0 end), 6) as cdf, round(1e6 * coalesce(pow(t, 1 - c) * exp(-t) / scale, 0), 5) as pdf from u")
 def gev_distribution(spark: SparkSession, d: str) -> DataFrame:
     each = _params(spark, d).withColumn("x", F.explode(F.array(F.lit(60000.0), F.lit(90000.0))))
-    return each.select("lead_time", "x", F.round(gev.cdf(F.col("x"), *P), 6).alias("cdf"), F.round(1e6 * gev.pdf(F.col("x"), *P), 5).alias("pdf"))
+    return each.select("lead_time", "x", F.round(gev.cdf(F.col("x"), *_p()), 6).alias("cdf"), F.round(1e6 * gev.pdf(F.col("x"), *_p()), 5).alias("pdf"))
 
 
 SELECTION = f"""with {FCST}, {LMM}, v as (select lead_time, n, value as v, c, location, scale from fcst join params using (lead_time)),
@@ -106,7 +107,7 @@ SELECTION = f"""with {FCST}, {LMM}, v as (select lead_time, n, value as v, c, lo
 def gev_model_selection(spark: SparkSession, d: str) -> DataFrame:
     """Criteria of each lead's fit, and its likelihood ratio against the fit without a shape."""
     joined = fcst(spark, d).join(_params(spark, d), "lead_time")
-    own, flat = gev.nllf(F.col("value"), *P), gev.nllf(F.col("value"), F.lit(0.0), *P[1:])
+    own, flat = gev.nllf(F.col("value"), *_p()), gev.nllf(F.col("value"), F.lit(0.0), *_p()[1:])
     sums = joined.groupBy("lead_time", "n").agg(F.sum(F.coalesce(own, F.lit(0.0))).alias("a"), F.sum(flat).alias("b"))
     made = x.information_criteria(F.col("n"), 3, F.col("a"))
     return sums.select("lead_time", *[F.round(v, 3).alias(k) for k, v in made.items()], F.round(x.likelihood_ratio_p(F.col("b"), F.col("a"), 2), 6).alias("p"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -175,9 +176,11 @@ def open_forecasts(spark: SparkSession, names: Sequence[str] | str, spec: OpenSp
     """
     spec = spec or OpenSpec()
     listed = files.file_list(spark, names)
-    places = [(f.rpartition("/")[2], f, i, e) for i, start in enumerate(files.nested(listed, n_time_files, n_ensemble_files)) for e, member in enumerate(start) for f in member]
-    known = spark.createDataFrame([(f if "://" in f else f"file://{f}", i, e) for _, f, i, e in places], "_file string, _start int, _member int")
-    rows = files.read(spark, listed, spec.file_format).withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///"))
+    places = [(re.sub("^file:/+", "/", f.rstrip("/")), i, e) for i, start in enumerate(files.nested(listed, n_time_files, n_ensemble_files)) for e, member in enumerate(start) for f in member]
+    known = spark.createDataFrame(places, "_file string, _start int, _member int")
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    either = F.array(path, F.regexp_replace(path, "/[^/]*$", ""))  # listed is a file, or the folder that holds it
+    rows = files.read(spark, listed, spec.file_format).withColumn("_file", F.explode(either))
     joined = rows.join(F.broadcast(known), "_file").drop("_file")
     if spec.dims.ensemble not in joined.columns:
         joined = joined.withColumn(spec.dims.ensemble, F.col("_member"))
