@@ -124,7 +124,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     words, first = word_hashes(texts)
     n = len(words)
     rolled = words.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, n)):
         rolled[: n - k] = mix(rolled[: n - k] * np.uint64(0xD6E8FEB86659FD93) + words[k:])
     out = []
     for lo, hi in zip(first[:-1], first[1:], strict=True):
