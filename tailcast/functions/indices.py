@@ -26,6 +26,12 @@ def drought_factor(df: DataFrame, rain: str, by: Sequence[str], order: str, name
     return d.withColumn(name, F.lit(10) - F.try_divide(F.lit(10) * (F.col("_sum") - lo), hi - lo)).drop("_sum")
 
 
+def fire_danger(df: DataFrame, by: Sequence[str] = (), time: str = "time", pr: str = "pr", tmax: str = "tasmax", rh: str = "hur", u: str = "uas", v: str = "vas") -> DataFrame:
+    """Adds ``df``, ``wsp`` and ``ffdi``; rain is scaled within ``by``."""
+    scaled = drought_factor(df, pr, by, time, "df").withColumn("wsp", wind_speed(F.col(u), F.col(v)))
+    return scaled.withColumn("ffdi", ffdi(F.col("df"), F.col(tmax), F.col(rh), F.col("wsp")))
+
+
 def ffdi(drought: Column, temperature: Column, humidity: Column, wind: Column) -> Column:
     """Forest fire danger: degC, %, km h-1."""
     return F.pow(drought, F.lit(0.987)) * F.exp(0.0338 * temperature - 0.0345 * humidity + 0.0234 * wind) + F.lit(0.243147)

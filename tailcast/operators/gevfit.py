@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tailcast.functions import gev
 from tailcast.functions.statistics import cramer_von_mises_p, gev_nll, ks_one_sample_p, lmoments_start, minimise
 
 STARTS = ("LMM", "moments", "LMM_subset")
@@ -178,16 +179,15 @@ def fit_gev(
     return out.select(*keys, "n", *[F.nanvl(c, F.lit(None)).alias(c) for c in (*names, "nllf", "pvalue")])
 
 
-def fit_confidence(
-    df: DataFrame, by: Sequence[str], value: str = "value", periods: Sequence[float] = (10, 50, 100, 500), n_resamples: int = 1000, level: float = 0.95, parametric: bool = False, seed: int = 0, part: int = 50
-) -> DataFrame:
-    """(by..., return_period, return_level, ci_lower, ci_upper): fits of the sample and of
-    bootstrap samples (of its values, or drawn from its fit).
+def bootstrap_fits(df: DataFrame, by: Sequence[str], value: str = "value", n_resamples: int = 1000, parametric: bool = False, max_shape_ratio: float | None = None, seed: int = 0, part: int = 50) -> DataFrame:
+    """(by..., k, c, location, scale): fits of the sample (k = -1) and of bootstrap samples, of
+    its values or drawn from its fit.
 
-    A group's sorted values are one row; ``part`` replicates of it are a task's work and are
-    fitted together, from the sample's own parameters. Percentiles are aggregated after.
+    A group's sorted values are one row, sent with the number of its part: ``part``
+    replicates are a task's work and are fitted together, from the sample's own parameters.
+    Replicates whose shape is more than ``max_shape_ratio`` times the sample's are left out.
     """
-    keys, wanted = list(by), [float(t) for t in periods]
+    keys = list(by)
     typed = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
     samples = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_x")).where(F.size("_x") >= 4)
     parts = samples.withColumn("_k", F.explode(F.sequence(F.lit(-1), F.lit((n_resamples - 1) // part)))).repartition(*keys, "_k")
@@ -195,25 +195,45 @@ def fit_confidence(
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                x = np.asarray(row[len(keys)], dtype=float)
-                theta, _ = fit_samples(x[None], lmoments_start(x[None]))
-                k = row[len(keys) + 1]
+                x, k = np.asarray(row[len(keys)], dtype=float), row[len(keys) + 1]
+                whole, _ = fit_samples(x[None], lmoments_start(x[None]))
+                theta, number = whole, np.array([-1])
                 if k >= 0:
                     rng = np.random.default_rng([seed, k])
                     b = min(part, n_resamples - k * part)
                     u = rng.random((b, len(x)))
-                    draws = quantile(theta, u) if parametric else x[(u * len(x)).astype(int)]
-                    theta, _ = fit_samples(draws, np.repeat(theta, b, 0), passes=1)
-                levels = quantile(theta, 1 - 1 / np.array(wanted)[None, :] * np.ones((len(theta), 1)))
-                out = pd.DataFrame({"return_period": np.tile(wanted, len(theta)), "_level": levels.ravel(), "_whole": k < 0})
+                    draws = quantile(whole, u) if parametric else x[(u * len(x)).astype(int)]
+                    theta, _ = fit_samples(draws, np.repeat(whole, b, 0), passes=1)
+                    number = k * part + np.arange(b)
+                    if max_shape_ratio:
+                        good = np.abs(theta[:, 0]) <= max_shape_ratio * abs(whole[0, 0])
+                        theta, number = theta[good], number[good]
+                out = pd.DataFrame({"k": number, "c": theta[:, 0], "location": theta[:, 1], "scale": theta[:, 2]})
                 for name, v in zip(keys, row, strict=False):
-                    out.insert(0, name, [v] * len(out))
-                yield out[[*keys, "return_period", "_level", "_whole"]]
+                    out[name] = [v] * len(out)
+                yield out[[*keys, "k", "c", "location", "scale"]]
+
+    return parts.mapInPandas(run, ", ".join([*typed, "k int, c double, location double, scale double"]))
+
+
+def _interval(fits: DataFrame, keys: list[str], made: Column, name: str, level: float) -> DataFrame:
+    """The sample's own value and the percentiles of the replicates' finite ones."""
+    tail, own = (1 - level) / 2, F.col("k") < 0
+    drawn = F.when(~own & (F.abs(made) < float("inf")), made)
+    return fits.groupBy(*keys).agg(F.max(F.when(own, made)).alias(name), F.percentile(drawn, tail).alias("ci_lower"), F.percentile(drawn, 1 - tail).alias("ci_upper"))
+
+
+def fit_confidence(df: DataFrame, by: Sequence[str], value: str = "value", periods: Sequence[float] = (10, 50, 100, 500), level: float = 0.95, **how: object) -> DataFrame:
+    """(by..., return_period, return_level, ci_lower, ci_upper) from ``bootstrap_fits``."""
+    each = bootstrap_fits(df, by, value, **how).withColumn("return_period", F.explode(F.array(*[F.lit(float(t)) for t in periods])))
+    made = gev.return_level(F.col("return_period"), F.col("c"), F.col("location"), F.col("scale"))
+    return _interval(each, [*by, "return_period"], made, "return_level", level)
+
 
-    fitted = parts.mapInPandas(run, ", ".join([*typed, "return_period double", "_level double", "_whole boolean"]))
-    tail = (1 - level) / 2
-    drawn = F.when(~F.col("_whole"), F.col("_level"))
-    return fitted.groupBy(*keys, "return_period").agg(F.max(F.when(F.col("_whole"), F.col("_level"))).alias("return_level"), F.percentile(drawn, tail).alias("ci_lower"), F.percentile(drawn, 1 - tail).alias("ci_upper"))
+def event_confidence(df: DataFrame, by: Sequence[str], event: float, value: str = "value", level: float = 0.95, **how: object) -> DataFrame:
+    """(by..., return_period, ci_lower, ci_upper) of an event."""
+    made = gev.return_period(F.lit(float(event)), F.col("c"), F.col("location"), F.col("scale"))
+    return _interval(bootstrap_fits(df, by, value, **how), list(by), made, "return_period", level)
 
 
 def quantile(theta: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -124,22 +124,16 @@ def select_regions(df: DataFrame, mask: DataFrame, agg: str | None, by: Sequence
     return joined.groupBy("region", *by).agg(_aggregate(agg, value, "lat").alias(value))
 
 
-def create_grid(spark: SparkSession, name: str, lat_offset: bool = False, lon_offset: bool = False) -> DataFrame:
-    """(lat, lon) of a named grid ``AUSXXXi``: XXX hundredths of a degree over the fixed box;
-    an offset starts half a step inside. Coordinates have two decimals."""
+def create_grid(spark: SparkSession, name: str, lat_offset: float = 0.0, lon_offset: float = 0.0) -> DataFrame:
+    """(lat, lon): cell centres of a named grid ``AUSXXXi`` with steps of XXX hundredths of a
+    degree inside a fixed box, to two decimals; offsets in degrees are added after."""
     found = re.fullmatch(r"AUS(\d{3})i", name)
     if not found:
         raise ValueError(f"not a grid name: {name}")
     step = int(found[1]) / 100
-    south, north, west, east = -44.5, -10.0, 112.0, 156.25  # fixed values
-    half = step / 2
-
-    def axis(lo: float, hi: float, offset: bool) -> list[float]:
-        ends = (lo + half, hi - half + step) if offset else (lo, hi + step)
-        return [float(x) for x in np.round(np.arange(ends[0], ends[1], step), 2) if x <= hi + 1e-9]
-
-    lats = spark.createDataFrame([(x,) for x in axis(south, north, lat_offset)], "lat double")
-    return lats.crossJoin(spark.createDataFrame([(x,) for x in axis(west, east, lon_offset)], "lon double"))
+    box = {"lat": (-44.5, -10.0, lat_offset), "lon": (112.0, 156.25, lon_offset)}  # fixed values: south, north; west, east
+    axes = [spark.createDataFrame([(float(x + more),) for x in np.arange(lo + step / 2, hi - step / 2, step).round(2)], f"{dim} double") for dim, (lo, hi, more) in box.items()]
+    return axes[0].crossJoin(axes[1])
 
 
 def _bounds(cells: DataFrame, dim: str) -> DataFrame:

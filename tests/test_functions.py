@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tailcast.functions import gev, indices, statistics, units
+from tailcast.functions import dates, gev, indices, statistics, units
 
 
 def test_units(spark):
@@ -88,3 +88,23 @@ def test_ad_statistic_is_standard_under_the_null(spark):
     both = similarity.pooled(spark.createDataFrame(f, "g int, value double"), spark.createDataFrame(o, "g int, value double"), ["g"])
     a = np.array([r["ad_statistic"] for r in similarity.anderson_darling_test(both, ["g"]).collect()])
     assert abs(a.mean()) < 0.25 and 0.7 < a.std() < 1.3
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([("2001-2-3", 2001, 2, 3), ("1999-12-31T06", 1999, 12, 31), ("2001-02-30", 2001, 2, 30)], "t string, y int, m int, d int")
+    y, m, d = F.col("y"), F.col("m"), F.col("d")
+    rows = df.select(dates.to_text(dates.from_text(F.col("t"))), dates.switch_calendar(y, m, d), dates.ordinal(y, m, d, "360_day"), dates.ordinal(y, m, d, "noleap")).collect()
+    assert [r[0] for r in rows] == ["2001-02-03", "1999-12-31", None]
+    assert rows[2][1] is None and rows[0][1].isoformat() == "2001-02-03"
+    assert [r[2] for r in rows] == [31 * 360 + 32, 29 * 360 + 360, 31 * 360 + 59]
+    assert rows[1][3] == 30 * 365 - 1
+    with pytest.raises(ValueError):
+        dates.ordinal(y, m, d, "other")
+    row = df.limit(1).select(dates.covariate(F.lit("2001-02-03").cast("date")), dates.covariate(F.lit("1970-01-11").cast("date"), "days")).first()
+    assert tuple(row) == (2001, 10.0)
+
+
+def test_fire_danger(spark):
+    df = spark.createDataFrame([(i, float(i % 7), 30.0, 20.0, 3.0, 4.0) for i in range(30)], "time int, pr double, tasmax double, hur double, uas double, vas double")
+    rows = indices.fire_danger(df).orderBy("time").collect()
+    assert rows[0]["ffdi"] is None and rows[29]["wsp"] == 5 and rows[29]["ffdi"] > 0.24

@@ -166,7 +166,9 @@ def test_regrid_keeps_a_constant_and_missing(spark):
 def test_named_grid(spark):
     g = spatial.create_grid(spark, "AUS100i")
     lo, hi = g.agg(F.min("lat"), F.min("lon")).first(), g.agg(F.max("lat"), F.max("lon")).first()
-    assert tuple(lo) == (-44.5, 112.0) and hi[0] <= -10 and hi[1] <= 156.25
+    assert tuple(lo) == (-44.0, 112.5) and tuple(hi) == (-11.0, 155.5)
+    moved = spatial.create_grid(spark, "AUS300i", lat_offset=0.25)
+    assert moved.agg(F.min("lat")).first()[0] == -42.75
     with pytest.raises(ValueError):
         spatial.create_grid(spark, "EUR100i")
 
@@ -220,6 +222,8 @@ def test_fit_interval(spark):
     for parametric in (False, True):
         rows = gevfit.fit_confidence(df, ["g"], n_resamples=60, parametric=parametric).collect()
         assert all(r["ci_lower"] < r["return_level"] < r["ci_upper"] for r in rows)
+    r = gevfit.event_confidence(df, ["g"], 9.0, n_resamples=60, max_shape_ratio=6.0).first()
+    assert 1 < r["ci_lower"] < r["return_period"] < r["ci_upper"]
 
 
 def test_ks_statistic_by_hand(spark):
