@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import saved
+from tailcast.llm.common import bounded_sample, saved
 
 #: Vectors that the centres are fitted on at most: those with the smallest hashed ids.
 FIT_ROWS = 10_000
@@ -137,7 +137,7 @@ def searched(vectors: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_
     index = good.select("id", "v").distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     index = saved(index.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0]))
     asked = saved(good.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]))
-    sample = index.orderBy(F.xxhash64("first"), "first").limit(FIT_ROWS).select("v").toPandas()["v"]
+    sample = bounded_sample(index, "first", FIT_ROWS).select("v").toPandas()["v"]
     centres = fit(np.array(sample.tolist(), dtype=np.float64))
 
     def coded(batches):

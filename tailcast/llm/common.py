@@ -59,6 +59,15 @@ def small_side(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``, for fitting. Hashes
+    under a bound, set by the number of rows to let half as many again through, are
+    picked where they are read, so that no task gathers more than that."""
+    part = min(1.0, 1.5 * most / max(df.count(), 1))
+    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return df.where(spread <= int(part * (1 << 30))).orderBy(spread, key).limit(most)
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Row slices of Arrow batches with the bytes of ``column``, null as empty; a
     slice has at most ``most`` bytes of text, or one row."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import saved, small_side, steps
+from tailcast.llm.common import bounded_sample, saved, small_side, steps
 from tailcast.llm.urls import host_of, path_of
 
 #: Documents that the text model is fitted on at most: those with the smallest hashed ids.
@@ -54,7 +54,8 @@ def _pairs(text: bytes) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-probability of each byte pair in each, from at most
     ``most`` documents, counted by language before anything comes to the driver."""
-    chosen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).orderBy(F.xxhash64(key), key).select(F.col(lang).alias("lang"), F.col(text).alias("text")).limit(most)
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    chosen = bounded_sample(known, "key", most).select("lang", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

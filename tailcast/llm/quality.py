@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import saved, small_side, steps, word_hashes
+from tailcast.llm.common import bounded_sample, saved, small_side, steps, word_hashes
 
 #: Documents that the classifier is fitted on at most: those whose hashed ids are smallest.
 FIT_ROWS = 20_000
@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Weights fitted on at most ``most`` labelled documents, whose features alone come
     to the driver. Null labels and texts without a label take no part."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y"))
-    known = known.groupBy("_id").agg(F.avg("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    known = bounded_sample(known.groupBy("_id").agg(F.avg("_y").alias("_y")), "_id", most)
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
