@@ -76,7 +76,39 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_licence, op3_quality, op4_language, op5_mixing, op6_nearest, op7_exact_dedup, op8_urls, op9_near_dedup, op10_lines)}
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TEMPLATES = ", ".join(
+    f"('{' '.join(w[i : i + licence.GRAM])}', {n}, {i}, {len(w) - licence.GRAM + 1}, {n < len(licence.PHRASES)}, '{label}')"
+    for n, (text, label) in enumerate([*licence.PHRASES.items(), *licence.NOTICES.items()])
+    for w in [text.split()]
+    for i in range(len(w) - licence.GRAM + 1)
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_licence": rf"""
+        with w as (select row_number() over () as row, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        g as (select row, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] as gram from (select row, w, unnest(range(0, len(w) - 2)) as pos from w)),
+        t(gram, template, spot, grams, exact, label) as (values {TEMPLATES}),
+        voted as (
+            select row, template, grams, exact, label, pos - spot as diagonal, bit_or(1::ubigint << spot::ubigint) as mask, min(pos) as lo, max(pos) as hi
+            from g join t using (gram) group by all),
+        banded as (
+            select *, sum(case when exact or step is null or step > {licence.SLACK} then 1 else 0 end) over (partition by row, template order by diagonal) as band
+            from (select *, diagonal - lag(diagonal) over (partition by row, template order by diagonal) as step from voted)),
+        merged as (select row, template, grams, exact, label, band, bit_count(bit_or(mask)) / grams as cover, min(lo) as lo, max(hi) + 2 as hi from banded group by row, template, grams, exact, label, band),
+        good as (select * from merged where case when exact then cover = 1 else cover >= {licence.COVER} and hi - lo + 1 <= 2 * (grams + {licence.GRAM}) end)
+        select doc_id, len(any_value(w)) as n_words, count(*) filter (exact) as n_base, min(lo) filter (exact) as first_word, max(lo) filter (exact) as last_word,
+            coalesce(string_agg(distinct label, ',' order by label) filter (exact), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(cover), 0.0::double) as score
+        from w left join good using (row) group by row, doc_id""",
+    "op9_near_dedup": rf"""
+        with recursive d as (select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d),
+        n as (select doc_id, count(*) as n from s group by 1),
+        pairs as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (s) where x.doc_id < y.doc_id group by 1, 2),
+        links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        reach as (select distinct doc_id, doc_id as r from d union select reach.doc_id, case when r = a then b else a end from reach join links on r in (a, b)),
+        component as (select doc_id, min(r) as component_id from reach group by 1)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from d left join n using (doc_id) join component using (doc_id)""",
     "op7_exact_dedup": r"""
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
         g as (select *, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from d)

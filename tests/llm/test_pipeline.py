@@ -53,3 +53,21 @@ def test_stages(spark, tables):
     want = [r["doc_id"] for r in placed.orderBy("_cycle", "_slot", "_rank").collect()]
     order = docs.select("doc_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).collect()
     assert [r["doc_id"] for r in sorted(order, key=lambda r: (r["f"], r["i"]))] == want
+
+
+@pytest.mark.parametrize("name", ["op2_licence", "op5_mixing", "op7_exact_dedup", "op9_near_dedup"])
+def test_like_sql(spark, tables, name):
+    import duckdb
+
+    from tailcast.llm import queries
+
+    root, _ = tables
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{root}/documents.parquet/*.parquet')")
+    df = queries.QUERIES[name](spark, root)
+    names = sorted(df.columns)
+    found = c.execute(queries.ORACLE_SQL[name])
+    columns = [x[0] for x in found.description]
+    want = sorted((tuple(r[columns.index(n)] for n in names) for r in found.fetchall()), key=str)
+    assert sorted(columns) == names
+    assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=str) == want
