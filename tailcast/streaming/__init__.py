@@ -1 +1 @@
-""""""
+"""Nothing here: the survey found no streaming to match."""
