@@ -11,11 +11,14 @@ from tailcast.llm.common import discard, saved
 from tailcast.llm.graph import components
 
 
-def shared_only(keys: DataFrame) -> DataFrame:
+def shared_only(keys: DataFrame, pair: Column) -> DataFrame:
     """The rows of (key, id, attr) whose key has several, with their number ``members``,
-    saved. Keys are counted map-side first; nothing is gathered by key."""
-    many = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    return saved(keys.join(many, "key"))
+    saved. Keys are counted map-side first; nothing is gathered by key. Where just two
+    share a key, mostly by chance and more so the more rows there are, they go at once
+    if ``pair``, an aggregate of their ``attr``, shows that they can't be linked."""
+    counted = keys.groupBy("key").agg(F.count("*").alias("members"), pair.alias("could"))
+    many = counted.where("members > 2 or (members = 2 and could)")
+    return saved(keys.join(many.select("key", "members"), "key"))
 
 
 def link(

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailcast.llm.buckets import link, shared_only
@@ -126,9 +126,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = saved(signatures(own, shingle, tables, width))
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("u").alias("u"), F.first("v").alias("v")).where("id is not null")
     keys = classes.select("id", "n", F.explode("u").alias("u"), "v").select("id", "n", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "id", F.col("n").alias("attr"))
-    members = shared_only(keys)
+
+    def sized(x: Column, y: Column) -> Column:
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    members = shared_only(keys, sized(F.min("attr"), F.max("attr")))
     texts = saved(own.join(members.select("id").distinct(), "id", "left_semi"))
-    linked = link(members, lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y), lambda pairs: verified(pairs, texts, shingle, percent), lambda placed: across_components(placed, texts, shingle, percent))
+    linked = link(members, sized, lambda pairs: verified(pairs, texts, shingle, percent), lambda placed: across_components(placed, texts, shingle, percent))
     named = classes.select("digest", F.col("id").alias("name")).join(linked.withColumnRenamed("id", "name"), "name", "left").select("digest", F.coalesce("component", "name").alias("component"))
     out = signed.join(named, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
     discard(members, texts)
