@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from tailcast.llm.common import steps
 
-SPACES = r"[\x20\x09-\x0D]+"
+#: Runs of white space but single spaces, which are right already.
+SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 #: Bytes of the text at the head of the sort key; the digest after them keeps
 #: splitters short and parts texts that begin alike.
 HEAD = 48
 _BATCH_BYTES = 8_000_000
-_spaces = re.compile(rb"[\x20\x09-\x0D]+")
+_spaces = re.compile(SPACES.encode())
 
 
 def normalised(text: Column) -> Column:
