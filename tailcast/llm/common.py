@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,27 @@ def small_side(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+#: Bits of ``id_bitmap``: 8 MB whatever the number of ids.
+BITMAP_BITS = 26
+
+
+def id_bitmap(ids: DataFrame) -> Broadcast:
+    """A broadcast bitmap of fixed size of the low bits of hashed 64-bit ``id``s, made by
+    grouped aggregation. What it lacks is surely not among the ids; the more there are,
+    the more it lets through besides, so it only saves work ahead of an exact join."""
+    slot = F.col("id").bitwiseAND((1 << BITMAP_BITS) - 1)
+    parts = ids.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits"))
+    whole = np.zeros(1 << BITMAP_BITS >> 3, dtype=np.uint8)
+    for row in parts.collect():  # at most 2048 rows of 4 KB
+        whole[row["part"] << 12 : (row["part"] + 1) << 12] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(whole)
+
+
+def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = ids & ((1 << BITMAP_BITS) - 1)
+    return (bitmap[slot >> 3] >> (slot & 7)) & 1 > 0
+
+
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of ``key``, for fitting. Hashes
     under a bound, set by the number of rows to let half as many again through, are
