@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each hooks neighbours onto the
     smallest id seen, so the number of rounds grows with the logarithm of the longest
-    path. Minima are aggregated before they are joined; each round is written to the
-    shared folder.
+    path. Minima are aggregated before they are joined, and written first, so that both
+    sides of a join are plain exchanges of which adaptive execution can split a hot id.
     """
     a, b = F.col("a"), F.col("b")
     now = saved(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a > b).distinct())
@@ -23,11 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = saved(least)
         large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(large)
+        lower = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lower, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
         new = saved(small.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a > b).distinct())
-        discard(now)
+        discard(now, least, large, lower)
         before, mark, now = mark, _mark(new), new
         if before == mark:
             break
