@@ -35,8 +35,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed ids and their number instead of the text."""
-    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
+    """Packed ids and their number instead of the text, and ``position``, the place (from
+    0) in the order of the files that ``docs`` is read from."""
+    return bpe.encode(mixing.positioned(docs), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
 
 
 STAGES: list[tuple[str, Stage]] = [

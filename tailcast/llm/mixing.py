@@ -98,3 +98,15 @@ def in_order(placed: DataFrame, keep: list[str]) -> DataFrame:
     files, read by name, have them in the order of the schedule."""
     order = ["_cycle", "_slot", "_rank"]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*keep)
+
+
+def positioned(docs: DataFrame) -> DataFrame:
+    """``docs``, just read from Parquet files, with ``position`` (long, from 0): the place in
+    the order of the files' numbers, then of rows in a file, whatever splits they are
+    read in. One row a file is numbered in one task."""
+    at = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    number = F.regexp_extract("_file", r"^part-([0-9]{1,18})", 1)
+    before = Window.orderBy(F.when(number != "", number).cast("long"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = at.groupBy("_file").agg(F.max("_row").alias("last")).select("_file", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("_before"))
+    placed = at.join(small_side(saved(files)), "_file")
+    return placed.select(*docs.columns, (F.col("_before") + F.col("_row")).cast("long").alias("position"))

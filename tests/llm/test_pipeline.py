@@ -37,6 +37,24 @@ def test_run(spark, tables):
         assert np.frombuffer(r["ids"], "<u4").tolist() == known.encode_ordinary(rows[r["doc_id"]][1])
 
 
+def test_run_keeps_the_order_of_the_mix(spark, tables, monkeypatch):
+    """Over several files, with splits that pack files by size."""
+    root, _ = tables
+    monkeypatch.setattr(corpus_pipeline, "BLOCK_ROWS", 2)
+    mixed = []
+
+    def in_files(placed, keep):
+        mixed.extend(placed.select("doc_id", "_cycle", "_slot", "_rank").collect())
+        order = ["_cycle", "_slot", "_rank"]
+        return placed.repartitionByRange(7, *order).sortWithinPartitions(*order).select(*keep)
+
+    monkeypatch.setattr(mixing, "in_order", in_files)
+    out = corpus_pipeline.run(spark, root).select("doc_id", "position").collect()
+    want = [r["doc_id"] for r in sorted(mixed, key=lambda r: (r["_cycle"], r["_slot"], r["_rank"]))]
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in out) == list(range(60))
+
+
 def test_stages(spark, tables):
     """All but the last return the columns of documents; the mix comes in schedule order."""
     root, _ = tables
