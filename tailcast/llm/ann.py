@@ -3,7 +3,9 @@
 Vectors are cut into pairs of components, each quantised to one of 16 centres (four
 bits). Centres and codes minimise a loss that weighs the residual along the vector
 more than that across it, since only the former shifts large inner products. A scan
-adds up table entries for all codes; the best are ranked again by exact products.
+adds up table entries for all codes; a vector's product differs from its sum by at most
+the query's norm times that of the vector's residual, so all that may be among the best
+are ranked again by exact products, and none of the best is missed.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from tailcast.llm.common import bounded_sample, saved
 FIT_ROWS = 10_000
 #: Rows that a block of queries and one of vectors have on average.
 QUERY_BLOCK, VECTOR_BLOCK = 1_024, 8_192
-#: Vectors of a block that are ranked exactly for a query.
+#: Vectors of a block that are ranked exactly for a query first, to set the bound for the others.
 RERANK = 128
+#: Share of the norms' product by which float32 sums may be off, with room.
+_ROUNDING = 1e-4
 #: Products of at least this share of the norm are those that matter for the loss.
 THRESHOLD = 0.2
 
@@ -95,6 +99,14 @@ def scan(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> np.nda
     return out
 
 
+def residuals(x: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Norms of what codes leave of vectors, with room for rounding."""
+    p = _pairs(x)
+    codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)[:, : p.shape[1]]
+    left = sum(((p[:, m] - centres[m][codes[:, m]]) ** 2).sum(-1) for m in range(p.shape[1]))
+    return np.sqrt(left) + _ROUNDING * (np.sqrt(left) + np.sqrt((p**2).sum(axis=(1, 2))))
+
+
 def pack(codes: np.ndarray) -> np.ndarray:
     """Two four-bit codes a byte."""
     if codes.shape[1] % 2:
@@ -117,7 +129,7 @@ def _block(name: str, rows: int, most: int) -> Column:
 
 def searched(vectors: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of ``vectors`` where ``query`` holds,
-    the ``k`` rows of largest inner product found among all others, ties to the smaller
+    the ``k`` rows of largest inner product among all others, ties to the smaller
     id; all, if there are fewer. ``score`` is the exact product in double precision.
 
     Null vectors and ids, zero vectors, vectors holding nulls or non-finite components,
@@ -159,12 +171,22 @@ def searched(vectors: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_
             exact = _matrix(indexed.column("v"), dim)
             packed = np.frombuffer(b"".join(indexed.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             q, q_ids = _matrix(asking.column("q"), dim), asking.column("query_id").to_pylist()
-            most = min(RERANK, len(ids))
+            rest = residuals(exact, packed, centres)
+            alone = np.array([len(x) == 1 for x in ids])
+            most = min(max(RERANK, k + 1), len(ids))
             for lo in range(0, len(q), 128):
                 part = q[lo : lo + 128]
-                near = np.argpartition(-scan(part, packed, centres), most - 1, axis=1)[:, :most]
+                upper = scan(part, packed, centres)
+                near = np.argpartition(-upper, most - 1, axis=1)[:, :most]
                 scores = np.einsum("qd,qrd->qr", part, exact[near])
-                for one, cand, score in zip(q_ids[lo : lo + 128], near, scores, strict=True):
+                norms = np.sqrt((part**2).sum(axis=1))
+                upper += norms[:, None] * rest
+                for one, asks, bound, first, score in zip(q_ids[lo : lo + 128], part, upper, near, scores, strict=True):
+                    bound[first] = -np.inf
+                    others = score[~(alone[first] & (firsts[first] == one))]
+                    reach = np.partition(others, -k)[-k] if len(others) >= k else -np.inf
+                    more = np.flatnonzero((bound >= reach) & (bound > -np.inf))
+                    cand, score = np.concatenate([first, more]), np.concatenate([score, np.einsum("d,rd->r", asks, exact[more])])
                     best: list[tuple[float, int]] = []
                     for r in np.lexsort((firsts[cand], -score)):
                         if len(best) >= k and -score[r] > best[k - 1][0]:

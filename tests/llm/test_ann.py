@@ -77,3 +77,15 @@ def test_copies_and_odd_rows(spark):
     assert ann.searched(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [3.0, 0.5])], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in ann.searched(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+
+
+def test_tight_groups(spark):
+    """More vectors lie close together than are ranked first; none of the best is missed."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2400, 16))
+    x[:800] = x[0] + 0.05 * rng.normal(size=(800, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [j for _, j in found] for q, found in brute(rows, 20).items()}
