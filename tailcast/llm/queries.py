@@ -70,7 +70,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Lines of any length but empty ones."""
+    cleaned = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
