@@ -44,9 +44,9 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(scheme, host, path, query, mark), lambda x: ~x.isin("host=", "path=", "scheme=")))
 
 
-def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", support: float = 0.005, confidence: float = 0.75, least: int = 20) -> DataFrame:
-    """(rule, token, items, confidence): token combinations that at least ``support`` of the
-    labelled URLs, and ``least`` of them, have together with the label, and of whose URLs
+def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", confidence: float = 0.75, least: int = 20) -> DataFrame:
+    """(rule, token, items, confidence): token combinations that at least ``least`` of the
+    labelled URLs, however many these are, have together with the label, and of whose URLs
     at least ``confidence`` are blocked; ``token`` is the rarest of them. A combination adds nothing if one of
     its parts is a rule of no less confidence. No labels, no rules.
     """
@@ -55,7 +55,8 @@ def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", suppor
     urls = known.count()
     if known.where(F.array_contains("items", _BLOCKED)).count() < least:
         return spark.createDataFrame([], "rule long, token string, items array<string>, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / urls)), minConfidence=confidence).fit(known)
+    # half a URL less, so that rounding up a share of all gives the count
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / urls, minConfidence=confidence).fit(known)
     good = saved(model.associationRules.where(F.col("consequent")[0] == _BLOCKED).select(F.array_sort("antecedent").alias("items"), "confidence", F.xxhash64(F.array_sort("antecedent")).alias("rule")))
     inner = good.select(F.col("rule").alias("other"), F.col("items").alias("others"), F.col("confidence").alias("other_confidence"), F.explode("items").alias("token"))
     outer = good.select("*", F.explode("items").alias("token"))

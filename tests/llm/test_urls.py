@@ -55,3 +55,10 @@ def test_no_labels(spark):
     assert urls.mine(df).count() == 0 and urls.mine(df.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert urls.judged(pages.limit(0), none(spark), URL_RULES).count() == 0
+
+
+def test_support_is_a_count(spark):
+    """20 blocked URLs of a host suffice among 6,000 labelled ones as among few."""
+    rows = [(f"http://bad.net/{k}", True) for k in range(20)] + [(f"http://s{k}.org/{k}", False) for k in range(5980)]
+    mined = urls.mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    assert ["host=bad"] in [r["items"] for r in mined.collect()]
