@@ -81,6 +81,18 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7)) & 1 > 0
 
 
+def added_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns added for a while: ``_name``, with as many more underscores before
+    it as it takes to be none of ``df``'s, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = "_" + name
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of ``key``, for fitting. Hashes
     under a bound, set by the number of rows to let half as many again through, are
@@ -133,14 +145,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of more than ``most`` bytes in parts of about eight that end where two bytes say so,
+    so that an edit changes the parts next to it only."""
+    long = np.flatnonzero(ends - starts > most)
+    if not len(long):
+        return starts, ends
+    inside = np.zeros(len(buf) + 1, dtype=np.int8)
+    inside[starts[long] + 1] += 1
+    inside[ends[long]] -= 1
+    pair = buf[:-1].astype(np.uint64) << np.uint64(8) | buf[1:]
+    cuts = np.flatnonzero((np.cumsum(inside[1:-1]) > 0) & (mix(pair + np.uint64(1)) >> np.uint64(61) == 0)) + 1
+    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+
+
+def word_hashes(texts: list[bytes], longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, of
     all texts in order, and for each text the index of its first word (one more
-    entry at the end)."""
+    entry at the end). Words of more than ``longest`` bytes, if given, are cut."""
     buf = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
     word = ~_SPACE[buf]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
+    if longest:
+        starts, ends = _cut(buf, starts, ends, longest)
     lengths = np.fromiter((len(x) + 1 for x in texts), dtype=np.int64, count=len(texts))
     first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
