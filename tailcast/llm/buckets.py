@@ -25,15 +25,17 @@ def link(
     members: DataFrame,
     feasible: Callable[[Column, Column], Column],
     verified: Callable[[DataFrame], DataFrame],
-    across: Callable[[DataFrame], DataFrame] | None = None,
+    across: Callable[[DataFrame], DataFrame],
+    small: int,
 ) -> DataFrame:
     """(id, component), saved, for all ids with a verified link that the buckets offer.
 
     All members of a bucket are compared with its hub, the one that meets most others
-    over all buckets. What is in one component after that needs no comparison. Pairs of
-    a bucket that are still in different components are then compared, so every link
-    between members of a bucket counts: all such pairs, or those that ``across`` finds
-    among the (id, component) of such buckets, losing no link. ``feasible`` tells from
+    over all buckets. What is in one component after that needs no comparison. Members of
+    a bucket that are still in different components are compared with each other if they
+    are ``small`` in number at most, so that a member meets no more than that many; ``across``
+    finds the candidates (a, b) of all larger buckets' (key, id, attr, component), losing no
+    link. So every link between members of a bucket counts. ``feasible`` tells from
     both ``attr`` whether a pair can be linked at all; ``verified`` keeps the pairs
     (a, b) that are.
     """
@@ -46,14 +48,12 @@ def link(
     first = saved(components(links))
 
     placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_ = saved(placed.join(split, "key", "left_semi").select("key", "id", "attr", "component"))
-    if across:
-        apart = across(open_.select("id", "component").distinct())
-    else:
-        x, y = open_.alias("x"), open_.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & feasible(F.col("x.attr"), F.col("y.attr")))
-        apart = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
+    open_ = saved(placed.join(split, "key").select("key", "id", "attr", "component", "size"))
+    x, y = (open_.where(F.col("size") <= small).alias(n) for n in "xy")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & feasible(F.col("x.attr"), F.col("y.attr")))
+    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    apart = met.union(across(open_.where(F.col("size") > small).drop("size"))).distinct()
     rest = saved(apart.join(tried, ["a", "b"], "left_anti"))
     more = saved(verified(rest))
     out = saved(components(links.union(more)))

@@ -1,8 +1,9 @@
 """Licence scans by diagonal voting.
 
 All rolling three-word grams of the texts are joined by hash to the positions of the
-same grams in the templates; a hit votes for its diagonal (place in the text less
-place in the template), neighbouring diagonals are merged, and spans verified.
+same grams in the templates; a hit, of which the words are compared, votes for its diagonal
+(place in the text less place in the template), diagonals next to each other are merged, and
+spans verified: how much of the template they hold, and that no other template fits better.
 """
 
 from __future__ import annotations
@@ -12,11 +13,17 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tailcast.llm.common import saved, small_side
+
 GRAM = 3
-#: Diagonals this close are one span: words were put in or left out.
-SLACK = 3
+#: Words that may have been put in or left out of a notice in all: so many diagonals make one
+#: span, which can't be longer than the notice by more.
+SLACK = 8
 #: Share of a notice's grams that a span must hold.
 COVER = 0.7
+#: Of spans that begin within so many words of each other the fullest counts: licences
+#: of one family share most of their words.
+NEAR = 16
 
 # Phrases and their labels.
 PHRASES = {
@@ -25,13 +32,25 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Opening words of public licence notices (at most 64 words each).
+# Words of public licences and licence notices.
 NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at": "mpl-2",
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software": "unlicense",
+    "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0",
+    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd",
 }
 
 
@@ -42,12 +61,12 @@ def words(text: Column) -> Column:
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """(hash, gram, template, at, grams, exact, label): a row for each gram of each template."""
+    """(hash, gram, template, at, grams, exact, label): a row for each gram of each template, of any length."""
     rows = []
     for number, (text, label) in enumerate([*phrases.items(), *notices.items()]):
         w = text.split()
-        if not GRAM <= len(w) <= 64:
-            raise ValueError(f"a template has {GRAM} to 64 words: {text}")
+        if len(w) < GRAM:
+            raise ValueError(f"a template has {GRAM} words or more: {text}")
         rows += [(" ".join(w[i : i + GRAM]), number, i, len(w) - GRAM + 1, number < len(phrases), label) for i in range(len(w) - GRAM + 1)]
     made = spark.createDataFrame(rows, "gram string, template int, at int, grams int, exact boolean, label string")
     return made.select(F.xxhash64("gram").alias("hash"), "*")
@@ -58,26 +77,39 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases:
     verified span (places of phrases in full, notices at COVER or more), and one with a
     null template for every row of ``docs``. Words count from 0, ``last`` included.
 
-    One scan, no shuffle of grams: the templates are a fixed table of a few hundred rows.
+    A notice's span is the diagonals from one that was voted for to ``SLACK`` beyond, so that it is
+    longer than the notice by no more, whatever else of the notice is repeated beside it.
+    One scan, no shuffle of grams: hashes are held against those of the templates where they are
+    made, and what passes is joined to the templates, by broadcast if these were counted to be few.
     """
-    found = templates(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
+    found = saved(templates(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices))
     w = F.col("w")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    grams = F.when(F.size(w) >= GRAM, F.expr("transform(sequence(0, size(w) - 3), i -> named_struct('pos', i, 'gram', concat_ws(' ', w[i], w[i + 1], w[i + 2])))"))
+    rows = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    # the parameter's own size, not the texts'
+    ours = sorted({r["h"] for r in found.select(_gram_hash(F.transform(F.split("gram", " "), lambda x: F.xxhash64(x)), F.lit(0)).alias("h")).distinct().collect()})
+    starts = F.when(F.size(w) >= GRAM, F.filter(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: _gram_hash(F.col("h"), i).isin(ours)))
+    grams = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.slice(w, i + 1, GRAM)).alias("gram")))
     each = rows.select("row", "doc_id", F.size(w).cast("long").alias("n_words"), F.explode_outer(grams).alias("g")).select("row", "doc_id", "n_words", F.col("g.pos").alias("pos"), F.col("g.gram").alias("text_gram"))
-    hit = each.join(F.broadcast(found), (F.xxhash64("text_gram") == F.col("hash")) & (F.col("text_gram") == F.col("gram")), "left")
+    hit = each.join(small_side(found), (F.xxhash64("text_gram") == F.col("hash")) & (F.col("text_gram") == F.col("gram")), "left")
 
-    voted = hit.groupBy("row", "doc_id", "n_words", "template", "grams", "exact", "label", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
-    )
-    by = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > SLACK, F.lit(True))
-    banded = voted.withColumn("band", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = banded.groupBy("row", "doc_id", "n_words", "template", "grams", "exact", "label", "band").agg(F.bit_or("mask").alias("mask"), F.min("lo").alias("lo"), (F.max("hi") + GRAM - 1).alias("hi"))
-    cover = F.bit_count("mask") / F.col("grams")
-    good = F.when(F.col("exact"), F.col("cover") == 1.0).otherwise((F.col("cover") >= COVER) & (F.col("hi") - F.col("lo") + 1 <= 2 * (F.col("grams") + GRAM)))
-    named = merged.withColumn("cover", cover).withColumn("good", good)
-    return named.select("row", "doc_id", "n_words", *[F.when(F.col("good"), F.col(c)).alias(n) for c, n in (("template", "template"), ("exact", "exact"), ("label", "label"), ("lo", "first"), ("hi", "last"), ("cover", "cover"))])
+    named = ["row", "doc_id", "n_words", "template", "grams", "exact", "label"]
+    voted = hit.groupBy(*named, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("spots"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    beside = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(Window.currentRow, SLACK)
+    spots = F.when(F.col("exact"), F.col("spots")).otherwise(F.array_distinct(F.flatten(F.collect_list("spots").over(beside))))
+    lo, hi = (F.when(F.col("exact"), F.col(c)).otherwise(f(c).over(beside)) for c, f in (("lo", F.min), ("hi", F.max)))
+    merged = voted.select(*named, "diagonal", (F.size(spots) / F.col("grams")).alias("cover"), lo.alias("lo"), (hi + GRAM - 1).alias("hi"))
+    # the fullest, then longest template's, then first
+    value = F.struct("cover", "grams", (-F.col("template")).alias("t"), (-F.col("diagonal")).alias("d"))
+    best = F.max(value).over(Window.partitionBy("row", "exact").orderBy("lo").rangeBetween(-NEAR, NEAR))
+    good = F.when(F.col("exact"), F.col("cover") == 1.0).otherwise((F.col("cover") >= COVER) & (F.col("value") == F.col("best")))
+    judged = merged.withColumn("value", value).withColumn("best", best).withColumn("good", good)
+    return judged.select("row", "doc_id", "n_words", *[F.when(F.col("good"), F.col(c)).alias(n) for c, n in (("template", "template"), ("exact", "exact"), ("label", "label"), ("lo", "first"), ("hi", "last"), ("cover", "cover"))])
+
+
+def _gram_hash(hashes: Column, i: Column) -> Column:
+    """Of the words at i, i + 1 and i + 2."""
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(GRAM)])
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **tables: dict[str, str]) -> DataFrame:
@@ -86,7 +118,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **table
     base_labels, labels (notices' too; sorted, comma-joined, '' for none), score (largest
     share of a template that a span holds, 0 without).
 
-    Null and empty texts have no words. Repeated rows, equal or null ids each give a row.
+    Null and empty texts have no words. Other columns are not read. Repeated rows, equal or null ids each give a row.
     """
     base = F.col("exact")
     labelled = spans(docs, doc_id, text, **tables).groupBy("row", "doc_id", "n_words").agg(

@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     members = shared_only(keys, sized(F.min("attr"), F.max("attr")))
     texts = saved(own.join(members.select("id").distinct(), "id", "left_semi"))
-    linked = link(members, sized, lambda pairs: verified(pairs, texts, shingle, percent), lambda placed: across_components(placed, texts, shingle, percent))
+    linked = link(members, sized, lambda pairs: verified(pairs, texts, shingle, percent), lambda placed: across_components(placed.select("id", "component").distinct(), texts, shingle, percent), 0)
     # written, so that the hot side of the last join is an exchange that can be split
     named = saved(classes.select("digest", F.col("id").alias("name")).join(linked.withColumnRenamed("id", "name"), "name", "left").select("digest", F.coalesce("component", "name").alias("component")))
     out = signed.join(named, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

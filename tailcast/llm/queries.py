@@ -56,13 +56,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, blocked): pages that a fixed rule decides, by it, and other pages whose path has the number
+    of a labelled document, which is the page's text: blocked if it is bad or toxic."""
+    known = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("_bad"))
+    number = F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})", 1)
+    numbered = pages.select("url", F.when(number != "", number).cast("long").alias("doc_id"), urls.by_rules(F.col("url"), URL_RULES).alias("_fixed"))
+    both = numbered.join(known, "doc_id", "left").select("url", F.coalesce("_fixed", "_bad").alias("blocked"))
+    return both.where("blocked is not null")
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled are the pages whose path has the number of a labelled document."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     pages = table(spark, sf_dir, "pages")
-    number = F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})", 1)
-    numbered = pages.select("url", F.when(number != "", number).cast("long").alias("doc_id"))
-    return urls.judged(pages, urls.mine(numbered.join(labels, "doc_id")), URL_RULES)
+    return urls.judged(pages, urls.mine(labelled_urls(pages, table(spark, sf_dir, "labels"))), URL_RULES)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +97,16 @@ ORACLE_SQL: dict[str, str] = {
         g as (select row, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] as gram from (select row, w, unnest(range(0, len(w) - 2)) as pos from w)),
         t(gram, template, spot, grams, exact, label) as (values {TEMPLATES}),
         voted as (
-            select row, template, grams, exact, label, pos - spot as diagonal, bit_or(1::ubigint << spot::ubigint) as mask, min(pos) as lo, max(pos) as hi
+            select row, template, grams, exact, label, pos - spot as diagonal, list(distinct spot) as spots, min(pos) as lo, max(pos) as hi
             from g join t using (gram) group by all),
-        banded as (
-            select *, sum(case when exact or step is null or step > {licence.SLACK} then 1 else 0 end) over (partition by row, template order by diagonal) as band
-            from (select *, diagonal - lag(diagonal) over (partition by row, template order by diagonal) as step from voted)),
-        merged as (select row, template, grams, exact, label, band, bit_count(bit_or(mask)) / grams as cover, min(lo) as lo, max(hi) + 2 as hi from banded group by row, template, grams, exact, label, band),
-        good as (select * from merged where case when exact then cover = 1 else cover >= {licence.COVER} and hi - lo + 1 <= 2 * (grams + {licence.GRAM}) end)
+        merged as (
+            select row, template, grams, exact, label, diagonal,
+                (case when exact then len(spots) else len(list_distinct(flatten(list(spots) over beside))) end) / grams as cover,
+                case when exact then lo else min(lo) over beside end as lo, (case when exact then hi else max(hi) over beside end) + 2 as hi
+            from voted window beside as (partition by row, template order by diagonal range between current row and {licence.SLACK} following)),
+        valued as (select *, [cover, grams, -template, -diagonal]::double[] as value from merged),
+        judged as (select *, max(value) over (partition by row, exact order by lo range between {licence.NEAR} preceding and {licence.NEAR} following) as best from valued),
+        good as (select * from judged where case when exact then cover = 1 else cover >= {licence.COVER} and value = best end)
         select doc_id, len(any_value(w)) as n_words, count(*) filter (exact) as n_base, min(lo) filter (exact) as first_word, max(lo) filter (exact) as last_word,
             coalesce(string_agg(distinct label, ',' order by label) filter (exact), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(cover), 0.0::double) as score
         from w left join good using (row) group by row, doc_id""",

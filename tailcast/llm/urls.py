@@ -1,7 +1,7 @@
 """URL filters from association rules.
 
 FP-growth mines which combinations of URL tokens go with blocked pages; rules pruned
-by support and confidence are indexed by their rarest token, and a URL is held only
+by support, confidence and lift are indexed by their rarest token, and a URL is held only
 against the rules that its tokens lead to. Fixed rules of host and path come first.
 """
 
@@ -14,11 +14,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import saved, small_side
+from tailcast.llm.common import discard, saved, small_side
 
 #: (verdict, host and path); the longest that fits decides.
 Rules = Sequence[tuple[str, str]]
-_BLOCKED = "label=block"
+#: Standard deviations of the interval that a rule's share of blocked URLs lies in: 90 %.
+SURE = 1.645
 
 
 def host_of(url: Column) -> Column:
@@ -44,27 +45,65 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(scheme, host, path, query, mark), lambda x: ~x.isin("host=", "path=", "scheme=")))
 
 
-def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", confidence: float = 0.75, least: int = 20) -> DataFrame:
-    """(rule, token, items, confidence): token combinations that at least ``least`` of the
-    labelled URLs, however many these are, have together with the label, and of whose URLs
-    at least ``confidence`` are blocked; ``token`` is the rarest of them. A combination adds nothing if one of
-    its parts is a rule of no less confidence. No labels, no rules.
+def _lowest(blocked: Column, urls: Column) -> Column:
+    """Lower end of Wilson's interval of a share, so that few URLs alone make no confident rule."""
+    share, z = blocked / urls, SURE * SURE / urls
+    return (share + z / 2 - SURE * F.sqrt(share * (1 - share) / urls + z / (4 * urls))) / (1 + z)
+
+
+def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", confidence: float = 0.75, least: int = 5, lift: float = 1.5, longest: int = 3, widest: int = 12) -> DataFrame:
+    """(rule, token, items, blocked, urls, confidence), saved: combinations of up to ``longest`` tokens that
+    at least ``least`` different blocked URLs have, however many are labelled, and whose URLs are blocked
+    in a share of at least ``confidence`` and ``lift`` times the rate of all, by the lower end of the share's
+    90 % interval (``confidence`` in the result). ``token`` is the rarest one. A combination adds nothing
+    if a part of it is a rule of no less confidence. No labels, no rules.
+
+    FP-growth runs over the blocked URLs' frequent tokens; how often combinations are found among all is
+    counted through the index that matches rules. Tokens that the same URLs have are one item, named by
+    all of them in a rule, and a URL has at most ``widest`` items in the mining (those of the largest share
+    blocked), so that the combinations of a URL are bounded, whatever its length. A URL with
+    different labels counts as blocked if most of them are; equal URLs count once.
     """
     spark = labelled.sparkSession
-    known = saved(labelled.where(F.col(blocked).isNotNull() & F.col(url).isNotNull()).select(F.when(F.col(blocked), F.array_append(tokens(F.col(url)), _BLOCKED)).otherwise(tokens(F.col(url))).alias("items")))
-    urls = known.count()
-    if known.where(F.array_contains("items", _BLOCKED)).count() < least:
-        return spark.createDataFrame([], "rule long, token string, items array<string>, confidence double")
+    known = labelled.where(F.col(blocked).isNotNull() & F.col(url).isNotNull()).groupBy(F.col(url).alias("url")).agg((F.avg(F.col(blocked).cast("int")) > 0.5).alias("blocked"))
+    known = saved(known.select(F.xxhash64("url").alias("id"), "blocked", tokens(F.col("url")).alias("tokens")))
+    rate = known.agg(F.avg(F.col("blocked").cast("int")), F.count_if("blocked")).first()
+    empty = spark.createDataFrame([], "rule long, token string, items array<string>, blocked long, urls long, confidence double")
+    if (rate[1] or 0) < least:
+        return empty
+    bad = F.count_if("blocked").alias("bad")
+    # a sum of hashes tells whether two tokens have the same URLs
+    counted = known.select("id", "blocked", F.explode("tokens").alias("token")).groupBy("token").agg(bad, F.count("*").alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("urls"))
+    items = counted.where(F.col("bad") >= least).groupBy("urls", "n", "bad").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("tokens"))
+    items = saved(items.select("item", "tokens", "n", (F.col("bad") / F.col("n")).alias("share")))
+    each = known.where("blocked").select("id", F.explode("tokens").alias("item")).join(small_side(items.select("item", "share")), "item")
+    baskets = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("share", "item")), asc=False).alias("i")).select(F.slice("i", 1, widest)["item"].alias("items"))
+    baskets = saved(baskets)
+    urls = baskets.count()
+    if urls < least:
+        return empty
     # half a URL less, so that rounding up a share of all gives the count
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / urls, minConfidence=confidence).fit(known)
-    good = saved(model.associationRules.where(F.col("consequent")[0] == _BLOCKED).select(F.array_sort("antecedent").alias("items"), "confidence", F.xxhash64(F.array_sort("antecedent")).alias("rule")))
-    inner = good.select(F.col("rule").alias("other"), F.col("items").alias("others"), F.col("confidence").alias("other_confidence"), F.explode("items").alias("token"))
-    outer = good.select("*", F.explode("items").alias("token"))
-    covered = outer.join(inner, "token").where((F.size("others") < F.size("items")) & (F.size(F.array_except("others", "items")) == 0) & (F.col("other_confidence") >= F.col("confidence"))).select("rule").distinct()
-    rules = good.join(covered, "rule", "left_anti")
-    seen = known.select(F.explode("items").alias("token")).groupBy("token").count()
-    rarest = rules.select("rule", F.explode("items").alias("token")).join(seen, "token").groupBy("rule").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
-    return rules.join(rarest, "rule").select("rule", "token", "items", "confidence")
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / urls, minConfidence=1.0).fit(baskets).freqItemsets
+    sets = saved(found.where(F.size("items") <= longest).select(F.array_sort("items").alias("items")))
+    rare = sets.select(F.monotonically_increasing_id().alias("set"), "items")
+    rare = saved(rare)
+    named = rare.select("set", F.explode("items").alias("item")).join(items, "item").groupBy("set").agg(F.min_by("item", F.struct("n", "item")).alias("token"), F.array_sort(F.flatten(F.collect_list("tokens"))).alias("items"))
+    index = saved(named)
+    met = known.select("blocked", "tokens", F.explode("tokens").alias("token")).join(small_side(index), "token").where(F.size(F.array_except("items", "tokens")) == 0)
+    sums = met.groupBy("set").agg(F.count_if("blocked").alias("blocked"), F.count("*").alias("urls")).withColumn("confidence", _lowest(F.col("blocked"), F.col("urls")))
+    good = saved(sums.where((F.col("blocked") >= least) & (F.col("confidence") >= confidence) & (F.col("confidence") >= lift * rate[0])).join(rare.withColumnRenamed("items", "parts"), "set").join(index, "set"))
+    within = good.select("set", "confidence", F.explode(_parts(F.col("parts"), longest)).alias("parts"))
+    covered = within.alias("x").join(good.alias("y"), (F.col("x.parts") == F.col("y.parts")) & (F.col("y.confidence") >= F.col("x.confidence"))).select(F.col("x.set").alias("set")).distinct()
+    rules = saved(good.join(covered, "set", "left_anti").select(F.xxhash64("items").alias("rule"), "token", "items", "blocked", "urls", "confidence"))
+    discard(known, items, baskets, sets, rare, index, good)
+    return rules
+
+
+def _parts(items: Column, longest: int) -> Column:
+    """All non-empty true subsets of a sorted array of at most ``longest`` items."""
+    masks = F.array([F.lit(m) for m in range(1, (1 << longest) - 1)])
+    some = F.transform(masks, lambda m: F.filter(items, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+    return F.filter(F.array_distinct(some), lambda x: (F.size(x) > 0) & (F.size(x) < F.size(items)))
 
 
 def _fitting(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
@@ -76,6 +115,11 @@ def _fitting(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def by_rules(url: Column, rules: Rules) -> Column:
+    """Whether the longest of ``rules`` that fits blocks the url; null if none fits."""
+    return _fitting(host_of(url), path_of(url), rules)[1] == "block"
+
+
 def judged(pages: DataFrame, mined: DataFrame, rules: Rules, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """One row for every row of ``pages``: page_id, host, path, rule (the longest fixed one
     that fits its host or a parent of it and the start of its path; else null), verdict
