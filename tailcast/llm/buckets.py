@@ -11,14 +11,18 @@ from tailcast.llm.common import discard, saved
 from tailcast.llm.graph import components
 
 
-def shared_only(keys: DataFrame, pair: Column) -> DataFrame:
-    """The rows of (key, id, attr) whose key has several, with their number ``members``,
-    saved. Keys are counted map-side first; nothing is gathered by key. Where just two
-    share a key, mostly by chance and more so the more rows there are, they go at once
-    if ``pair``, an aggregate of their ``attr``, shows that they can't be linked."""
-    counted = keys.groupBy("key").agg(F.count("*").alias("members"), pair.alias("could"))
-    many = counted.where("members > 2 or (members = 2 and could)")
-    return saved(keys.join(many.select("key", "members"), "key"))
+def shared_only(keys: DataFrame, nodes: DataFrame, pair: Column) -> DataFrame:
+    """(key, id, attr, members), saved: the rows of (key, id) whose key has several, with their number
+    and the ``attr`` of (id, attr). Keys are counted map-side first, nothing is gathered by key, and
+    only keys and ids are shuffled. Where just two share a key, mostly by chance and more so the more
+    rows there are, they go at once if ``pair``, an aggregate of their ``attr``, shows that they can't be linked.
+    """
+    counted = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    found = saved(keys.join(counted, "key").join(nodes, "id").select("key", "id", "attr", "members"))
+    vain = found.where("members = 2").groupBy("key").agg(pair.alias("could")).where("not could").select("key")
+    out = saved(found.join(vain, "key", "left_anti"))
+    discard(found)
+    return out
 
 
 def link(

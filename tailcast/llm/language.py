@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tailcast.llm.common import bounded_sample, saved, small_side, steps
 from tailcast.llm.urls import host_of, path_of
 
-#: Documents that the text model is fitted on at most: those with the smallest hashed ids.
+#: Ids whose documents the text model is fitted on at most: those with the smallest hashes.
 FIT_ROWS = 10_000
 #: Byte pairs are not independent: so many of them count as one.
 PAIRS_A_WITNESS = 4.0
@@ -28,17 +28,58 @@ PAIRS_A_WITNESS = 4.0
 #: corpus's distribution in what a declaration or suffix says.
 PRIOR = 10.0
 
-_markup = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_declared = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
+_raw = re.compile(rb"<(script|style)\b")
+_end = re.compile(rb"\s*>")
+_lang = re.compile(rb"\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
 
 
 def visible(html: bytes) -> bytes:
-    return _markup.sub(b" ", html)
+    """The text outside of tags, comments, scripts and styles, with a space for each. One pass: an
+    end that was looked for in vain is not looked for again."""
+    low, out, at, missing = html.lower(), [], 0, set()
+
+    def after(what: bytes, start: int, end: re.Pattern | None = None) -> int:
+        """Where what comes after ``what`` begins, -1 without."""
+        while what not in missing:
+            found = low.find(what, start)
+            if found < 0:
+                missing.add(what)
+                break
+            start = found + len(what)
+            if end is None:
+                return start
+            if closed := end.match(low, start):
+                return closed.end()
+        return -1
+
+    while (start := low.find(b"<", at)) >= 0:
+        stop = -1
+        if raw := _raw.match(low, start):
+            stop = after(b"</" + raw[1], raw.end(), _end)
+        elif low.startswith(b"<!--", start):
+            stop = after(b"-->", start + 4)
+        if stop < 0:
+            stop = after(b">", start + 1)
+        if stop < 0:
+            break
+        out.append(html[at:start])
+        at = stop
+    return b" ".join([*out, html[at:]])
 
 
 def declared(html: bytes) -> str:
-    found = _declared.search(html)
-    return found[1].decode().lower() if found else ""
+    """The language in the first ``html`` tag that has one, or ''."""
+    low, at = html.lower(), 0
+    while (start := low.find(b"<html", at)) >= 0:
+        at = start + 5
+        if low[at : at + 1].isalnum() or low[at : at + 1] == b"_":
+            continue
+        stop = low.find(b">", at)
+        stop = len(low) if stop < 0 else stop
+        if found := _lang.search(low, at, stop):
+            return found[1].decode()
+        at = stop
+    return ""
 
 
 def _pairs(text: bytes) -> np.ndarray:
@@ -52,10 +93,12 @@ def _pairs(text: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the log-probability of each byte pair in each, from at most
-    ``most`` documents, counted by language before anything comes to the driver."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    chosen = bounded_sample(known, "key", most).select("lang", "text")
+    """Languages in order, and the log-probability of each byte pair in each, from the documents of at most
+    ``most`` ids, counted where they are read and summed by language before anything comes to the driver.
+    Rows without id, language or text take no part."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    ids = bounded_sample(known.select("key").distinct(), "key", most)
+    chosen = known.join(F.broadcast(ids), "key", "left_semi").select("lang", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -85,8 +128,9 @@ def identified(pages: DataFrame, model: tuple[list[str], np.ndarray], page_id: s
     text_lang (most likely by the text alone), lang, probability, both null if the
     model has no languages.
 
+    What hosts, paths, declarations and suffixes say of a page comes from all other pages only.
     A page without text, null or empty html, or a null url keeps the other evidence and
-    the priors. Repeated rows, equal or null ids each give a row and count in the priors.
+    the priors. Other columns are not read. Repeated rows, equal or null ids each give a row and count in the priors.
     """
     langs, table = model
     if not langs:
@@ -113,14 +157,19 @@ def identified(pages: DataFrame, model: tuple[list[str], np.ndarray], page_id: s
     total = read.agg(*[F.sum(f"p{i}") for i in each]).first()
     corpus = [((x or 0) + 1) / (sum(y or 0 for y in total) + len(langs)) for x in total]
     paths = sums(["host", "path"], "s")
-    hosts = saved(paths.groupBy("host").agg(*[F.sum(f"s{i}").alias(f"h{i}") for i in each]))
-    host_prior = hosts.select("host", *[c.alias(f"g{i}") for i, c in enumerate(_shares([F.col(f"h{i}") + PRIOR * corpus[i] for i in each]))])
-    path_prior = saved(paths.join(host_prior, "host").select("host", "path", *[c.alias(f"prior{i}") for i, c in enumerate(_shares([F.col(f"s{i}") + PRIOR * F.col(f"g{i}") for i in each]))]))
-    told = [sums([c], c[0]).select(c, *[(s / corpus[i]).alias(f"{c}_odds{i}") for i, s in enumerate(_shares([F.col(f"{c[0]}{i}") + PRIOR * corpus[i] for i in each]))]) for c in ("declared", "suffix")]
-    joined = read.join(small_side(path_prior), ["host", "path"])
-    for t in told:
-        joined = joined.join(small_side(t), t.columns[0])
-    weights = [F.col(f"p{i}") * F.col(f"prior{i}") * F.col(f"declared_odds{i}") * F.col(f"suffix_odds{i}") for i in each]
+    hosts = paths.groupBy("host").agg(*[F.sum(f"s{i}").alias(f"h{i}") for i in each])
+    joined = read.join(small_side(saved(paths.join(hosts, "host"))), ["host", "path"])
+    for c in ("declared", "suffix"):
+        joined = joined.join(small_side(sums([c], c)), c)
+
+    def others(name: str, prior: list[Column]) -> list[Column]:
+        """Distribution of the sums without the page itself, leaning on ``prior``."""
+        return _shares([F.greatest(F.col(f"{name}{i}") - F.col(f"p{i}"), F.lit(0.0)) + PRIOR * prior[i] for i in each])
+
+    whole_corpus = [F.lit(c) for c in corpus]
+    prior = others("s", others("h", whole_corpus))
+    told = [others(c, whole_corpus) for c in ("declared", "suffix")]
+    weights = [F.col(f"p{i}") * prior[i] * told[0][i] / corpus[i] * told[1][i] / corpus[i] for i in each]
     whole = sum(weights[1:], weights[0])
     first = F.array_max(F.array(*[F.struct((w / whole).alias("p"), F.lit(-i).alias("i")) for i, w in enumerate(weights)]))
     alone = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("i")) for i in each]))

@@ -125,12 +125,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = saved(signatures(own, shingle, tables, width))
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("u").alias("u"), F.first("v").alias("v")).where("id is not null")
-    keys = classes.select("id", "n", F.explode("u").alias("u"), "v").select("id", "n", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "id", F.col("n").alias("attr"))
+    keys = classes.select("id", F.explode("u").alias("u"), "v").select("id", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "id")
 
     def sized(x: Column, y: Column) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    members = shared_only(keys, sized(F.min("attr"), F.max("attr")))
+    members = shared_only(keys, classes.select("id", F.col("n").alias("attr")), sized(F.min("attr"), F.max("attr")))
     texts = saved(own.join(members.select("id").distinct(), "id", "left_semi"))
     linked = link(members, sized, lambda pairs: verified(pairs, texts, shingle, percent), lambda placed: across_components(placed.select("id", "component").distinct(), texts, shingle, percent), 0)
     # written, so that the hot side of the last join is an exchange that can be split

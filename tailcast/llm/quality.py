@@ -13,10 +13,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import bounded_sample, saved, small_side, steps, word_hashes
+from tailcast.llm.common import added_names, bounded_sample, discard, saved, small_side, steps, word_hashes
 
 #: Documents that the classifier is fitted on at most: those whose hashed ids are smallest.
 FIT_ROWS = 20_000
@@ -73,7 +73,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = FIT_ROWS) -> np.ndarray:
-    """Weights fitted on at most ``most`` labelled documents, whose features alone come
+    """Weights fitted on documents of at most ``most`` labelled ids, one of each, whose features alone come
     to the driver. Null labels and texts without a label take no part."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y"))
     known = bounded_sample(known.groupBy("_id").agg(F.avg("_y").alias("_y")), "_id", most)
@@ -83,20 +83,21 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for rows, texts in steps(batches, "_text"):
             yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_y"), pa.array(features(texts).tolist(), pa.list_(pa.float64()))], names=["i", "y", "x"])
 
-    found = sorted(chosen.mapInArrow(run, "i long, y double, x array<double>").collect())
+    # one row an id, however often it is repeated
+    found = sorted(chosen.mapInArrow(run, f"i {chosen.schema['_id'].dataType.simpleString()}, y double, x array<double>").groupBy("i").agg(F.min(F.struct("y", "x")).alias("f")).select("f.*").collect())
     x = np.array([r["x"] for r in found]).reshape(len(found), features([b""]).shape[1])
     return fit(x, np.array([float(r["y"] >= 0.5) for r in found]))
 
 
-def with_evidence(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``_p``, the classifier's probability from the whole text."""
+def with_evidence(docs: DataFrame, weights: np.ndarray, text: str, evidence: str) -> DataFrame:
+    """``docs`` with ``evidence``, the classifier's probability from the whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in steps(batches, text):
             logit = features(texts) @ weights[:-1] + weights[-1]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=[*rows.schema.names, "_p"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=[*rows.schema.names, evidence])
 
-    return docs.mapInArrow(run, docs.withColumn("_p", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(evidence, F.lit(0.0)).schema)
 
 
 def _strength(sites: DataFrame, mean: str, n: str, rate: float) -> float:
@@ -110,41 +111,62 @@ def _strength(sites: DataFrame, mean: str, n: str, rate: float) -> float:
     return float(np.clip(rate * (1 - rate) / max(spread, 1e-6) - 1, 1.0, 1e4))
 
 
-def site_posteriors(scored: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
-    """(_host, _path, _n, _sum, _parent, _strength): documents and summed evidence of each
-    path, the host's posterior rate and the pseudo-counts it counts for; the corpus's rate."""
-    by_path = saved(scored.groupBy(host.alias("_host"), path.alias("_path")).agg(F.count("*").alias("_n"), F.sum("_p").alias("_sum"), F.sum(F.col("_p") ** 2).alias("_sq")))
-    by_host = saved(by_path.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_sum").alias("_hsum"), F.sum("_sq").alias("_hsq")))
-    total = by_host.agg(F.sum("_hsum"), F.sum("_hn")).first()
+def site_sums(scored: DataFrame) -> tuple[DataFrame, float, float]:
+    """For (host, path, p): (host, path, n, sum, host_n, host_sum, strength), saved: documents and summed
+    evidence of each path and of its host, and the pseudo-counts that a path's host counts for; then those
+    that the corpus counts for at a host, and the corpus's rate."""
+    by_path = saved(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("sum"), F.sum(F.col("p") ** 2).alias("sq")))
+    by_host = saved(by_path.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("sum").alias("host_sum"), F.sum("sq").alias("host_sq")))
+    total = by_host.agg(F.sum("host_sum"), F.sum("host_n")).first()
     rate = float(np.clip(total[0] / total[1], 1e-6, 1 - 1e-6)) if total[1] else 0.5
-    means = by_host.select("_hn", (F.col("_hsum") / F.col("_hn")).alias("m"), (F.col("_hsq") - F.col("_hsum") ** 2 / F.col("_hn")).alias("within"))
-    of_host = _strength(means, "m", "_hn", rate)
-    means = by_path.select("_n", (F.col("_sum") / F.col("_n")).alias("m"), (F.col("_sq") - F.col("_sum") ** 2 / F.col("_n")).alias("within"))
-    of_path = _strength(means, "m", "_n", rate)
-    hosts = by_host.select("_host", ((F.col("_hsum") + of_host * rate) / (F.col("_hn") + of_host)).alias("_parent"))
-    return saved(by_path.join(hosts, "_host").select("_host", "_path", "_n", "_sum", "_parent", F.lit(of_path).alias("_strength"))), rate
-
-
-def classified(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
+    means = by_host.select("host_n", (F.col("host_sum") / F.col("host_n")).alias("m"), (F.col("host_sq") - F.col("host_sum") ** 2 / F.col("host_n")).alias("within"))
+    of_host = _strength(means, "m", "host_n", rate)
+    means = by_path.select("n", (F.col("sum") / F.col("n")).alias("m"), (F.col("sq") - F.col("sum") ** 2 / F.col("n")).alias("within"))
+    of_path = _strength(means, "m", "n", rate)
+    sites = saved(by_path.join(by_host, "host").select("host", "path", "n", "sum", "host_n", "host_sum", F.lit(of_path).alias("strength")))
+    discard(by_path, by_host)
+    return sites, of_host, rate
+
+
+def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, host: str, path: str, whole: bool) -> tuple[DataFrame, list[str]]:
+    """``docs`` (without the text if not ``whole``) and columns whose names none of them has: the text's
+    evidence, the site's rate, both together."""
+    weights = train(docs, labels, doc_id, text)
+    p, site, quality, h, l, *sums = added_names(docs, "p", "site", "quality", "host", "path", "n", "sum", "host_n", "host_sum", "strength")
+    placed = docs.withColumns({name: F.coalesce(F.col(c).cast("string"), F.lit("")) for name, c in ((h, host), (l, path))})
+    scored = with_evidence(placed, weights, text, p)
+    if whole:  # worked out again where rows are read, so that no text is written
+        narrow = with_evidence(placed.select(text, h, l), weights, text, p)
+    else:
+        scored = narrow = saved(scored.drop(text))
+    sites, of_host, rate = site_sums(narrow.select(F.col(h).alias("host"), F.col(l).alias("path"), F.col(p).alias("p")))
+    joined = scored.join(small_side(sites.toDF(h, l, *sums)), [h, l])
+    n, total, host_n, host_sum, strength = (F.col(c) for c in sums)
+    # all without the document itself
+    parent = (host_sum - F.col(p) + of_host * rate) / (host_n - 1 + of_host)
+    own = (total - F.col(p) + strength * parent) / (n - 1 + strength)
+    odds = F.col(p) / (1 - F.col(p)) * F.col(site) / (1 - F.col(site)) / (rate / (1 - rate))
+    out = joined.withColumn(site, F.least(F.greatest(own, F.lit(1e-6)), F.lit(1 - 1e-6))).withColumn(quality, odds / (1 + odds))
+    return out, [p, site, quality]
+
+
+def classified(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", whole: bool = True) -> DataFrame:
     """``docs`` with ``_p`` (the text's evidence), ``_site`` (the posterior rate of its
-    path without itself) and ``_quality`` (both combined by their odds).
+    path, which leans on its host's and that on the corpus's, all but the last without the document
+    itself) and ``_quality`` (both combined by their odds), which replace columns of these names;
+    others pass through. Without the text's column if not ``whole``: texts are read once then.
 
     Null or empty texts have the evidence of their (zero) features; null hosts and paths
     are '' . With no labels, or of one kind only, everything gets that rate. Repeated rows
     each count. Sites are joined by broadcast only if they were counted to be few.
     """
-    weights = train(docs, labels, doc_id, text)
-    h, p = F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit(""))
-    narrow = with_evidence(docs.select(F.col(text).alias("text"), h.alias("_h"), p.alias("_l")), weights).select("_h", "_l", "_p")
-    sites, rate = site_posteriors(narrow, F.col("_h"), F.col("_l"))
-    scored = with_evidence(docs, weights, text).withColumns({"_host": h, "_path": p})
-    joined = scored.join(small_side(sites), ["_host", "_path"])
-    site = (F.col("_sum") - F.col("_p") + F.col("_strength") * F.col("_parent")) / (F.col("_n") - 1 + F.col("_strength"))
-    site = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
-    odds = F.col("_p") / (1 - F.col("_p")) * F.col("_site") / (1 - F.col("_site")) / (rate / (1 - rate))
-    return joined.withColumn("_site", site).withColumn("_quality", odds / (1 + odds)).select(*docs.columns, "_p", "_site", "_quality")
-
-
-def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **names: str) -> DataFrame:
-    """``docs`` without those whose posterior is below ``threshold``."""
-    return classified(docs, labels, **names).where(F.col("_quality") >= threshold).select(*docs.columns)
+    judged, names = _judged(docs, labels, doc_id, text, host, path, whole)
+    results = ["_p", "_site", "_quality"]
+    rest = [c for c in docs.columns if c.lower() not in results and (whole or c != text)]
+    return judged.select(*rest, *[F.col(c).alias(r) for c, r in zip(names, results, strict=True)])
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
+    """``docs`` without those whose posterior is below ``threshold``; columns of any names pass through."""
+    judged, names = _judged(docs, labels, doc_id, text, host, path, True)
+    return judged.where(F.col(names[2]) >= threshold).select(*docs.columns)

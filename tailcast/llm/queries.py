@@ -35,7 +35,7 @@ def op2_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.classified(docs, labels).select("doc_id", F.col("_p").alias("evidence"), F.col("_site").alias("site_rate"), F.col("_quality").alias("quality"), (F.col("_quality") >= quality.THRESHOLD).alias("kept"))
+    return quality.classified(docs.select("doc_id", "text", "source", "lang"), labels, whole=False).select("doc_id", F.col("_p").alias("evidence"), F.col("_site").alias("site_rate"), F.col("_quality").alias("quality"), (F.col("_quality") >= quality.THRESHOLD).alias("kept"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

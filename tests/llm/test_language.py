@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 
@@ -28,6 +30,50 @@ def test_visible_and_declared():
     assert not language._pairs(b"").any() and not language._pairs(b"  .,9").any()
 
 
+def test_markup_of_any_length_and_shape():
+    """As the patterns that define both, and in time that grows with the size only."""
+    markup = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    said = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
+    rng = random.Random(0)
+    parts = [b"<", b">", b"<script ", b"</script", b"</script >", b"<style>", b"</style>", b"<!--", b"-->", b"text", b"<html ", b"<HTML", b" lang = 'DE", b" lang=fr", b"<b>", b" ", b"</", b"<scripts>"]
+    for _ in range(3000):
+        html = b"".join(rng.choices(parts, k=rng.randrange(14)))
+        assert language.visible(html) == markup.sub(b" ", html), html
+        found = said.search(html)
+        assert language.declared(html) == (found[1].decode().lower() if found else ""), html
+    began = time.time()
+    for x in (b"<script ", b"<html ", b"<!--", b"</script ", b"<script>x</script ", b"<", b"lang ", b"<html lang " + b" " * 50):
+        language.visible(x * 100_000), language.declared(x * 100_000)
+    assert time.time() - began < 20
+
+
+def test_posterior_against_brute_force(spark):
+    """Every page's probabilities, with priors counted over all other pages one by one."""
+    rng = random.Random(3)
+    m = model(spark)
+    langs, table = m
+    rows = [page(rng, i, lang, said=rng.choice([lang, lang, "aa"]), host=rng.choice(["x.y.aa", "y.cc", lang + ".bb"]), n=rng.choice([0, 1, 3])) for i, lang in enumerate(rng.choices(list(SYLLABLES), k=90))]
+    got = {r["page_id"]: r for r in language.identified(spark.createDataFrame(rows, "page_id long, url string, html string"), m).collect()}
+    p, keys = {}, {}
+    for i, url, html in rows:
+        log = table @ language._pairs(language.visible(html.encode())) / language.PAIRS_A_WITNESS
+        p[i] = np.exp(np.maximum(log - log.max(), -30))
+        p[i] /= p[i].sum()
+        host, path = url.split("/")[2:4]
+        keys[i] = (host,), (host, path), ("said", language.declared(html.encode())), ("suffix", host.split(".")[-1])
+    corpus = (sum(p.values()) + 1) / (len(rows) + len(langs))
+    share = lambda x: x / x.sum()
+
+    def others(i, k, prior):
+        return share(sum((p[j] for j in p if j != i and keys[j][k] == keys[i][k]), np.zeros(3)) + language.PRIOR * prior)
+
+    for i, *_ in rows:
+        prior = others(i, 1, others(i, 0, corpus))
+        whole = share(p[i] * prior * others(i, 2, corpus) / corpus * others(i, 3, corpus) / corpus)
+        assert abs(got[i]["probability"] - whole.max()) < 1e-6
+        assert whole[langs.index(got[i]["lang"])] > whole.max() - 1e-6
+
+
 def test_held_out_pages(spark):
     rng = random.Random(1)
     m = model(spark)

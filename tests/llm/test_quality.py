@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tailcast.llm import quality
 
@@ -26,15 +27,65 @@ def test_parts_good_from_bad(spark):
     assert quality.kept(d, labels).columns == d.columns
 
 
-def test_site_posterior_by_hand(spark):
-    scored = spark.createDataFrame([("h1", "a", 0.9), ("h1", "a", 0.7), ("h1", "b", 0.2), ("h2", "a", 0.4)], "h string, p string, _p double")
-    sites, rate = quality.site_posteriors(scored, scored["h"], scored["p"])
-    got = {(r["_host"], r["_path"]): r for r in sites.collect()}
-    assert abs(rate - 0.55) < 1e-12
-    one = got["h1", "a"]
-    assert (one["_n"], round(one["_sum"], 9)) == (2, 1.6)
-    assert min(1.8 / 3, 0.55) <= one["_parent"] <= max(1.8 / 3, 0.55)
-    assert got["h2", "a"]["_parent"] <= 0.55
+def plain_strength(groups, rate):
+    """Pseudo-counts by the method of moments, from lists of evidence by site."""
+    n = np.array([len(g) for g in groups], dtype=float)
+    if len(n) < 2:
+        return 100.0
+    mean = np.array([np.mean(g) for g in groups])
+    inner = sum(((np.array(g) - m) ** 2).sum() for g, m in zip(groups, mean, strict=True)) / max(n.sum() - len(n), 1)
+    spread = ((n * (mean - rate) ** 2).sum() - (len(n) - 1) * inner) / max(n.sum() - (n**2).sum() / n.sum(), 1e-9)
+    return float(np.clip(rate * (1 - rate) / max(spread, 1e-6) - 1, 1, 1e4))
+
+
+def test_posterior_against_brute_force(spark):
+    """Every document's posterior, worked out from all others one by one."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(240):
+        host, path = f"h{rng.integers(9) ** 2 // 8}", rng.choice(["en", "de", "x"])
+        bad = rng.random() < (0.8 if host == "h0" else 0.5 if path == "x" else 0.1)
+        rows.append((i, f"buy*** {i}### %%% now" if bad else f"plain words of text number {i} and more", host, str(path), not bad))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, good boolean")
+    labels = d.where("doc_id % 3 = 0").selectExpr("doc_id", "int(good) as quality")
+    out = {r["doc_id"]: r for r in quality.classified(d, labels).collect()}
+    p = {i: out[i]["_p"] for i in out}
+    hosts, paths = {}, {}
+    for i, _, h, l, _ in rows:
+        hosts.setdefault(h, []).append(i), paths.setdefault((h, l), []).append(i)
+    rate = np.mean(list(p.values()))
+    of_host, of_path = (plain_strength([[p[i] for i in g] for g in groups.values()], rate) for groups in (hosts, paths))
+    for i, _, h, l, _ in rows:
+        others, near = ([p[j] for j in g if j != i] for g in (hosts[h], paths[h, l]))
+        parent = (sum(others) + of_host * rate) / (len(others) + of_host)
+        site = (sum(near) + of_path * parent) / (len(near) + of_path)
+        odds = p[i] / (1 - p[i]) * site / (1 - site) / (rate / (1 - rate))
+        np.testing.assert_allclose([out[i]["_site"], out[i]["_quality"]], [site, odds / (1 + odds)], rtol=1e-6)
+    narrow = quality.classified(d, labels, whole=False)
+    assert "text" not in narrow.columns
+    assert all(abs(r["_quality"] - out[r["doc_id"]]["_quality"]) < 1e-9 for r in narrow.collect())
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    names = ["_p", "_n", "_sum", "_parent", "_strength", "_site", "_quality", "_host", "_path", "_host_n", "__P"]
+    d = docs(spark)
+    clash = d.select("*", *[F.lit("own").alias(c) for c in names[:-1]])
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 80, 3)] + [(100 + i, 0) for i in range(0, 40, 3)], "doc_id long, quality int")
+    kept = quality.kept(clash, labels)
+    assert kept.columns == clash.columns
+    assert {tuple(r[5:]) for r in kept.select("doc_id", "text", "source", "lang", "_p", *names[:-1]).collect()} == {("own",) * 10}
+    made = quality.classified(clash, labels)
+    assert made.columns == [c for c in clash.columns if c not in ("_p", "_site", "_quality")] + ["_p", "_site", "_quality"]
+    assert made.count() == 120
+    many = spark.range(3000).selectExpr("7L as doc_id", "concat('word ', id) as text")
+    taken = []
+    whole = quality.fit
+    quality.fit = lambda x, y: taken.append(len(x)) or whole(x, y)
+    try:
+        quality.train(many, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int"), most=10)
+    finally:
+        quality.fit = whole
+    assert taken == [1]
 
 
 def test_shrinks_sparse_sites(spark):
