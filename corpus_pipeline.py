@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tailcast.llm import bpe, exact, mixing, near, quality
 from tailcast.llm.common import saved
@@ -30,8 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the schedule."""
-    return mixing.in_order(mixing.mixed(docs, SHARES, OTHER_SHARE, BLOCK_ROWS), docs.columns)
+    """All documents, in the order of the schedule; whole as one column, so that no name clashes."""
+    whole = docs.select("doc_id", "source", F.struct("*").alias("row"))
+    return mixing.in_order(mixing.mixed(whole, SHARES, OTHER_SHARE, BLOCK_ROWS), ["row"]).select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
