@@ -20,7 +20,7 @@ from tailcast.llm.common import bounded_sample, saved
 #: Vectors that the centres are fitted on at most: those with the smallest hashed ids.
 FIT_ROWS = 10_000
 #: Rows that a block of queries and one of vectors have on average.
-QUERY_BLOCK, VECTOR_BLOCK = 1_024, 8_192
+QUERY_BLOCK, VECTOR_BLOCK = 4_096, 16_384
 #: Vectors of a block that are ranked exactly for a query first, to set the bound for the others.
 RERANK = 128
 #: Share of the norms' product by which float32 sums may be off, with room.
@@ -135,7 +135,8 @@ def searched(vectors: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_
     Null vectors and ids, zero vectors, vectors holding nulls or non-finite components,
     and those of other than the commonest dimension take no part. Rows of equal vectors
     are one entry of the index, which keeps the k + 1 smallest ids: no result can hold
-    more. A row is no candidate for queries with its own id. Every vector is scanned:
+    more. A row is no candidate for queries with its own id. Of rows that share an id but not the vector
+    each is a candidate, and the smallest vector, by its components in order, asks. Every vector is scanned:
     each block of queries meets each block of vectors in one task, both of bounded size.
     """
     good = vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("asks"))
@@ -148,7 +149,7 @@ def searched(vectors: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_
     by_vector = Window.partitionBy("v").orderBy("id")
     index = good.select("id", "v").distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     index = saved(index.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0]))
-    asked = saved(good.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]))
+    asked = saved(good.where("asks").groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("q")))
     sample = bounded_sample(index, "first", FIT_ROWS).select("v").toPandas()["v"]
     centres = fit(np.array(sample.tolist(), dtype=np.float64))
 

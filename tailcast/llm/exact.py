@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import steps
+from tailcast.llm.common import added_names, steps
 
 #: Runs of white space but single spaces, which are right already.
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -40,11 +40,20 @@ def _plain(texts: list[bytes]) -> list[bytes]:
 def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each distinct normalised text: the row of ``docs`` with the smallest
     ``doc_id`` (nulls last; any of equal ones) with all its columns, then
-    ``_group_size`` (long) and ``_sha256`` (lowercase hex of the normalised text).
+    ``_group_size`` (long) and ``_sha256`` (lowercase hex of the normalised text), which replace
+    columns of these names.
 
     Null texts count as empty; an empty table gives no rows.
     """
-    shape = docs.withColumns({"_group_size": F.lit(0).cast("long"), "_sha256": F.lit(""), "_head": F.lit(b"")}).schema
+    groups, size, digest = _grouped(docs, doc_id, text)
+    rest = [c for c in docs.columns if c.lower() not in ("_group_size", "_sha256")]
+    return groups.select(*rest, F.col(size).alias("_group_size"), F.col(digest).alias("_sha256"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]:
+    """``content_groups`` with names of the two columns that none of ``docs`` has."""
+    size, digest, head = added_names(docs, "group_size", "sha256", "head")
+    shape = docs.withColumns({size: F.lit(0).cast("long"), digest: F.lit(""), head: F.lit(b"")}).schema
 
     def within_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in steps(batches, text, _BATCH_BYTES):
@@ -58,11 +67,11 @@ def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([*rows.take(pa.array(best.values(), pa.int64())).columns, *added], names=shape.names)
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = shape.names.index("_group_size")
+        at = shape.names.index(size)
         held, held_text, held_size = None, None, 0
 
         def sized(rows: pa.RecordBatch, sizes: list[int]) -> pa.RecordBatch:
-            return rows.set_column(at, "_group_size", pa.array(sizes, pa.int64()))
+            return rows.set_column(at, size, pa.array(sizes, pa.int64()))
 
         for rows, texts in steps(batches, text, _BATCH_BYTES):
             plain, sizes = _plain(texts), rows.column(at).to_pylist()
@@ -79,9 +88,9 @@ def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield sized(held, [held_size])
 
     local = docs.mapInArrow(within_batches, shape)
-    dealt = local.repartitionByRange("_head", "_sha256")
-    in_order = dealt.sortWithinPartitions("_head", "_sha256", normalised(F.col(text)), F.col(doc_id).asc_nulls_last())
-    return in_order.mapInArrow(neighbours, shape).drop("_head")
+    dealt = local.repartitionByRange(head, digest)
+    in_order = dealt.sortWithinPartitions(head, digest, normalised(F.col(text)), F.col(doc_id).asc_nulls_last())
+    return in_order.mapInArrow(neighbours, shape).drop(head), size, digest
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,5 +111,5 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with exactly one row of each group of equal texts: the one with the
-    smallest id. The rows come straight out of the sort; nothing is joined."""
-    return content_groups(docs, doc_id, text).drop("_group_size", "_sha256")
+    smallest id. The rows come straight out of the sort; nothing is joined. Columns of any names pass through."""
+    return _grouped(docs, doc_id, text)[0].select(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tailcast.llm.buckets import link, shared_only
 from tailcast.llm.common import discard, mix, saved, shingle_sets, steps
+from tailcast.llm.graph import components
 
 _SIGNED = "id long, n_shingles long, digest string, u array<long>, v array<long>"
 
@@ -109,7 +110,7 @@ def across_components(placed: DataFrame, texts: DataFrame, shingle: int, percent
     return x.join(y, (F.col("x.s") == F.col("y.s")) & could).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, tables: int = 8, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, tables: int = 8, width: int = 3, exact: bool = False) -> DataFrame:
     """For every row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text of fewer than
@@ -118,7 +119,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     once; the tables work on classes only, so copies cost nothing further.
 
     Pairs are verified on full sets, and no link that the tables offer is lost (see
-    ``buckets.link``); a pair's sizes must allow it.
+    ``buckets.link``); a pair's sizes must allow it. With ``exact`` a prefix join over all classes
+    then finds what no table has put together, at a cost that grows with how often shingles repeat.
     Rows that share an id are one document when links are followed. A null id gets the
     component of its equals, or null, and is not kept. Empty tables give no rows.
     """
@@ -133,6 +135,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = shared_only(keys, classes.select("id", F.col("n").alias("attr")), sized(F.min("attr"), F.max("attr")))
     texts = saved(own.join(members.select("id").distinct(), "id", "left_semi"))
     linked = link(members, sized, lambda pairs: verified(pairs, texts, shingle, percent), lambda placed: across_components(placed.select("id", "component").distinct(), texts, shingle, percent), 0)
+    if exact:
+        everyone = classes.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        whole = saved(own.join(classes.select("id"), "id", "left_semi"))
+        tree = linked.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = saved(verified(across_components(everyone, whole, shingle, percent), whole, shingle, percent))
+        linked = saved(components(tree.union(found)))
+        discard(whole, found)
     # written, so that the hot side of the last join is an exchange that can be split
     named = saved(classes.select("digest", F.col("id").alias("name")).join(linked.withColumnRenamed("id", "name"), "name", "left").select("digest", F.coalesce("component", "name").alias("component")))
     out = signed.join(named, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

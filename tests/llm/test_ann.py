@@ -89,3 +89,12 @@ def test_tight_groups(spark):
     for r in ann.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {q: [j for _, j in found] for q, found in brute(rows, 20).items()}
+
+
+def test_repeated_ids(spark):
+    """Rows of one id with different vectors: the smallest asks, all are candidates, whatever the partitions."""
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 9.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [3.0, 3.0])]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = [tuple(r)[2:] for r in ann.searched(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+        assert got == [(2, 30.0), (1, 9.0), (1, 1.0)]

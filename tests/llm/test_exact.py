@@ -32,3 +32,13 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"]) == [(3, "t")] and kept.count() == 2
     assert exact.exact_groups(df.limit(0)).count() == 0 and exact.deduplicate(df.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    names = ["_head", "_group_size", "_sha256", "_HEAD_", "keep_id"]
+    df = spark.createDataFrame([(3, "t", *names), (2, "t", *names)], ["doc_id", "text", *names])
+    kept = exact.deduplicate(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "t", *names)]
+    made = exact.content_groups(df)
+    assert made.columns == ["doc_id", "text", "_head", "_HEAD_", "keep_id", "_group_size", "_sha256"] and made.first()["_group_size"] == 2
+    assert exact.exact_groups(df).count() == 2

@@ -93,3 +93,13 @@ def test_components(spark):
             name[a] = name[b] = min(name[a], name[b])
     assert got == name
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_exact_mode(spark):
+    """With one table, which misses much, the prefix join finds the rest."""
+    rows = corpus(7, groups=6, copies=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, (_, c) in brute(rows, 5, 80).items()}
+    few = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, tables=1).collect()}
+    assert few != want
+    assert {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, tables=1, exact=True).collect()} == want
