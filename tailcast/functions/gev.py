@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,14 +99,30 @@ def gamma_of_one_plus(x: Column) -> Column:
     return F.when(x > -0.5, lanczos(x)).otherwise(reflected)
 
 
+#: Slices of a group's range that ranks are worked out in.
+SLICES = 1000
+
+
+def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., _x, _j, _n): values, their ranks from 1 and number in the group. Values are ranked within
+    slices of the group's range, after those of lower slices, so that no window holds a whole group."""
+    seen = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    stats = seen.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
+    slot = F.least(F.floor(F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * SLICES), F.lit(SLICES - 1))
+    keys = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    dealt = seen.join(stats.select(*keys, "_lo", "_hi", "_n"), reduce(and_, same, F.lit(True))).select(*by, "_x", "_n", slot.alias("_slot"))
+    up = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*by, "_slot").agg(F.count("*").alias("_c")).select(*keys, F.col("_slot").alias("_of"), F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_before"))
+    placed = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_slot").orderBy("_x")))
+    return placed.join(counts, reduce(and_, same, F.col("_slot") == F.col("_of"))).select(*by, "_x", (F.col("_before") + F.col("_in")).alias("_j"), "_n")
+
+
 def fit_lmoments(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by..., n, c, location, scale) by L-moments: probability-weighted moments from each
     group's ranks, then Hosking's closed form."""
-    v = F.col(value)
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(v.isNotNull()).select(*by, v.cast("double").alias("_x"), F.row_number().over(order).alias("_j"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
     j, n, x = F.col("_j"), F.col("_n"), F.col("_x")
-    sums = ranked.groupBy(*by).agg(
+    sums = ranked(df, value, by).groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(x).alias("b0"), F.avg(F.try_divide(j - 1, n - 1) * x).alias("b1"), F.avg(F.try_divide((j - 1) * (j - 2), (n - 1) * (n - 2)) * x).alias("b2")
     )
     l2 = 2 * F.col("b1") - F.col("b0")

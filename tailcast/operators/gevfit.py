@@ -9,11 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tailcast.functions import gev
 from tailcast.functions.statistics import cramer_von_mises_p, gev_nll, ks_one_sample_p, lmoments_start, minimise
+from tailcast.operators import extremes
 
-STARTS = ("LMM", "moments", "LMM_subset")
+# Names of first guesses.
+STARTS = ("LMM", "scipy_fitstart", "scipy", "scipy_subset", "xclim_fitstart", "xclim", "moments", "LMM_subset")
 TESTS = ("lrt", "aic", "aicc", "bic")
 PARAMETERS = {True: ("c", "location", "scale"), False: ("c", "location_0", "location_1", "scale_0", "scale_1")}
 
@@ -27,11 +30,27 @@ def start_of(x: np.ndarray, kind: str) -> np.ndarray:
     if kind == "moments":
         scale = np.maximum(x.std(1) * math.sqrt(6) / math.pi, 1e-6)
         return np.column_stack([np.full(len(x), 1e-3), x.mean(1) - 0.5772 * scale, scale])
+    if kind == "xclim_fitstart":
+        scale = np.maximum(np.sqrt(6 * x.var(1)) / math.pi, 1e-6)
+        return np.column_stack([np.full(len(x), 0.1), x.mean(1) - 0.57722 * scale, scale])
+    if kind == "scipy_fitstart":
+        # a shape by the sign of the skewness, then location and scale that give mean and variance
+        centred = x - x.mean(1, keepdims=True)
+        c = np.where((centred**3).mean(1) < 0, 0.5, -0.5)
+        # of the standard distribution: gamma(1.5), 1 - gamma(1.5)**2 over c**2; at -0.5 the variance is infinite
+        mean = np.where(c > 0, (1 - 0.886226925) / 0.5, (1 - 1.772453851) / -0.5)
+        spread = np.where(c > 0, math.sqrt(1 - 0.886226925**2) / 0.5, 2.5)
+        scale = np.maximum(x.std(1) / spread, 1e-6)
+        return np.column_stack([c, x.mean(1) - scale * mean, scale])
+    if kind in ("scipy", "scipy_subset", "xclim"):
+        part = x[:, ::2] if kind == "scipy_subset" else x
+        return fit_samples(part, start_of(part, "xclim_fitstart" if kind == "xclim" else "scipy_fitstart"))[0]
     raise ValueError(f"unknown start {kind}")
 
 
-def fit_samples(x: np.ndarray, start: np.ndarray, fixed: dict[int, float] | None = None, passes: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Stationary fits of samples [b, n] at once; ``fixed`` pins parameters by position."""
+def fit_samples(x: np.ndarray, start: np.ndarray, fixed: dict[int, float] | None = None, passes: int = 2, bounds: dict[int, tuple[float, float]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stationary fits of samples [b, n] at once; ``fixed`` pins parameters by position, ``bounds``
+    holds them within (low, high)."""
     x = np.atleast_2d(x)
     centre, width = x.mean(1, keepdims=True), np.maximum(x.std(1, keepdims=True), 1e-12)
     y = (x - centre) / width
@@ -40,6 +59,9 @@ def fit_samples(x: np.ndarray, start: np.ndarray, fixed: dict[int, float] | None
         t = t.copy()
         for k, v in (fixed or {}).items():
             t[:, k] = v if k == 0 else (v - centre[at, 0]) / width[at, 0] if k == 1 else v / width[at, 0]
+        for k, (lo, hi) in (bounds or {}).items():
+            ends = [np.full(len(t), v) if k == 0 else (v - centre[at, 0]) / width[at, 0] if k == 1 else v / width[at, 0] for v in (lo, hi)]
+            t[:, k] = np.clip(t[:, k], *ends)
         return t
 
     every = np.arange(len(x))
@@ -52,10 +74,10 @@ def fit_samples(x: np.ndarray, start: np.ndarray, fixed: dict[int, float] | None
     return theta, gev_nll(theta, x)
 
 
-def fit_trend(x: np.ndarray, covariate: np.ndarray, start: np.ndarray, trends: tuple[bool, bool] = (True, True), basin_hops: int = 0, seed: int = 0) -> tuple[np.ndarray, float]:
+def fit_trend(x: np.ndarray, covariate: np.ndarray, start: np.ndarray, trends: tuple[bool, bool] = (True, True), basin_hops: int = 0, seed: int = 0, slopes: tuple[float | None, float | None] = (None, None)) -> tuple[np.ndarray, float]:
     """Five parameters of one sample; the covariate is standardised inside. ``trends`` frees
-    location_1 and scale_1; with ``basin_hops`` starts are moved at random, by up to half a
-    scale, and the best end counts."""
+    location_1 and scale_1, ``slopes`` are their first guesses (else the line's slope and 0); with
+    ``basin_hops`` starts are moved at random, by up to half a scale, and the best end counts."""
     mid, spread = covariate.mean(), max(covariate.std(), 1e-12)
     z = (covariate - mid) / spread
     free = np.array([1, 1, trends[0], 1, trends[1]], dtype=float)
@@ -64,8 +86,8 @@ def fit_trend(x: np.ndarray, covariate: np.ndarray, start: np.ndarray, trends: t
         return gev_nll(t * free, np.repeat(x[None], len(t), 0), np.repeat(z[None], len(t), 0)) + 1e10 * (t[:, 3] < 1e-6)
 
     rng = np.random.default_rng(seed)
-    slope = np.polyfit(z, x, 1)[0] if trends[0] else 0.0
-    base = np.array([start[0], start[1], slope, start[2], 0.0])
+    slope = (np.polyfit(z, x, 1)[0] if slopes[0] is None else slopes[0] * spread) if trends[0] else 0.0
+    base = np.array([start[0], start[1], slope, start[2], (slopes[1] or 0.0) * spread])
     size = np.array([0.1, 0.2 * start[2], 0.2 * start[2], 0.2 * start[2], 0.1 * start[2]])
     tries = base + np.vstack([np.zeros(5), [0, 0, -slope, 0, 0], rng.uniform(-0.5, 0.5, (basin_hops, 5)) * np.maximum(size * 5, 1e-3)])
     for _ in range(3):
@@ -122,12 +144,18 @@ def fit_gev(
     pick_best_model: str | None = None,
     alpha: float = 0.05,
     basin_hops: int = 0,
+    bounds: dict[str, tuple[float, float]] | None = None,
+    loc1: float | None = None,
+    scale1: float | None = None,
+    goodness_alpha: float | None = None,
 ) -> DataFrame:
     """(by..., n, parameters..., nllf, pvalue): a fit for each group of ``by`` (one shuffle).
 
     Missing values are left out; groups of under four values or of one value only have
     missing parameters. ``retry`` also starts elsewhere and keeps the better end.
-    ``assert_good_fit`` makes parameters missing where the p-value is at most ``alpha``.
+    ``assert_good_fit`` makes parameters missing where the p-value is at most ``goodness_alpha`` (``alpha``
+    without). ``bounds`` of c, location and scale hold for the stationary fit, also as the start of one
+    with trends; ``loc1`` and ``scale1`` are the first guesses of the trends.
     ``pick_best_model`` (lrt, aic, aicc, bic) sets trends to 0 where they don't pay.
     """
     if stationary and pick_best_model:
@@ -138,27 +166,28 @@ def fit_gev(
         raise ValueError("unknown start or test")
     names = PARAMETERS[stationary]
     pins = {("c", "location", "scale").index(k): v for k, v in (fixed or {}).items()}
+    limits = {("c", "location", "scale").index(k): v for k, v in (bounds or {}).items()}
     keys = list(by)
 
     def one(x: np.ndarray, cov: np.ndarray | None) -> tuple[np.ndarray, float, float]:
         missing = np.full(len(names), np.nan), math.nan, math.nan
         if len(x) < 4 or np.ptp(x) == 0:
             return missing
-        theta, nll = fit_samples(x[None], start_of(x[None], start), pins)
+        theta, nll = fit_samples(x[None], start_of(x[None], start), pins, bounds=limits)
         if retry:
-            other, other_nll = fit_samples(x[None], start_of(x[None], "moments" if start != "moments" else "LMM"), pins)
+            other, other_nll = fit_samples(x[None], start_of(x[None], "moments" if start != "moments" else "LMM"), pins, bounds=limits)
             if other_nll[0] < nll[0]:
                 theta, nll = other, other_nll
         theta, nll = theta[0], float(nll[0])
         if not stationary:
-            five, nll5 = fit_trend(x, cov, theta, (location_trend, scale_trend), basin_hops)
+            five, nll5 = fit_trend(x, cov, theta, (location_trend, scale_trend), basin_hops, slopes=(loc1, scale1))
             flat = np.array([theta[0], theta[1], 0.0, theta[2], 0.0])
             if nll5 > nll or (pick_best_model and not prefers_trend(pick_best_model, nll, nll5, len(x), location_trend + scale_trend, alpha)):
                 theta = flat
             else:
                 theta, nll = five, nll5
         p = goodness(x, theta, cov, test)
-        if assert_good_fit and p <= alpha:
+        if assert_good_fit and p <= (alpha if goodness_alpha is None else goodness_alpha):
             return np.full(len(names), np.nan), nll, p
         return theta, nll, p
 
@@ -179,6 +208,46 @@ def fit_gev(
     return out.select(*keys, "n", *[F.nanvl(c, F.lit(None)).alias(c) for c in (*names, "nllf", "pvalue")])
 
 
+def check_gev_fit(df: DataFrame, params: DataFrame, by: Sequence[str], value: str = "value", test: str = "ks", covariate: str | None = None) -> DataFrame:
+    """(by..., n, statistic, pvalue): whether values are draws of given distributions (``params``: by...,
+    and the three parameters, or the five and a ``covariate`` column of ``df``), by Kolmogorov
+    and Smirnov (``ks``) or Cramer and von Mises (``cvm``). Ranks in parts, one row a group for the p-value.
+    """
+    if test not in ("ks", "cvm"):
+        raise ValueError(f"unknown test {test}")
+    names = PARAMETERS[covariate is None]
+    joined = df.where(F.col(value).isNotNull()).join(params.select(*by, *names), list(by))
+    at = gev.at_covariate({k: F.col(k) for k in names}, F.col(covariate) if covariate else None)
+    ranked = gev.ranked(joined.select(*by, gev.cdf(F.col(value).cast("double"), *at).alias("_u")), "_u", list(by))
+    u, j, n = F.col("_x"), F.col("_j"), F.col("_n").cast("double")
+    made = F.max(F.greatest(j / n - u, u - (j - 1) / n)) if test == "ks" else 1 / (12 * F.max(n)) + F.sum(F.pow(u - (2 * j - 1) / (2 * n), 2))
+    found = ranked.groupBy(*by).agg(F.max("_n").alias("n"), made.alias("statistic"))
+    return found.select(*by, "n", "statistic", (_ks_p if test == "ks" else _cvm_p)("statistic", "n").alias("pvalue"))
+
+
+@F.pandas_udf(DoubleType())
+def _ks_p(d: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([ks_one_sample_p(x, int(m)) for x, m in zip(d, n, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def _cvm_p(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([cramer_von_mises_p(x) for x in t], dtype=float)
+
+
+def check_gev_relative_fit(fits: DataFrame, by: Sequence[str], test: str = "lrt", alpha: float = 0.05, extra: int = 2) -> DataFrame:
+    """(by..., prefers_trend): whether the model with ``extra`` trends is the better, of (by..., n, nllf_stationary,
+    nllf_trend): by the likelihood ratio at level ``alpha``, or the smaller criterion."""
+    if test not in TESTS:
+        raise ValueError(f"unknown test {test}")
+    n, one, other = F.col("n"), F.col("nllf_stationary"), F.col("nllf_trend")
+    if test == "lrt":
+        better = extremes.likelihood_ratio_p(one, other, extra) <= alpha
+    else:
+        better = extremes.information_criteria(n, 3 + extra, other)[test] < extremes.information_criteria(n, 3, one)[test]
+    return fits.select(*by, better.alias("prefers_trend"))
+
+
 def bootstrap_fits(df: DataFrame, by: Sequence[str], value: str = "value", n_resamples: int = 1000, parametric: bool = False, max_shape_ratio: float | None = None, seed: int = 0, part: int = 50) -> DataFrame:
     """(by..., k, c, location, scale): fits of the sample (k = -1) and of bootstrap samples, of
     its values or drawn from its fit.

@@ -64,6 +64,20 @@ def _by_pairs(df: DataFrame, by: Sequence[str], member: str, along: str, value:
     return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("_r")).groupBy(*by).agg(F.avg("_r").alias("r"))
 
 
+def cross_correlation(df: DataFrame, other: DataFrame, by: Sequence[str], member: str = "ensemble", along: str = "init_date", value: str = "value") -> DataFrame:
+    """(by..., r): the mean of Spearman's correlation along the starts that both have, over pairs of a
+    member of ``df`` and one of ``other`` that comes at no smaller place in the order of members."""
+
+    def placed(d: DataFrame, at: str, v: str) -> DataFrame:
+        labels = d.select(member).distinct().withColumn(at, F.row_number().over(Window.orderBy(member)))
+        return d.where(F.col(value).isNotNull()).join(F.broadcast(labels), member).select(*by, along, at, F.col(value).alias(v))
+
+    keys = [*by, "_a", "_b"]
+    pairs = placed(df, "_a", "_x").join(placed(other, "_b", "_y"), [*by, along]).where("_a <= _b")
+    ranked = pairs.withColumn("_rx", average_rank("_x", keys)).withColumn("_ry", average_rank("_y", keys))
+    return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("_r")).groupBy(*by).agg(F.avg("_r").alias("r"))
+
+
 def null_bounds(df: DataFrame, by: Sequence[str] = (), n_resamples: int = 100, level: float = 0.95, value: str = "value", seed: int = 0) -> DataFrame:
     """(init_month, by..., ci_lower, ci_upper): bounds of the mean correlation of members
     made of draws without replacement from all starts, leads and members of a month;

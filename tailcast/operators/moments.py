@@ -32,15 +32,19 @@ def moments(df: DataFrame, by: Sequence[str] = (), value: str = "value", gev: st
     return made.join(fitted, keys) if keys else made.crossJoin(fitted)
 
 
-def moments_interval(df: DataFrame, by: Sequence[str], order: Sequence[str], size: int, n_resamples: int = 1000, level: float = 0.95, value: str = "value", gev: bool = False, seed: int = 0) -> DataFrame:
-    """(by..., moment, ci_lower, ci_upper): percentiles over samples of ``size`` model values,
-    all replicates in one job; with ``gev`` the L-moment parameters too."""
+def moment_replicates(df: DataFrame, by: Sequence[str], order: Sequence[str], size: int, n_resamples: int = 1000, value: str = "value", gev: bool = False, seed: int = 0) -> DataFrame:
+    """(by..., k, moment, value) of samples of ``size`` model values, all replicates in one job;
+    with ``gev`` the L-moment parameters too."""
     drawn = resample(df.where(F.col(value).isNotNull()).select(*by, *order, value), by, order, n_resamples, seed, size=size)
     each = moments(drawn, [*by, "k"], value, "lmoments" if gev else None)
-    names = MOMENTS + (SHAPE if gev else ())
-    long = each.unpivot([*by, "k"], list(names), "moment", "_v")
+    return each.unpivot([*by, "k"], list(MOMENTS + (SHAPE if gev else ())), "moment", "value")
+
+
+def moments_interval(df: DataFrame, by: Sequence[str], order: Sequence[str], size: int, n_resamples: int = 1000, level: float = 0.95, value: str = "value", gev: bool = False, seed: int = 0) -> DataFrame:
+    """(by..., moment, ci_lower, ci_upper): percentiles over ``moment_replicates``."""
+    long = moment_replicates(df, by, order, size, n_resamples, value, gev, seed)
     tail = (1 - level) / 2
-    return long.groupBy(*by, "moment").agg(F.percentile("_v", tail).alias("ci_lower"), F.percentile("_v", 1 - tail).alias("ci_upper"))
+    return long.groupBy(*by, "moment").agg(F.percentile("value", tail).alias("ci_lower"), F.percentile("value", 1 - tail).alias("ci_upper"))
 
 
 def compared(observed: DataFrame, bounds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

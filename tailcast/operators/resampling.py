@@ -4,6 +4,8 @@ the same however the data are partitioned."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -24,9 +26,18 @@ def replicates(df: DataFrame, n_repeats: int, name: str = "k") -> DataFrame:
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds ``idx`` from 0 in a total order, and ``n``, the group's size."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("idx", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
+    """Adds ``idx`` from 0 in a total order, and ``n``, the group's size.
+
+    Rows are ranked within equal values of the first column of the order; what comes before
+    is added up over its distinct values, so that no window holds a group's rows.
+    """
+    first, rest = order[0], list(order[1:]) or [order[0]]
+    up = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*by, first).agg(F.count("*").alias("_c"))
+    counts = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*by, first])], F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*by, first])]
+    placed = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by, first).orderBy(*rest))).join(counts, reduce(and_, same))
+    return placed.select(*df.columns, (F.col("_before") + F.col("_in") - 1).alias("idx"), "n")
 
 
 def index_table(sizes: DataFrame, by: Sequence[str], n_repeats: int, seed: int = 0, block: int = 1, size: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,3 +60,14 @@ def densify(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     for d in dims[1:]:
         every = every.crossJoin(df.select(d).distinct())
     return every.join(df, list(dims), "left")
+
+
+def with_covariate(df: DataFrame, covariates: DataFrame, value: str = "value", time: str = "time", name: str = "covariate") -> DataFrame:
+    """``df`` with the ``value`` of ``covariates`` at the same time; missing where there is none."""
+    return df.join(covariates.select(time, F.col(value).alias(name)), time, "left")
+
+
+def concatenated(tables: Sequence[DataFrame], dim: str) -> DataFrame:
+    """The tables below each other along a new dimension, numbered from 0; columns that one lacks are missing."""
+    numbered = [t.withColumn(dim, F.lit(i)) for i, t in enumerate(tables)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), numbered)

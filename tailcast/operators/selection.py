@@ -107,6 +107,14 @@ def subset_lon(df: DataFrame, west: float, east: float, lon: str = "lon") -> Dat
     return df.where((F.col(lon) >= west) | (F.col(lon) <= east))
 
 
+def within_longitudes(df: DataFrame, bounds: Sequence[float], lon: str = "lon") -> DataFrame:
+    """``df``; raises when it is read if a bound lies outside of its longitudes."""
+    seen = df.agg(F.min(lon).alias("_west"), F.max(lon).alias("_east"))
+    good = [F.lit(float(b)).between(F.col("_west"), F.col("_east")) for b in bounds]
+    checked = seen.select(F.when(good[0] & good[1], F.lit(True)).otherwise(F.raise_error(F.lit(f"longitudes {tuple(bounds)} lie outside of the data"))).alias("_within"))
+    return df.crossJoin(F.broadcast(checked)).where("_within").drop("_within")
+
+
 def mask_leads(df: DataFrame, least: int | dict[int, int] | DataFrame, value: str = "value", lead: str = "lead_time", init: str = "init_date") -> DataFrame:
     """NULL where the lead is below the least: a number, one for each initial month, or a
     table (month, min_lead) of at most 12 rows."""

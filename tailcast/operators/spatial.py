@@ -6,7 +6,6 @@ from the grid's coordinates and joined to the data on (lat, lon).
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Sequence
 
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 
 AGGREGATES = ("sum", "mean", "weighted_mean")
 Ring = Sequence[tuple[float, float]]
-#: Degrees of latitude in a metre, for buffers.
-METRES_A_DEGREE = 111_320.0
 
 
 def _cos(lat: str) -> Column:
@@ -213,6 +210,3 @@ def ring_of_box(west: float, south: float, east: float, north: float) -> list[tu
 def shapes_table(spark: SparkSession, shapes: dict[str, Ring]) -> DataFrame:
     return spark.createDataFrame([(k, list(v)) for k, v in shapes.items()], "region string, ring array<struct<lon: double, lat: double>>")
 
-
-def degrees_of(metres: float) -> float:
-    return metres / METRES_A_DEGREE if math.isfinite(metres) else math.inf

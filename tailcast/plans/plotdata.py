@@ -12,9 +12,15 @@ from tailcast.operators import extremes, gevfit
 from tailcast.plans import stability
 
 
-def gev_return_curve(df: DataFrame, by: Sequence[str], n_resamples: int = 1000, periods: Sequence[float] = stability.PERIODS, **fit: object) -> DataFrame:
+def curve_periods(n: int = 10_000, largest: float = 4.0) -> list[float]:
+    """``n`` return periods from 1 to 10 ** ``largest``, evenly spaced in logarithms."""
+    return [10 ** (largest * k / (n - 1)) for k in range(n)]
+
+
+def gev_return_curve(df: DataFrame, by: Sequence[str], n_resamples: int = 1000, periods: Sequence[float] | None = None) -> DataFrame:
     """(by..., kind, return_period, value, ci_lower, ci_upper): fitted levels with their
-    interval, and the sample's own points."""
+    interval, at ``curve_periods`` unless others are given, and the sample's own points."""
+    periods = curve_periods() if periods is None else periods
     curve = gevfit.fit_confidence(df, by, periods=periods, n_resamples=n_resamples).select(*by, F.lit("curve").alias("kind"), "return_period", F.col("return_level").alias("value"), "ci_lower", "ci_upper")
     none = F.lit(None).cast("double")
     points = extremes.empirical_return_curve(df, by).select(*by, F.lit("point").alias("kind"), "return_period", "value", none.alias("ci_lower"), none.alias("ci_upper"))
@@ -74,3 +80,36 @@ def timeseries_boxes(df: DataFrame, time: str = "time", value: str = "value") ->
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.when(F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(value))
     return d.groupBy("year").agg(F.min(inside).alias("low"), F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.max(inside).alias("high"))
+
+
+def timeseries_points(df: DataFrame, time: str = "time", value: str = "value") -> DataFrame:
+    """(year, value): all points of a scatter by year."""
+    return df.where(F.col(value).isNotNull()).select(F.year(time).alias("year"), value)
+
+
+def similarity_map(tests: DataFrame, alpha: float = 0.05, by: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """(by..., test, statistic, pvalue, differs) of ``similarity_tests``: a row for each test, with
+    whether it tells model from observations at level ``alpha``."""
+    one = F.explode(F.array(*[F.struct(F.lit(t).alias("test"), F.col(f"{t}_statistic").alias("statistic"), F.col(f"{t}_pvalue").alias("pvalue")) for t in ("ks", "ad")]))
+    return tests.select(*by, one.alias("_t")).select(*by, "_t.*", (F.col("_t.pvalue") <= alpha).alias("differs"))
+
+
+def independence_points(r: DataFrame, bounds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(init_month, by..., lead_time, r, ci_lower, ci_upper): correlations by lead and the band around none."""
+    return r.join(bounds, ["init_month", *by])
+
+
+def independence_map(least: DataFrame) -> DataFrame:
+    """(init_month, lat, lon, min_lead)."""
+    return least.select("init_month", "lat", "lon", "min_lead")
+
+
+def moment_densities(replicates: DataFrame, observed: DataFrame, bins: int = 20) -> DataFrame:
+    """(moment, bin, left, right, n, obs): histograms of (moment, value), the moments of bootstrap samples,
+    over ``bins`` bins of each moment's range, with the observed moment of (moment, obs)."""
+    ends = replicates.groupBy("moment").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    joined = replicates.join(F.broadcast(ends), "moment").withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_lo"), F.col("_w"))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    counted = joined.where("value is not null").groupBy("moment", at.alias("bin"), "_lo", "_w").agg(F.count("*").alias("n"))
+    edges = counted.select("moment", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("left"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("right"), "n")
+    return edges.join(F.broadcast(observed.select("moment", "obs")), "moment", "left")

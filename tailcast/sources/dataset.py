@@ -43,6 +43,7 @@ class OpenSpec:
     lon_bnds: tuple[float, float] | None = None
     shapes: DataFrame | None = None
     shape_overlap: float | None = None
+    #: In degrees.
     shape_buffer: float | None = None
     combine_shapes: bool = False
     spatial_agg: str | None = None
@@ -112,36 +113,43 @@ def prepare(df: DataFrame, spec: OpenSpec) -> DataFrame:
     def others(*less: str) -> list[str]:
         return [c for c in df.columns if c not in (*values, *less)]
 
-    def each(apply) -> DataFrame:
-        """A step that works on one variable, on all; joined on what locates a value."""
-        made = None
-        for v in values:
-            one = apply(df.select(*[c for c in df.columns if c not in values or c == v]), v)
-            made = one if made is None else made.join(one, [c for c in one.columns if c not in (v, "event_time")], "full")
-        return kept_units(made)
+    def each(apply, by: list[str]) -> DataFrame:
+        """A step that works on one variable, given its name and what else locates a value; several
+        variables go through it together, as rows of one column."""
+        if len(values) == 1:
+            return kept_units(apply(df, values[0], by))
+        one, name = "_value", "_variable"
+        typed = df.select(*[c for c in df.columns if c not in values], *[F.col(v).cast("double").alias(v) for v in values])
+        made = apply(typed.unpivot([c for c in df.columns if c not in values], values, name, one), one, [*by, name])
+        keys = [c for c in made.columns if c not in (one, name, "event_time")]
+        wide = made.groupBy(*keys).pivot(name, values).agg(F.first(one, ignorenulls=True))
+        if "event_time" in made.columns:  # the first variable's, as one column has room for
+            dates = made.where(F.col(name) == values[0]).select(*keys, "event_time")
+            wide = wide.join(dates, keys, "left")
+        return kept_units(wide)
 
     if spec.regrid is not None:
         by = others(d.lat, d.lon)
-        df = each(lambda one, v: spatial.regrid(one.withColumnsRenamed({d.lat: "lat", d.lon: "lon"}), spec.regrid, spec.regrid_method, by, v).withColumnsRenamed({"lat": d.lat, "lon": d.lon}))
+        df = each(lambda one, v, by: spatial.regrid(one.withColumnsRenamed({d.lat: "lat", d.lon: "lon"}), spec.regrid, spec.regrid_method, by, v).withColumnsRenamed({"lat": d.lat, "lon": d.lon}), by)
     if spec.point:
         df = s.select_point(df, *spec.point, d.lat, d.lon)
     if spec.lat_bnds:
         df = s.subset_lat(df, *spec.lat_bnds, d.lat)
     if spec.lon_bnds:
-        df = s.subset_lon(df, *spec.lon_bnds, d.lon)
+        df = s.subset_lon(s.within_longitudes(df, spec.lon_bnds, d.lon), *spec.lon_bnds, d.lon)
     if spec.shapes is not None:
         by = others(d.lat, d.lon)
         cells = df.select(F.col(d.lat).alias("lat"), F.col(d.lon).alias("lon")).distinct()
         if spec.shape_buffer:
-            mask = spatial.buffered(cells, spec.shapes, spatial.degrees_of(spec.shape_buffer))
+            mask = spatial.buffered(cells, spec.shapes, spec.shape_buffer)
         elif spec.shape_overlap:
             mask = spatial.overlap_mask(cells, spec.shapes, spec.shape_overlap)
         else:
             mask = spatial.centre_mask(cells, spec.shapes)
-        df = each(lambda one, v: spatial.select_regions(one.withColumnsRenamed({d.lat: "lat", d.lon: "lon"}), mask, spec.spatial_agg, by, v, spec.combine_shapes, spec.shapes))
+        df = each(lambda one, v, by: spatial.select_regions(one.withColumnsRenamed({d.lat: "lat", d.lon: "lon"}), mask, spec.spatial_agg, by, v, spec.combine_shapes, spec.shapes), by)
     elif spec.spatial_agg:
         by = others(d.lat, d.lon)
-        df = each(lambda one, v: spatial.aggregate(one, spec.spatial_agg, by, v, d.lat))
+        df = each(lambda one, v, by: spatial.aggregate(one, spec.spatial_agg, by, v, d.lat), by)
     df = kept_units(df)
     if spec.units_timing == "middle":
         df = _convert(df, spec)
@@ -153,7 +161,7 @@ def prepare(df: DataFrame, spec: OpenSpec) -> DataFrame:
         df = df.withColumns({v: rolling_sum(F.col(v), spec.rolling_sum_window, by, d.time) for v in values})
     if spec.time_freq:
         by = others(d.time)
-        df = each(lambda one, v: temporal.temporal_aggregation(one, spec.time_freq, spec.time_agg, v, d.time, by, spec.input_freq, spec.season, spec.min_tsteps, spec.time_agg_dates, spec.reset_times))
+        df = each(lambda one, v, by: temporal.temporal_aggregation(one, spec.time_freq, spec.time_agg, v, d.time, by, spec.input_freq, spec.season, spec.min_tsteps, spec.time_agg_dates, spec.reset_times), by)
         if spec.time_agg == "sum":
             unit = {v: u.rate_after_sum(unit[v], spec.input_freq, spec.time_freq) if unit.get(v) else None for v in unit}
     df = kept_units(df)
@@ -181,11 +189,11 @@ def open_forecasts(spark: SparkSession, names: Sequence[str] | str, spec: OpenSp
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     either = F.array(path, F.regexp_replace(path, "/[^/]*$", ""))  # listed is a file, or the folder that holds it
     rows = files.read(spark, listed, spec.file_format).withColumn("_file", F.explode(either))
-    joined = rows.join(F.broadcast(known), "_file").drop("_file")
+    joined = files.fix_metadata(rows.join(F.broadcast(known), "_file").drop("_file"), spec.metadata)
     if spec.dims.ensemble not in joined.columns:
         joined = joined.withColumn(spec.dims.ensemble, F.col("_member"))
     cells = [c for c in (spec.dims.lat, spec.dims.lon) if c in joined.columns]
     prepared = to_init_lead(joined, spec.dims.time, ["_start", spec.dims.ensemble, *cells])
     first = prepared.groupBy("_start").agg(F.min("init_date").alias("_first"))
     prepared = prepared.join(F.broadcast(first), "_start").withColumn("init_date", F.col("_first")).drop("_start", "_first", "_member")
-    return prepare(prepared, spec)
+    return prepare(prepared, replace(spec, metadata={}))

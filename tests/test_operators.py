@@ -302,3 +302,91 @@ def test_plans(spark):
     orders = table(spark, sf, "orders").withColumnRenamed("o_orderdate", "time")
     plan = selection.select_time_period(orders.select("time", "o_totalprice"), ["1996-01-01", "1996-12-31"])._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_orderpriority" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_numbering_without_a_window_over_all(spark):
+    from tailcast.operators.resampling import numbered
+
+    rows = [(g, d, e) for g in ("a", None) for d in (3, 1, 1, None, 2) for e in (2, 1)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, d int, e int, i int").repartition(3)
+    for by in ([], ["g"]):
+        got = numbered(df, by, ["d", "e", "i"]).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r["g"] if by else 0, []).append(r)
+        for own in groups.values():
+            own.sort(key=lambda r: (r["d"] is not None, r["d"] or 0, r["e"], r["i"]))
+            assert [r["idx"] for r in own] == list(range(len(own))) and {r["n"] for r in own} == {len(own)}
+    assert numbered(df.limit(0), [], ["d", "e"]).count() == 0
+
+
+def test_ranks_in_slices(spark):
+    from tailcast.functions.gev import ranked
+
+    values = [1e9, *[float(v % 7) for v in range(60)], None, -5.5]
+    df = spark.createDataFrame([(g, v) for g in ("a", "b", None) for v in values] + [("one", 2.0)], "g string, v double")
+    for by in (["g"], []):
+        for r in ranked(df, "v", by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_j", "_x"))).alias("all"), F.max("_n").alias("n")).collect():
+            assert [x["_j"] for x in r["all"]] == list(range(1, r["n"] + 1))
+            assert [x["_x"] for x in r["all"]] == sorted(x["_x"] for x in r["all"])
+
+
+def test_starts_bounds_and_checks_of_given_parameters(spark):
+    rng = np.random.default_rng(3)
+    x = 4 + 2 * (1 - (-np.log(rng.random(800))) ** 0.15) / 0.15
+    year = np.arange(800) / 100
+    df = spark.createDataFrame([("a", float(v), float(t)) for v, t in zip(x, year, strict=True)], "g string, value double, year double")
+    ends = {}
+    for start in gevfit.STARTS:
+        r = gevfit.fit_gev(df, ["g"], start=start).first()
+        ends[start] = r["nllf"]
+        assert abs(r["location"] - 4) < 0.4 and abs(r["scale"] - 2) < 0.4, start
+    assert max(ends.values()) - min(ends.values()) < 0.5
+    held = gevfit.fit_gev(df, ["g"], bounds={"c": (-0.05, 0.05), "scale": (0.1, 1.5)}).first()
+    assert -0.05 <= held["c"] <= 0.05 and held["scale"] <= 1.5 + 1e-9
+    sloped = gevfit.fit_gev(df.withColumn("value", F.col("value") + 3 * F.col("year")), ["g"], stationary=False, covariate="year", loc1=2.5, scale1=0.0).first()
+    assert abs(sloped["location_1"] - 3) < 0.3
+    fitted = gevfit.fit_gev(df, ["g"])
+    for test in ("ks", "cvm"):
+        own = gevfit.fit_gev(df, ["g"], test=test).first()["pvalue"]
+        assert gevfit.check_gev_fit(df, fitted, ["g"], test=test).first()["pvalue"] == pytest.approx(own, abs=1e-9)
+    five = spark.createDataFrame([("a", 0.15, 4.0, 0.0, 2.0, 0.0)], "g string, c double, location_0 double, location_1 double, scale_0 double, scale_1 double")
+    assert gevfit.check_gev_fit(df, five, ["g"], covariate="year").first()["pvalue"] > 0.01
+    off = five.withColumn("location_0", F.lit(6.0))
+    assert gevfit.check_gev_fit(df, off, ["g"], covariate="year").first()["pvalue"] < 1e-6
+    nll = spark.createDataFrame([("a", 50, 100.0, 96.0), ("b", 50, 100.0, 99.5)], "g string, n long, nllf_stationary double, nllf_trend double")
+    for test in gevfit.TESTS:
+        got = {r["g"]: r["prefers_trend"] for r in gevfit.check_gev_relative_fit(nll, ["g"], test).collect()}
+        assert got == {g: gevfit.prefers_trend(test, 100.0, e, 50, 2, 0.05) for g, e in (("a", 96.0), ("b", 99.5))}
+
+
+def test_plot_tables(spark):
+    from tailcast.plans import plotdata
+
+    tests = spark.createDataFrame([(1.0, 2.0, 0.5, 0.01, 3.0, 0.2)], "lat double, lon double, ks_statistic double, ks_pvalue double, ad_statistic double, ad_pvalue double")
+    assert {tuple(r) for r in plotdata.similarity_map(tests).collect()} == {(1.0, 2.0, "ks", 0.5, 0.01, True), (1.0, 2.0, "ad", 3.0, 0.2, False)}
+    periods = plotdata.curve_periods(5)
+    assert periods == pytest.approx([1, 10, 100, 1000, 10_000]) and len(plotdata.curve_periods()) == 10_000
+    made = spark.createDataFrame([("mean", float(k)) for k in range(10)] + [("std", 1.0)], "moment string, value double")
+    seen = spark.createDataFrame([("mean", 3.5)], "moment string, obs double")
+    rows = plotdata.moment_densities(made, seen, 5).collect()
+    assert sum(r["n"] for r in rows if r["moment"] == "mean") == 10 and len(rows) == 6
+    assert {r["obs"] for r in rows if r["moment"] == "mean"} == {3.5}
+
+
+def test_cross_correlation_pairs(spark):
+    """As many pairs as members of both in order, each by the starts that both have."""
+    from tailcast.operators import independence
+
+    rows = [(m, i, float((m * 7 + i * 3) % 11)) for m in (1, 2, 5) for i in range(9)]
+    other = [(m, i, -v) for m, i, v in rows if (m, i) != (2, 4)]
+    spec = "ensemble int, init_date int, value double"
+    got = independence.cross_correlation(spark.createDataFrame(rows, spec), spark.createDataFrame(other, spec), []).first()["r"]
+    own, rest = {(m, i): v for m, i, v in rows}, {(m, i): v for m, i, v in other}
+
+    def rank(v):
+        return [sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v]
+
+    pairs = [(a, b) for a in (1, 2, 5) for b in (1, 2, 5) if a <= b]
+    r = [np.corrcoef(*(rank([t[m, i] for i in range(9) if (b, i) in rest]) for t, m in ((own, a), (rest, b))))[0, 1] for a, b in pairs]
+    assert got == pytest.approx(np.mean(r))

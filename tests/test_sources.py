@@ -108,3 +108,30 @@ def test_programs(spark, tree):
 def test_zip(spark, tree):
     files.write(spark.range(3), f"{tree}/z.parquet.zip", history="made")
     assert (tree / "z.parquet.zip").exists() and not (tree / "z.parquet").exists()
+
+
+def test_buffers_are_in_degrees(spark, tree):
+    """One cell in the shape, one within two degrees, one beyond."""
+    from tailcast.operators.spatial import ring_of_box, shapes_table
+
+    rows = [(date(2000, 1, 1), 0.0, lon, lon) for lon in (0.0, 2.5, 5.0)]
+    spark.createDataFrame(rows, "time date, lat double, lon double, pr double").write.parquet(f"{tree}/cells.parquet")
+    shapes_table(spark, {"box": ring_of_box(-1.0, -1.0, 1.0, 1.0)}).write.parquet(f"{tree}/shape.parquet")
+    shapes = spark.read.parquet(f"{tree}/shape.parquet")
+    for buffer, want in ((None, 0.0), (1.0, 0.0), (2.0, 1.25)):
+        spec = OpenSpec(variables=("pr",), shapes=shapes, shape_buffer=buffer, spatial_agg="mean")
+        assert [r["pr"] for r in open_dataset(spark, f"{tree}/cells.parquet", spec).collect()] == [want], buffer
+    cli.run(["fileio", f"{tree}/cells.parquet", f"{tree}/near.parquet", "--variables", "pr", "--shapefile", f"{tree}/shape.parquet", "--shp_buffer", "2", "--spatial_agg", "mean"], spark)
+    assert [r["pr"] for r in spark.read.parquet(f"{tree}/near.parquet").collect()] == [1.25]
+
+
+def test_longitudes_outside_of_the_data(spark, tree):
+    spec = OpenSpec(metadata=files.load_metadata(f"{tree}/meta.yml"), lon_bnds=(100, 115))
+    with pytest.raises(Exception, match="outside of the data"):
+        open_dataset(spark, f"{tree}/obs.parquet", spec).collect()
+
+
+def test_forecasts_with_metadata(spark, tree):
+    meta = {"rename": {"pr": "rain"}, "units": {"rain": "mm"}}
+    df = open_forecasts(spark, f"{tree}/list.txt", OpenSpec(variables=("rain",), metadata=meta, squeeze=False), 1, 2)
+    assert "rain" in df.columns and df.count() == 24
