@@ -38,14 +38,14 @@ def link(
     over all buckets. What is in one component after that needs no comparison. Members of
     a bucket that are still in different components are compared with each other if they
     are ``small`` in number at most, so that a member meets no more than that many; ``across``
-    finds the candidates (a, b) of all larger buckets' (key, id, attr, component), losing no
+    finds the candidates (a, b) of all larger buckets' (key, id, attr, component, hub), losing no
     link. So every link between members of a bucket counts. ``feasible`` tells from
     both ``attr`` whether a pair can be linked at all; ``verified`` keeps the pairs
     (a, b) that are.
     """
     weight = members.groupBy("id").agg(F.sum("members").alias("weight"))
     best = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id", "attr")).alias("hub"))
-    hubs = best.select("key", F.col("hub.id").alias("hub"), F.col("hub.attr").alias("hub_attr"))
+    hubs = saved(best.select("key", F.col("hub.id").alias("hub"), F.col("hub.attr").alias("hub_attr")))
     met = members.join(hubs, "key").where((F.col("id") != F.col("hub")) & feasible(F.col("attr"), F.col("hub_attr")))
     tried = saved(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     links = saved(verified(tried))
@@ -53,7 +53,7 @@ def link(
 
     placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    open_ = saved(placed.join(split, "key").select("key", "id", "attr", "component", "size"))
+    open_ = saved(placed.join(split, "key").join(hubs.select("key", "hub"), "key").select("key", "id", "attr", "component", "size", "hub"))
     x, y = (open_.where(F.col("size") <= small).alias(n) for n in "xy")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & feasible(F.col("x.attr"), F.col("y.attr")))
     met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
@@ -61,5 +61,5 @@ def link(
     rest = saved(apart.join(tried, ["a", "b"], "left_anti"))
     more = saved(verified(rest))
     out = saved(components(links.union(more)))
-    discard(tried, links, first, open_, rest, more)
+    discard(hubs, tried, links, first, open_, rest, more)
     return out

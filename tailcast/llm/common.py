@@ -151,11 +151,10 @@ def _cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tu
     long = np.flatnonzero(ends - starts > most)
     if not len(long):
         return starts, ends
-    inside = np.zeros(len(buf) + 1, dtype=np.int8)
-    inside[starts[long] + 1] += 1
-    inside[ends[long]] -= 1
-    pair = buf[:-1].astype(np.uint64) << np.uint64(8) | buf[1:]
-    cuts = np.flatnonzero((np.cumsum(inside[1:-1]) > 0) & (mix(pair + np.uint64(1)) >> np.uint64(61) == 0)) + 1
+    size = ends[long] - starts[long] - 1
+    inner = np.arange(size.sum()) + np.repeat(starts[long] + 1 - (np.cumsum(size) - size), size)
+    pair = buf[inner - 1].astype(np.uint64) << np.uint64(8) | buf[inner]
+    cuts = inner[mix(pair + np.uint64(1)) >> np.uint64(61) == 0]
     return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
 
 
