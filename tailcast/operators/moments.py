@@ -47,11 +47,11 @@ def moments_interval(df: DataFrame, by: Sequence[str], order: Sequence[str], siz
     return long.groupBy(*by, "moment").agg(F.percentile("value", tail).alias("ci_lower"), F.percentile("value", 1 - tail).alias("ci_upper"))
 
 
-def compared(observed: DataFrame, bounds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def compared(observed: DataFrame, bounds: DataFrame, by: Sequence[str] = (), units: str = "") -> DataFrame:
     """(by..., moment, obs, ci_lower, ci_upper, consistent, text): observed moments against the
-    model's bounds."""
+    model's bounds; ``units`` go into the text."""
     names = [c for c in observed.columns if c not in by]
     long = observed.unpivot(list(by), names, "moment", "obs")
     both = long.join(bounds, [*by, "moment"])
-    text = F.format_string("%s: obs %.4f, model 95%% interval %.4f to %.4f", "moment", "obs", "ci_lower", "ci_upper")
+    text = F.format_string("%s: obs %.4f, model 95%% interval %.4f to %.4f" + (" " + units.replace("%", "%%") if units else ""), "moment", "obs", "ci_lower", "ci_upper")
     return both.withColumn("consistent", F.col("obs").between(F.col("ci_lower"), F.col("ci_upper"))).withColumn("text", text)

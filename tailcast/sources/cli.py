@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailcast.dims import Dims
 from tailcast.operators import bias, gevfit, independence, moments, selection, similarity
-from tailcast.plans import stability
+from tailcast.plans import plotdata, stability
 from tailcast.sources import files
 from tailcast.sources.dataset import OpenSpec, open_dataset, open_forecasts
 
@@ -37,6 +38,10 @@ class Pairs(argparse.Action):
         return key, cls.number(value)
 
 
+#: Options that name the columns of dimensions.
+DIM_OPTIONS = {"time": "time_dim", "lat": "lat_dim", "lon": "lon_dim", "ensemble": "ensemble_dim", "init_date": "init_dim", "lead_time": "lead_dim"}
+
+
 def lead(text: str) -> int | str:
     """A number of leads, or the name of a table of them by month."""
     return int(text) if text.lstrip("-").isdigit() else text
@@ -77,7 +82,11 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--shapefile")
     f.add_argument("--shp_overlap", type=float)
     f.add_argument("--shp_buffer", type=float)
+    f.add_argument("--shp_header", help="the column of the shapes that names them")
     f.add_argument("--combine_shapes", action="store_true")
+    f.add_argument("--standard_calendar", action="store_true", help="dates of tables are of the standard calendar in any case")
+    for dim in ("time", "lat", "lon", "ensemble", "init_date", "lead_time"):
+        f.add_argument(f"--{DIM_OPTIONS[dim]}", dest=f"dim_{dim}", default=dim)
     f.add_argument("--spatial_agg", choices=["mean", "sum", "weighted_mean"])
     f.add_argument("--units", nargs="*", action=Pairs, default={})
     f.add_argument("--units_timing", choices=["start", "middle", "end"], default="end")
@@ -98,9 +107,11 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument(name)
     s.add_argument("--reference_time_period", nargs=2)
     s.add_argument("--min_lead", type=lead)
+    s.add_argument("--min_lead_kwargs", nargs="*", action=Pairs, default={})
     s.add_argument("--by_lead", action="store_true")
     s.add_argument("--regrid", choices=["obs", "fcst"])
     s.add_argument("--regrid_method", default="conservative")
+    s.add_argument("--plot_outfile")
 
     b = sub.add_parser("bias_correction", help="take the model's bias out")
     for name in ("fcst_file", "obs_file", "var"):
@@ -110,6 +121,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--base_period", nargs=2)
     b.add_argument("--rounding_freq", choices=["M", "D", "A"], default="A")
     b.add_argument("--min_lead", type=lead)
+    b.add_argument("--min_lead_kwargs", nargs="*", action=Pairs, default={})
     b.add_argument("--by_lead", action="store_true")
     b.add_argument("--regrid", choices=["obs", "fcst"])
     b.add_argument("--regrid_method", default="conservative")
@@ -126,7 +138,10 @@ def parser() -> argparse.ArgumentParser:
         m.add_argument(name)
     m.add_argument("--bias_file")
     m.add_argument("--min_lead", type=lead)
+    m.add_argument("--min_lead_kwargs", nargs="*", action=Pairs, default={})
     m.add_argument("--n_resamples", type=int, default=1000)
+    m.add_argument("--units", default="")
+    m.add_argument("--plot_outfile")
 
     e = sub.add_parser("eva", help="fits of the generalised extreme value distribution")
     for name in ("file", "var", "outfile"):
@@ -141,15 +156,27 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--covariate", default="time.year")
     e.add_argument("--covariate_file")
     e.add_argument("--min_lead", type=lead)
+    e.add_argument("--min_lead_kwargs", nargs="*", action=Pairs, default={})
     e.add_argument("--drop_max", action="store_true")
+    e.add_argument("--plot_outfile")
+    e.add_argument("--n_resamples", type=int, default=1000)
     e.add_argument("--reference_time_period", nargs=2)
     return p
 
 
-def _masked(spark: SparkSession, df: DataFrame, least: int | str | None, value: str) -> DataFrame:
-    if least is None:
-        return df
-    return selection.mask_leads(df, least if isinstance(least, int) else files.read(spark, least), value)
+def _masked(spark: SparkSession, df: DataFrame, least: int | str | None, value: str, which: dict) -> DataFrame:
+    """``which`` picks rows of a table of least leads."""
+    if least is None or isinstance(least, int):
+        return df if least is None else selection.mask_leads(df, least, value)
+    known = files.read(spark, least)
+    for dim, labels in which.items():
+        known = selection.sel(known, dim, labels)
+    return selection.mask_leads(df, known, value)
+
+
+def _shapes(spark: SparkSession, name: str, header: str | None) -> DataFrame:
+    found = files.read(spark, name)
+    return found.drop("region").withColumnRenamed(header, "region") if header and header != "region" else found
 
 
 def _value(df: DataFrame, var: str) -> DataFrame:
@@ -180,7 +207,7 @@ def fileio(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     spec = OpenSpec(
         variables=tuple(a.variables), metadata=files.load_metadata(a.metadata_file) if a.metadata_file else {}, isel=a.isel, sel=a.sel, months=tuple(a.months), init_month=a.init_month,
         scale_factors=a.scale_factors, units=a.units, units_timing=a.units_timing, regrid=grid, regrid_method=a.regrid_method, point=a.point_selection, lat_bnds=a.lat_bnds, lon_bnds=a.lon_bnds,
-        shapes=files.read(spark, a.shapefile) if a.shapefile else None, shape_overlap=a.shp_overlap, shape_buffer=a.shp_buffer, combine_shapes=a.combine_shapes, spatial_agg=a.spatial_agg,
+        shapes=_shapes(spark, a.shapefile, a.shp_header) if a.shapefile else None, dims=Dims(**{d: getattr(a, f"dim_{d}") for d in DIM_OPTIONS}), shape_overlap=a.shp_overlap, shape_buffer=a.shp_buffer, combine_shapes=a.combine_shapes, spatial_agg=a.spatial_agg,
         no_leap_days=a.no_leap_days, rolling_sum_window=a.rolling_sum_window, time_freq=a.time_freq, time_agg=a.time_agg, time_agg_dates=a.time_agg_dates, min_tsteps=a.time_agg_min_tsteps,
         season=a.season, reset_times=a.reset_times, input_freq=a.input_freq,
     )
@@ -202,7 +229,7 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> None:
         return files.write(fileio(spark, a), a.outfile, a.partition_by, history)
     if a.program == "eva":
         df = _value(open_dataset(spark, a.file), a.var)
-        df = _masked(spark, df, a.min_lead, "value")
+        df = _masked(spark, df, a.min_lead, "value", a.min_lead_kwargs)
         if a.reference_time_period:
             df = selection.select_time_period(df, a.reference_time_period)
         by = [c for c in df.columns if c not in (*a.stack_dims, "value", "time")]
@@ -218,9 +245,11 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> None:
             else:
                 covariate = a.covariate
         fitted = gevfit.fit_gev(keyed, keys, stationary=not a.nonstationary, covariate=covariate, start=a.fitstart, retry=a.retry_fit, assert_good_fit=a.assert_good_fit, pick_best_model=a.pick_best_model, basin_hops=8 if a.use_basinhopping else 0)
+        if a.plot_outfile and not a.nonstationary:
+            files.write(plotdata.gev_return_curve(keyed, keys, a.n_resamples), a.plot_outfile)
         return files.write(fitted, a.outfile, (), history)
     fcst = _value(open_dataset(spark, a.fcst_file, OpenSpec(squeeze=False)), a.var)
-    fcst = _masked(spark, fcst, getattr(a, "min_lead", None), "value")
+    fcst = _masked(spark, fcst, getattr(a, "min_lead", None), "value", getattr(a, "min_lead_kwargs", {}))
     if a.program == "independence":
         for dim, which in a.spatial_selection.items():
             fcst = selection.sel(fcst, dim, which)
@@ -236,15 +265,24 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> None:
         if a.reference_time_period:
             obs = selection.select_time_period(obs, a.reference_time_period)
         fcst, obs = _one_grid(fcst, obs, a.regrid, a.regrid_method)
-        return files.write(similarity.similarity_tests(fcst, obs, _cells(fcst), a.by_lead), a.outfile, (), history)
+        tests = similarity.similarity_tests(fcst, obs, _cells(fcst), a.by_lead)
+        if a.plot_outfile:
+            files.write(plotdata.similarity_map(tests, by=[c for c in tests.columns if not c.startswith(("ks_", "ad_"))]), a.plot_outfile)
+        return files.write(tests, a.outfile, (), history)
     if a.program == "bias_correction":
         fcst, obs = _one_grid(fcst, obs, a.regrid, a.regrid_method)
         found = bias.bias(fcst, obs, a.method, a.base_period, a.rounding_freq, a.by_lead, _cells(fcst))
         return files.write(bias.remove_bias(fcst, found, a.method), a.outfile, (), history)
     model = _value(open_dataset(spark, a.bias_file, OpenSpec(squeeze=False)), a.var) if a.bias_file else fcst
-    size = obs.where(F.col("value").isNotNull()).count()
-    bounds = moments.moments_interval(model, [], ["init_date", "ensemble", "lead_time"], size, a.n_resamples, gev=True)
-    return files.write(moments.compared(moments.moments(obs, gev="lmoments"), bounds), a.outfile, (), history)
+    cells = _cells(model)
+    size = obs.where(F.col("value").isNotNull()).groupBy(*cells).count().agg(F.max("count")).first()[0] or 0
+    drawn = ["init_date", "ensemble", "lead_time"]
+    bounds = moments.moments_interval(model, cells, drawn, size, a.n_resamples, gev=True)
+    seen = moments.moments(obs, cells, gev="lmoments")
+    if a.plot_outfile and not cells:
+        long = seen.unpivot([], [c for c in seen.columns], "moment", "obs")
+        files.write(plotdata.moment_densities(moments.moment_replicates(model, [], drawn, size, a.n_resamples, gev=True), long), a.plot_outfile)
+    return files.write(moments.compared(seen, bounds, cells, a.units), a.outfile, (), history)
 
 
 if __name__ == "__main__":

@@ -94,15 +94,29 @@ def test_programs(spark, tree):
     f, o = f"{tree}/fcst.parquet", f"{tree}/series.parquet"
     for name, args in {
         "independence": [f, "pr", "OUT", "--n_resamples", "5"],
-        "similarity": [f, o, "pr", "OUT", "--by_lead", "--min_lead", "1"],
+        "similarity": [f, o, "pr", "OUT", "--by_lead", "--min_lead", "1", "--plot_outfile", f"{tree}/similarity-plot.parquet"],
         "bias_correction": [f, o, "pr", "additive", "OUT", "--rounding_freq", "M", "--base_period", "2000-01-01", "2006-12-31"],
         "stability": [f, "pr", "OUT", "--start_years", "2000", "2004", "--uncertainty"],
-        "moments": [f, o, "pr", "OUT", "--n_resamples", "5"],
+        "moments": [f, o, "pr", "OUT", "--n_resamples", "5", "--units", "mm", "--plot_outfile", f"{tree}/moments-plot.parquet"],
         "eva": [f, "pr", "OUT", "--nonstationary", "--min_lead", "1"],
     }.items():
         target = f"{tree}/{name}-out.parquet"
         cli.run([name, *[target if a == "OUT" else a for a in args]], spark)
         assert spark.read.parquet(target).count() > 0, name
+    assert spark.read.parquet(f"{tree}/moments-out.parquet").first()["text"].endswith(" mm")
+    assert spark.read.parquet(f"{tree}/similarity-plot.parquet").count() == 6  # three leads, two tests
+    assert spark.read.parquet(f"{tree}/moments-plot.parquet").count() > 0
+
+
+def test_names_of_dimensions_and_shapes(spark, tree):
+    from tailcast.operators.spatial import ring_of_box, shapes_table
+
+    rows = [(date(2000, 1, 1), float(y), float(x), 1.0 + x) for y in (0, 1) for x in (0, 1)]
+    spark.createDataFrame(rows, "t date, y double, x double, pr double").write.parquet(f"{tree}/named.parquet")
+    shapes_table(spark, {"box": ring_of_box(-1.0, -1.0, 0.5, 2.0)}).withColumnRenamed("region", "title").write.parquet(f"{tree}/titled.parquet")
+    out = f"{tree}/named-out.parquet"
+    cli.run(["fileio", f"{tree}/named.parquet", out, "--variables", "pr", "--time_dim", "t", "--lat_dim", "y", "--lon_dim", "x", "--shapefile", f"{tree}/titled.parquet", "--shp_header", "title", "--spatial_agg", "mean", "--standard_calendar"], spark)
+    assert [(r["region"], r["pr"]) for r in spark.read.parquet(out).collect()] == [("box", 1.0)]
 
 
 def test_zip(spark, tree):
