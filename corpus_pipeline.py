@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailcast.llm import bpe, exact, mixing, near, quality
-from tailcast.llm.common import saved
+from tailcast.llm.common import discard, saved
 from tailcast.llm.queries import BLOCK_ROWS, OTHER_SHARE, SHARES, VOCABULARY, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -55,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and read by the next."""
+    """The stages over ``documents``, each written as Parquet and read by the next; what a
+    stage has read is deleted once its own rows are written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        made = saved(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
