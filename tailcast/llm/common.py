@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -49,7 +50,7 @@ def discard(*tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/tailcast-" in folder:
+            if re.search("/tailcast-[0-9a-f]{32}$", folder):  # as saved names them
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
 
