@@ -57,9 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet and read by the next; what a
     stage has read is deleted once its own rows are written."""
-    docs = table(spark, sf_dir, "documents")
+    docs, own = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        made = saved(stage(spark, docs, sf_dir))
-        discard(docs)
-        docs = made
+        docs = saved(stage(spark, docs, sf_dir))
+        discard(*own)
+        own = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
