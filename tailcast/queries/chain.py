@@ -110,7 +110,7 @@ def similarity_tests_by_lead(spark: SparkSession, d: str) -> DataFrame:
     select event_type, moment, round(obs, 6) as obs, obs between lo and hi as consistent from own join ci using (event_type, moment)""")
 def moments_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Observed moments held against the intervals of bootstrap samples."""
-    bounds = m.moments_interval(sample(spark, d), KINDS, ["event_id"], 200, 40)
+    bounds = m.moments_interval(sample(spark, d), KINDS, ["event_id"], 200, 1000)
     found = m.compared(m.moments(sample(spark, d), KINDS), bounds, KINDS)
     return r6(found.select("event_type", "moment", "obs", "consistent"), "obs")
 

@@ -159,7 +159,7 @@ def gev_goodness_of_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gev_confidence_interval(spark: SparkSession, d: str) -> DataFrame:
-    return gevfit.fit_confidence(fcst(spark, d), ["ensemble"], n_resamples=200)
+    return gevfit.fit_confidence(fcst(spark, d), ["ensemble"])
 
 
 @query()

@@ -34,7 +34,7 @@ def _hash(seed: int, k: str, i: str) -> str:
 
 BOOT = f"""rows as (select event_type, value, row_number() over (partition by event_type order by event_id) - 1 as idx from sample),
     sizes as (select event_type, count(*) as n from sample group by 1),
-    draws as (select event_type, k, {_hash(0, "k", "pos")} % n as idx from sizes, (select unnest(range(0, 40)) as k), (select unnest(range(0, 200)) as pos)),
+    draws as (select event_type, k, {_hash(0, "k", "pos")} % n as idx from sizes, (select unnest(range(0, 1000)) as k), (select unnest(range(0, 200)) as pos)),
     drawn as (select event_type, k, value, event_type || ':' || k as g from draws join rows using (event_type, idx))"""
 
 
@@ -42,7 +42,7 @@ BOOT = f"""rows as (select event_type, value, row_number() over (partition by ev
     long as (unpivot each on mean, std, skew, kurtosis into name moment value v)
     select split_part(gg, ':', 1) as event_type, moment, round(quantile_cont(v, 0.025), 9) as ci_lower, round(quantile_cont(v, 0.975), 9) as ci_upper from long group by 1, 2""")
 def moments_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    out = m.moments_interval(sample(spark, d), KINDS, ["event_id"], 200, 40)
+    out = m.moments_interval(sample(spark, d), KINDS, ["event_id"], 200, 1000)
     return out.withColumns({c: F.round(c, 9) for c in ("ci_lower", "ci_upper")})
 
 
@@ -105,7 +105,7 @@ def mean_pairwise_spearman(spark: SparkSession, d: str) -> DataFrame:
     return r6(ind.mean_correlation(ind.detrended(fcst(spark, d)), ["init_month", "lead_time"]))
 
 
-RESAMPLES = 20
+RESAMPLES = 100
 NULL = f"""shape as (select init_month, count(distinct init_date) as i, count(distinct ensemble) as e from flat group by 1),
     idx as (select *, row_number() over (partition by init_month order by init_date, lead_time, ensemble) - 1 as idx from flat),
     drawn as (select init_month, k, value, row_number() over (partition by init_month, k order by {_hash(0, "k", "idx")}, idx) - 1 as pos from idx, (select unnest(range(0, {RESAMPLES})) as k)),
@@ -136,10 +136,10 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {SAMPLE}, {BOOT}, each as (select event_type, k, avg(value) as s from drawn group by 1, 2) select event_type, round(quantile_cont(s, 0.025), 9) as ci_lower, round(quantile_cont(s, 0.975), 9) as ci_upper from each group by 1")
 def statistic_ci_percentile(spark: SparkSession, d: str) -> DataFrame:
-    drawn = r.resample(sample(spark, d).select("event_type", "event_id", "value"), KINDS, ["event_id"], 40, size=200)
+    drawn = r.resample(sample(spark, d).select("event_type", "event_id", "value"), KINDS, ["event_id"], 1000, size=200)
     return r.percentile_interval(drawn, KINDS, F.avg("value")).withColumns({c: F.round(c, 9) for c in ("ci_lower", "ci_upper")})
 
 
 @query()
 def statistic_ci_bca(spark: SparkSession, d: str) -> DataFrame:
-    return r.statistic_interval(sample(spark, d), KINDS, lambda v: float(np.median(v)), n_resamples=500, method="bca")
+    return r.statistic_interval(sample(spark, d), KINDS, lambda v: float(np.median(v)), method="bca")
