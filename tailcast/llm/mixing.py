@@ -157,12 +157,16 @@ def in_order(placed: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def positioned(docs: DataFrame) -> DataFrame:
-    """``docs``, just read from Parquet files, with ``position`` (long, from 0): the place in
-    the order of the files' numbers, then of rows in a file, whatever splits they are
-    read in. One row a file is numbered in one task."""
-    at = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    number = F.regexp_extract("_file", r"^part-([0-9]{1,18})", 1)
-    before = Window.orderBy(F.when(number != "", number).cast("long"), "_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = at.groupBy("_file").agg(F.max("_row").alias("last")).select("_file", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("_before"))
-    placed = at.join(small_side(saved(files)), "_file")
-    return placed.select(*docs.columns, (F.col("_before") + F.col("_row")).cast("long").alias("position"))
+    """``docs``, just read from Parquet files, with ``position`` (long, from 0), which replaces a column of
+    this name: the place in the order of the files' numbers, then of rows in a file, whatever splits
+    they are read in. One row a file is numbered in one task."""
+    name, row, before = added_names(docs, "file", "row", "before")
+    kept = [c for c in docs.columns if c.lower() != "position"]
+    meta = docs.metadataColumn("_metadata")
+    at = docs.select(*kept, meta["file_name"].alias(name), meta["row_index"].alias(row))
+    number = F.regexp_extract("file", r"^part-([0-9]{1,18})", 1)
+    upto = Window.orderBy(F.when(number != "", number).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = at.groupBy(F.col(name).alias("file")).agg(F.max(row).alias("last"))
+    files = files.select(F.col("file").alias(name), F.coalesce(F.sum(F.col("last") + 1).over(upto), F.lit(0)).alias(before))
+    placed = at.join(small_side(saved(files)), name)
+    return placed.select(*kept, (F.col(before) + F.col(row)).cast("long").alias("position"))

@@ -89,3 +89,19 @@ def test_like_sql(spark, tables, name):
     want = sorted((tuple(r[columns.index(n)] for n in names) for r in found.fetchall()), key=str)
     assert sorted(columns) == names
     assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=str) == want
+
+
+def test_stages_pass_columns_of_any_name(spark, tables):
+    """Columns named as those that operators use inside come through every stage as they are."""
+    root, _ = tables
+    names = ["_p", "_site", "_quality", "_host", "_head", "_group_size", "_sha256", "_gone", "_source", "_block", "_cycle", "_slot", "_rank", "_mark", "id", "digest", "row", "component", "key", "_file", "_row", "_before"]
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("*", *[F.lit("own").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, root)
+        assert made.columns == docs.columns, name
+        kept = made.select(*names).distinct().collect()
+        assert [tuple(r) for r in kept] == [("own",) * len(names)], name
+    last = corpus_pipeline.STAGES[-1][1]
+    docs.write.parquet(f"{root}/named")
+    made = last(spark, spark.read.parquet(f"{root}/named"), root)
+    assert [tuple(r) for r in made.select(*names).distinct().collect()] == [("own",) * len(names)]
