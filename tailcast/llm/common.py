@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after its rows were counted and are no more than this.
@@ -82,6 +83,13 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7)) & 1 > 0
 
 
+def lowered(text: Column) -> Column:
+    """The text with A-Z lower-cased and nothing else changed, null as empty; ASCII alone goes the shorter way."""
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def added_names(df: DataFrame, *names: str) -> list[str]:
     """Names for columns added for a while: ``_name``, with as many more underscores before
     it as it takes to be none of ``df``'s, in any case."""

@@ -8,12 +8,10 @@ spans verified: how much of the template they hold, and that no other template f
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tailcast.llm.common import saved, small_side
+from tailcast.llm.common import lowered, saved, small_side
 
 GRAM = 3
 #: Words that may have been put in or left out of a notice in all: so many diagonals make one
@@ -56,8 +54,7 @@ NOTICES = {
 
 def words(text: Column) -> Column:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; null as empty."""
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    return F.array_remove(F.split(lowered(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailcast.llm import ann, bpe, exact, language, licence, lines, mixing, near, quality, urls
+from tailcast.llm import ann, bpe, decontaminate, divergence, exact, language, licence, lines, mixing, near, negatives, quality, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Shares of the blocks; a source that isn't named has OTHER_SHARE.
@@ -81,7 +81,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_licence, op3_quality, op4_language, op5_mixing, op6_nearest, op7_exact_dedup, op8_urls, op9_near_dedup, op10_lines)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has its label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_licence, op3_quality, op4_language, op5_mixing, op6_nearest, op7_exact_dedup, op8_urls, op9_near_dedup, op10_lines, op11_negatives, op12_decontamination, op13_divergence)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TEMPLATES = ", ".join(
@@ -148,4 +162,50 @@ ORACLE_SQL: dict[str, str] = {
         select ranked.doc_id, ranked.source, cast(rank // {BLOCK_ROWS} as bigint) as block, cast((rank // {BLOCK_ROWS}) // turns.q as bigint) as cycle,
             cast(turns.slot as bigint) as slot, cast(rank as bigint) as rank
         from ranked join turns on turns.source = ranked.s and turns.turn = (rank // {BLOCK_ROWS}) % turns.q""",
+    "op11_negatives": """
+        with e as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+            from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+            from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+        positive as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from scored where same),
+        negative as (
+            select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+                row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+            from positive p join scored n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score where p.place <= 5)
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from negative where rank <= 5""",
+    "op12_decontamination": rf"""
+        with d as (select row_number() over () as row, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        i as (select *, least(len(w), {decontaminate.SIZE}) as size from b where len(w) > 0),
+        g as (select distinct item, size, unnest(list_transform(range(0, len(w) - size + 1), lambda p: array_to_string(w[p + 1:p + size], ' '))) as gram from i),
+        t as (select row, size, unnest(range(0, len(w) - size + 1)) as pos, w from d, (select distinct size from g) where len(w) >= size),
+        h as (select row, pos, size, item from (select row, pos, size, array_to_string(w[pos + 1:pos + size], ' ') as gram from t) join g using (size, gram)),
+        words as (select row, count(*) as n from (select distinct row, pos + unnest(range(0, size)) as at from h) group by 1),
+        named as (select row, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct row, item from h) group by 1)
+        select doc_id, len(w) as n_words, coalesce(words.n, 0) as n_hit, coalesce(named.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+        from d left join words using (row) left join named using (row)""",
+    "op13_divergence": rf"""
+        with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+        o as (select row, lang, source, unnest(w) as term from d),
+        kept as (select lang, term from o group by all having count(distinct row) >= {divergence.LEAST_DOCUMENTS}),
+        size as (select lang, count(*) as v from kept group by 1),
+        c as (select lang, source, term, count(*) as n from o join kept using (lang, term) group by all),
+        parts as (select lang, source, false as whole from d group by 1, 2 union all select lang, '', true from d group by 1),
+        full_c as (
+            select p.lang, p.source, p.whole, k.term, coalesce(sum(n), 0) as n
+            from parts p join kept k using (lang) left join c on c.lang = p.lang and c.term = k.term and (p.whole or c.source = p.source) group by all),
+        shares as (
+            select f.*, v, 1 + cast(1000000000 * (n::hugeint + 5) // (sum(n) over (partition by lang, source, whole)::hugeint + 5 * v) as bigint) as p from full_c f join size using (lang)),
+        pairs as (
+            select x.lang, x.source, y.source as item, coalesce(sum(abs(a.p - b.p)), 0) as value
+            from parts x join parts y on x.lang = y.lang and x.source <> y.source and not x.whole and not y.whole
+            left join shares a on a.lang = x.lang and a.source = x.source and not a.whole left join shares b on b.lang = y.lang and b.source = y.source and not b.whole and b.term = a.term group by all),
+        over as (
+            select a.lang, a.source, a.term as item, a.p - b.p as value
+            from shares a join shares b on a.lang = b.lang and a.term = b.term and not a.whole and b.whole where a.n > 0 and a.p > b.p),
+        made as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', item, value from over),
+        ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from made)
+        select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= {divergence.TOP_TERMS}""",
 }
