@@ -121,9 +121,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documen
 def without(text: Column, runs: Column) -> Column:
     """The text less runs of words (sorted structs of first and last)."""
     between, found = F.split(text, WORD), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    tokens = F.concat(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.concat(a, b)), F.array(F.element_at(between, -1)))
-    # from behind each run to before the next one, the last piece with what follows the last word
+    tokens = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.concat(a, b))
+    # from behind each run to before the next one, and what stands there
     starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["last"] + 1))
-    ends = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(found) + 1))
-    pieces = F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(tokens, a + 1, b - a), ""))
-    return F.array_join(pieces, "")
+    ends = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(found)))
+    return F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat(F.array_join(F.slice(tokens, a + 1, b - a), ""), F.get(between, b))), "")

@@ -3,7 +3,8 @@
 All rolling three-word grams of the texts are joined by hash to the positions of the
 same grams in the templates; a hit, of which the words are compared, votes for its diagonal
 (place in the text less place in the template), diagonals next to each other are merged, and
-spans verified: how much of the template they hold, and that no other template fits better.
+spans verified: how much of the template they hold, and that no other template fits the same words
+better (licences of one family share most of their words).
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ GRAM = 3
 SLACK = 8
 #: Share of a notice's grams that a span must hold.
 COVER = 0.7
-#: Of spans that begin within so many words of each other the fullest counts: licences
-#: of one family share most of their words.
-NEAR = 16
 
 # Phrases and their labels.
 PHRASES = {
@@ -98,9 +96,13 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases:
     merged = voted.select(*named, "diagonal", (F.size(spots) / F.col("grams")).alias("cover"), lo.alias("lo"), (hi + GRAM - 1).alias("hi"))
     # the fullest, then longest template's, then first
     value = F.struct("cover", "grams", (-F.col("template")).alias("t"), (-F.col("diagonal")).alias("d"))
-    best = F.max(value).over(Window.partitionBy("row", "exact").orderBy("lo").rangeBetween(-NEAR, NEAR))
-    good = F.when(F.col("exact"), F.col("cover") == 1.0).otherwise((F.col("cover") >= COVER) & (F.col("value") == F.col("best")))
-    judged = merged.withColumn("value", value).withColumn("best", best).withColumn("good", good)
+    valued = merged.withColumn("value", value)
+    # no span is longer than this, so whatever shares a word with one begins within it
+    longest = max(len(t.split()) for t in (*(PHRASES if phrases is None else phrases), *(NOTICES if notices is None else notices), "")) + SLACK
+    near = Window.partitionBy("row", "exact").orderBy("lo").rangeBetween(-longest, longest)
+    judged = valued.withColumn("near", F.collect_list(F.when(F.col("cover") >= COVER, F.struct("lo", "hi", "value"))).over(near))
+    hidden = F.exists("near", lambda x: (x["lo"] <= F.col("hi")) & (x["hi"] >= F.col("lo")) & (x["value"] > F.col("value")))
+    judged = judged.withColumn("good", F.when(F.col("exact"), F.col("cover") == 1.0).otherwise((F.col("cover") >= COVER) & ~hidden))
     return judged.select("row", "doc_id", "n_words", *[F.when(F.col("good"), F.col(c)).alias(n) for c, n in (("template", "template"), ("exact", "exact"), ("label", "label"), ("lo", "first"), ("hi", "last"), ("cover", "cover"))])
 
 

@@ -119,8 +119,9 @@ ORACLE_SQL: dict[str, str] = {
                 case when exact then lo else min(lo) over beside end as lo, (case when exact then hi else max(hi) over beside end) + 2 as hi
             from voted window beside as (partition by row, template order by diagonal range between current row and {licence.SLACK} following)),
         valued as (select *, [cover, grams, -template, -diagonal]::double[] as value from merged),
-        judged as (select *, max(value) over (partition by row, exact order by lo range between {licence.NEAR} preceding and {licence.NEAR} following) as best from valued),
-        good as (select * from judged where case when exact then cover = 1 else cover >= {licence.COVER} and value = best end)
+        good as (
+            select * from valued v where case when exact then cover = 1 else cover >= {licence.COVER} and not exists (
+                select 1 from valued o where o.row = v.row and not o.exact and o.lo <= v.hi and o.hi >= v.lo and o.value > v.value) end)
         select doc_id, len(any_value(w)) as n_words, count(*) filter (exact) as n_base, min(lo) filter (exact) as first_word, max(lo) filter (exact) as last_word,
             coalesce(string_agg(distinct label, ',' order by label) filter (exact), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(cover), 0.0::double) as score
         from w left join good using (row) group by row, doc_id""",

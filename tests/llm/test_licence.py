@@ -28,8 +28,8 @@ def notices(text):
         hits = [(k - i, i, k) for k in range(len(w) - 2) for i in at.get(tuple(w[k : k + 3]), [])]
         for d in {d for d, _, _ in hits}:
             own = [(i, k) for e, i, k in hits if d <= e <= d + licence.SLACK]
-            found.append((min(k for _, k in own), (len({i for i, _ in own}) / (len(p) - 2), len(p), -number, -d), label))
-    return {label for lo, value, label in found if value[0] >= licence.COVER and value == max(v for l, v, _ in found if abs(l - lo) <= licence.NEAR)}
+            found.append((min(k for _, k in own), max(k for _, k in own) + 2, (len({i for i, _ in own}) / (len(p) - 2), len(p), -number, -d), label))
+    return {label for lo, hi, value, label in found if value[0] >= licence.COVER and value == max(v for a, b, v, _ in found if a <= hi and b >= lo)}
 
 
 def cases():
@@ -82,3 +82,21 @@ def test_long_templates_and_families(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r["labels"] for r in licence.scanned(df, notices={mine: "own", **licence.NOTICES}).orderBy("doc_id").collect()]
     assert got == ["own", "own"] + [licence.NOTICES[t] for t in texts[2:]]
+
+
+def test_neighbours_hide_nothing(spark):
+    """Notices back to back, or a few words apart, each count: all pairs of the table, and three in a row."""
+    table = list(licence.NOTICES.items())
+    texts = [f"{a}{gap}{b}" for a, _ in table for b, _ in table if a != b for gap in (" ", " or at choice ")]
+    texts += [" ".join(x for x, _ in table[k : k + 3]) for k in range(len(table) - 2)]
+    wanted = [{la, lb} for a, la in table for b, lb in table if a != b for _ in range(2)] + [{label for _, label in table[k : k + 3]} for k in range(len(table) - 2)]
+    got = licence.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    lost = [(text, w, r["labels"]) for text, w, r in zip(texts, wanted, got, strict=True) if not w <= set(r["labels"].split(","))]
+    assert not lost, lost[:3]
+
+
+def test_a_very_long_text(spark):
+    notice = next(n for n, label in licence.NOTICES.items() if label == "cc0")
+    text = "plain words of no licence " * 60_000 + notice + " more of the same" * 60_000
+    (row,) = licence.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["labels"] == "cc0" and row["n_words"] == len(words(text))
