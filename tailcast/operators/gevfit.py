@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tailcast.functions import gev
 from tailcast.functions.statistics import cramer_von_mises_p, gev_nll, ks_one_sample_p, lmoments_start, minimise
 from tailcast.operators import extremes
+from tailcast.operators.newton import fit_by_sums
 
 # Names of first guesses.
 STARTS = ("LMM", "scipy_fitstart", "scipy", "scipy_subset", "xclim_fitstart", "xclim", "moments", "LMM_subset")
@@ -74,28 +75,68 @@ def fit_samples(x: np.ndarray, start: np.ndarray, fixed: dict[int, float] | None
     return theta, gev_nll(theta, x)
 
 
-def fit_trend(x: np.ndarray, covariate: np.ndarray, start: np.ndarray, trends: tuple[bool, bool] = (True, True), basin_hops: int = 0, seed: int = 0, slopes: tuple[float | None, float | None] = (None, None)) -> tuple[np.ndarray, float]:
+def fit_trend(
+    x: np.ndarray, covariate: np.ndarray, start: np.ndarray, trends: tuple[bool, bool] = (True, True), basin_hops: int = 0, seed: int = 0, slopes: tuple[float | None, float | None] = (None, None),
+    bounds: dict[int, tuple[float, float]] | None = None, temperature: float = 1.0, step: float = 0.5,
+) -> tuple[np.ndarray, float]:
     """Five parameters of one sample; the covariate is standardised inside. ``trends`` frees
-    location_1 and scale_1, ``slopes`` are their first guesses (else the line's slope and 0); with
-    ``basin_hops`` starts are moved at random, by up to half a scale, and the best end counts."""
+    location_1 and scale_1, ``slopes`` are their first guesses (else the line's slope and 0). ``bounds`` holds
+    parameters, by position, within (low, high): what leaves them is moved to the nearest end before it is judged, so that the
+    simplex slides along. With ``basin_hops`` a Metropolis chain goes from minimum to minimum (``hop``)."""
     mid, spread = covariate.mean(), max(covariate.std(), 1e-12)
     z = (covariate - mid) / spread
     free = np.array([1, 1, trends[0], 1, trends[1]], dtype=float)
 
+    def own(t: np.ndarray) -> np.ndarray:
+        """Parameters by the covariate itself."""
+        return np.column_stack([t[:, 0], t[:, 1] - t[:, 2] * mid / spread, t[:, 2] / spread, t[:, 3] - t[:, 4] * mid / spread, t[:, 4] / spread])
+
+    def held(t: np.ndarray) -> np.ndarray:
+        if not bounds:
+            return t * free
+        theta = own(t * free)
+        for k, (lo, hi) in bounds.items():
+            theta[:, k] = np.clip(theta[:, k], lo, hi)
+        return np.column_stack([theta[:, 0], theta[:, 1] + theta[:, 2] * mid, theta[:, 2] * spread, theta[:, 3] + theta[:, 4] * mid, theta[:, 4] * spread])
+
     def f(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return gev_nll(t * free, np.repeat(x[None], len(t), 0), np.repeat(z[None], len(t), 0)) + 1e10 * (t[:, 3] < 1e-6)
+        t = held(t)
+        return gev_nll(t, np.repeat(x[None], len(t), 0), np.repeat(z[None], len(t), 0)) + 1e10 * (t[:, 3] < 1e-6)
+
+    def minimum(tries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = size
+        for _ in range(3):
+            tries, value = minimise(f, held(tries), np.tile(width, (len(tries), 1)))
+            width = width / 3
+        return held(tries), value
 
-    rng = np.random.default_rng(seed)
     slope = (np.polyfit(z, x, 1)[0] if slopes[0] is None else slopes[0] * spread) if trends[0] else 0.0
     base = np.array([start[0], start[1], slope, start[2], (slopes[1] or 0.0) * spread])
     size = np.array([0.1, 0.2 * start[2], 0.2 * start[2], 0.2 * start[2], 0.1 * start[2]])
-    tries = base + np.vstack([np.zeros(5), [0, 0, -slope, 0, 0], rng.uniform(-0.5, 0.5, (basin_hops, 5)) * np.maximum(size * 5, 1e-3)])
-    for _ in range(3):
-        tries, value = minimise(f, tries * free, np.tile(size, (len(tries), 1)))
-        size = size / 3
-    t = tries[value.argmin()] * free
-    theta = np.array([t[0], t[1] - t[2] * mid / spread, t[2] / spread, t[3] - t[4] * mid / spread, t[4] / spread])
-    return theta, float(gev_nll(theta[None], x[None], covariate[None])[0])
+    ends, value = minimum(base + np.vstack([np.zeros(5), [0, 0, -slope, 0, 0]]))
+    t = ends[value.argmin()]
+    if basin_hops:
+        unit = np.array([1.0, start[2], start[2], start[2], start[2]]) * free
+        t = hop(minimum, t, float(value.min()), unit, basin_hops, temperature, step, np.random.default_rng(seed))
+    theta = own(t[None])
+    return theta[0], float(gev_nll(theta, x[None], covariate[None])[0])
+
+
+def hop(minimum: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], at: np.ndarray, value: float, unit: np.ndarray, hops: int, temperature: float, step: float, rng: np.random.Generator, every: int = 10, wanted: float = 0.5) -> np.ndarray:
+    """Basin hopping: from the current minimum each parameter moves by up to ``step`` of its ``unit``, and the minimum reached
+    from there is taken if it is lower, or else with probability exp(-rise / ``temperature``). ``every`` so many hops the
+    step grows or shrinks by a tenth, as more or fewer than the ``wanted`` share were taken. The lowest minimum counts."""
+    best, lowest, taken = at, value, 0
+    for n in range(1, hops + 1):
+        ends, values = minimum((at + step * unit * rng.uniform(-1, 1, len(at)))[None])
+        if values[0] <= value or rng.random() < np.exp(-(values[0] - value) / max(temperature, 1e-300)):
+            at, value, taken = ends[0], float(values[0]), taken + 1
+            if value < lowest:
+                best, lowest = at, value
+        if n % every == 0:
+            step *= 1 / 0.9 if taken > wanted * every else 0.9
+            taken = 0
+    return best
 
 
 def goodness(x: np.ndarray, theta: np.ndarray, covariate: np.ndarray | None, test: str) -> float:
@@ -148,6 +189,8 @@ def fit_gev(
     loc1: float | None = None,
     scale1: float | None = None,
     goodness_alpha: float | None = None,
+    temperature: float = 1.0,
+    hop_step: float = 0.5,
 ) -> DataFrame:
     """(by..., n, parameters..., nllf, pvalue): a fit for each group of ``by`` (one shuffle).
 
@@ -155,7 +198,8 @@ def fit_gev(
     missing parameters. ``retry`` also starts elsewhere and keeps the better end.
     ``assert_good_fit`` makes parameters missing where the p-value is at most ``goodness_alpha`` (``alpha``
     without). ``bounds`` of c, location and scale hold for the stationary fit, also as the start of one
-    with trends; ``loc1`` and ``scale1`` are the first guesses of the trends.
+    with trends, those of c, location_0, location_1, scale_0 and scale_1 for the latter; ``loc1`` and ``scale1`` are the first
+    guesses of the trends. ``basin_hops`` hops at ``temperature``, of up to ``hop_step`` scales, look for lower minima.
     ``pick_best_model`` (lrt, aic, aicc, bic) sets trends to 0 where they don't pay.
     """
     if stationary and pick_best_model:
@@ -166,7 +210,11 @@ def fit_gev(
         raise ValueError("unknown start or test")
     names = PARAMETERS[stationary]
     pins = {("c", "location", "scale").index(k): v for k, v in (fixed or {}).items()}
-    limits = {("c", "location", "scale").index(k): v for k, v in (bounds or {}).items()}
+    unknown = set(bounds or {}) - {*PARAMETERS[True], *names}
+    if unknown:
+        raise ValueError(f"no parameters of that name: {sorted(unknown)}")
+    limits = {PARAMETERS[True].index(k): v for k, v in (bounds or {}).items() if k in PARAMETERS[True]}
+    trend_limits = {names.index(k): v for k, v in (bounds or {}).items() if k in names} if not stationary else {}
     keys = list(by)
 
     def one(x: np.ndarray, cov: np.ndarray | None) -> tuple[np.ndarray, float, float]:
@@ -180,9 +228,10 @@ def fit_gev(
                 theta, nll = other, other_nll
         theta, nll = theta[0], float(nll[0])
         if not stationary:
-            five, nll5 = fit_trend(x, cov, theta, (location_trend, scale_trend), basin_hops, slopes=(loc1, scale1))
+            five, nll5 = fit_trend(x, cov, theta, (location_trend, scale_trend), basin_hops, slopes=(loc1, scale1), bounds=trend_limits, temperature=temperature, step=hop_step)
             flat = np.array([theta[0], theta[1], 0.0, theta[2], 0.0])
-            if nll5 > nll or (pick_best_model and not prefers_trend(pick_best_model, nll, nll5, len(x), location_trend + scale_trend, alpha)):
+            within = all(lo <= flat[k] <= hi for k, (lo, hi) in trend_limits.items())
+            if within and (nll5 > nll or (pick_best_model and not prefers_trend(pick_best_model, nll, nll5, len(x), location_trend + scale_trend, alpha))):
                 theta = flat
             else:
                 theta, nll = five, nll5
@@ -292,17 +341,56 @@ def _interval(fits: DataFrame, keys: list[str], made: Column, name: str, level:
     return fits.groupBy(*keys).agg(F.max(F.when(own, made)).alias(name), F.percentile(drawn, tail).alias("ci_lower"), F.percentile(drawn, 1 - tail).alias("ci_upper"))
 
 
-def fit_confidence(df: DataFrame, by: Sequence[str], value: str = "value", periods: Sequence[float] = (10, 50, 100, 500), level: float = 0.95, **how: object) -> DataFrame:
-    """(by..., return_period, return_level, ci_lower, ci_upper) from ``bootstrap_fits``."""
-    each = bootstrap_fits(df, by, value, **how).withColumn("return_period", F.explode(F.array(*[F.lit(float(t)) for t in periods])))
-    made = gev.return_level(F.col("return_period"), F.col("c"), F.col("location"), F.col("scale"))
-    return _interval(each, [*by, "return_period"], made, "return_level", level)
-
-
-def event_confidence(df: DataFrame, by: Sequence[str], event: float, value: str = "value", level: float = 0.95, **how: object) -> DataFrame:
-    """(by..., return_period, ci_lower, ci_upper) of an event."""
-    made = gev.return_period(F.lit(float(event)), F.col("c"), F.col("location"), F.col("scale"))
-    return _interval(bootstrap_fits(df, by, value, **how), list(by), made, "return_period", level)
+def _replicated(df: DataFrame, by: Sequence[str], value: str, covariate: str | None, row: Sequence[str] | None, n_resamples: int, parametric: bool, max_shape_ratio: float | None, seed: int, by_sums: bool) -> DataFrame:
+    """(by..., k, parameters...): the fit of each group (k = -1) and of its bootstrap samples."""
+    if not covariate and not by_sums:
+        return bootstrap_fits(df, by, value, n_resamples, parametric, max_shape_ratio, seed)
+    if parametric:
+        raise ValueError("parametric bootstraps are of fits without trends, a task for each part of a group")
+    fits = fit_by_sums(df, by, value, covariate, n_resamples=n_resamples, row=row, seed=seed)
+    if not max_shape_ratio:
+        return fits
+    own = F.max(F.when(F.col("k") < 0, F.abs("c"))).over(Window.partitionBy(*by))
+    return fits.withColumn("_own", own).where((F.col("k") < 0) | (F.abs("c") <= max_shape_ratio * F.col("_own"))).drop("_own")
+
+
+def fit_confidence(
+    df: DataFrame, by: Sequence[str], value: str = "value", periods: Sequence[float] = (10, 50, 100, 500), level: float = 0.95,
+    covariate: str | None = None, at: Sequence[float] = (), row: Sequence[str] | None = None, n_resamples: int = 1000, parametric: bool = False, max_shape_ratio: float | None = None, seed: int = 0, by_sums: bool = False,
+) -> DataFrame:
+    """(by..., return_period, return_level, ci_lower, ci_upper): levels of each group's fit and the percentiles of those of its
+    bootstrap samples, which are fitted again.
+
+    With a ``covariate`` fits have trends, values and covariates are drawn together, and levels are those
+    ``at`` chosen covariates (a column of its name). Then, or if asked for ``by_sums`` for large groups, samples are counts of
+    rows (``newton.fit_by_sums``), told apart by ``row``; ``parametric`` ones are drawn from the group's fit. Replicates whose shape is more
+    than ``max_shape_ratio`` times the group's are left out.
+    """
+    if covariate and not at:
+        raise ValueError("levels of a fit with trends need covariates to hold at")
+    each = _replicated(df, by, value, covariate, row, n_resamples, parametric, max_shape_ratio, seed, by_sums)
+    each, keys = each.withColumn("return_period", F.explode(F.array(*[F.lit(float(t)) for t in periods]))), [*by, "return_period"]
+    if covariate:
+        each, keys = each.withColumn(covariate, F.explode(F.array(*[F.lit(float(x)) for x in at]))), [*by, covariate, "return_period"]
+    made = gev.return_level(F.col("return_period"), *_parameters(covariate))
+    return _interval(each, keys, made, "return_level", level)
+
+
+def _parameters(covariate: str | None) -> tuple[Column, Column, Column]:
+    return gev.at_covariate({k: F.col(k) for k in PARAMETERS[covariate is None]}, F.col(covariate) if covariate else None)
+
+
+def event_confidence(
+    df: DataFrame, by: Sequence[str], event: float, value: str = "value", level: float = 0.95,
+    covariate: str | None = None, at: Sequence[float] = (), row: Sequence[str] | None = None, n_resamples: int = 1000, parametric: bool = False, max_shape_ratio: float | None = None, seed: int = 0, by_sums: bool = False,
+) -> DataFrame:
+    """(by..., return_period, ci_lower, ci_upper) of an event, as ``fit_confidence`` has levels."""
+    if covariate and not at:
+        raise ValueError("periods of a fit with trends need covariates to hold at")
+    each, keys = _replicated(df, by, value, covariate, row, n_resamples, parametric, max_shape_ratio, seed, by_sums), list(by)
+    if covariate:
+        each, keys = each.withColumn(covariate, F.explode(F.array(*[F.lit(float(x)) for x in at]))), [*by, covariate]
+    return _interval(each, keys, gev.return_period(F.lit(float(event)), *_parameters(covariate)), "return_period", level)
 
 
 def quantile(theta: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tailcast.functions import gev
 from tailcast.operators import extremes as x
-from tailcast.operators import gevfit
+from tailcast.operators import gevfit, newton
+from tailcast.operators.resampling import replicates
 from tailcast.operators.temporal import temporal_aggregation
 from tailcast.plans.views import FCST, GRID, OBS, SAMPLE, fcst, grid, obs, sample
 from tailcast.queries import query
@@ -162,6 +163,50 @@ def gev_confidence_interval(spark: SparkSession, d: str) -> DataFrame:
     return gevfit.fit_confidence(fcst(spark, d), ["ensemble"])
 
 
+@query()
+def gev_trend_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Levels at two days of fits with trends, and their bootstrap intervals."""
+    dated = sample(spark, d).withColumn("day", F.dayofmonth("time"))
+    return gevfit.fit_confidence(dated, KINDS, covariate="day", at=[1, 31], row=["event_id"], n_resamples=100)
+
+
+COUNTED = " ".join(f"when u < {v} then {k}" for k, v in enumerate(newton.POISSON))
+
+
+@query(f"""with {FCST}, drawn as (select ensemble, k, value, year(time) as year, ('0x' || substr(md5('0:' || k || ':' || cast(init_date as varchar) || '|' || lead_time), 1, 8))::BIGINT as u from fcst, (select unnest(range(0, 1000)) as k)),
+    counted as (select *, case {COUNTED} else {len(newton.POISSON)} end as w from drawn)
+    select ensemble, cast(k as integer) as k, cast(sum(w) as bigint) as n, round(sum(w * value) / sum(w), 6) as mean_value, round(sum(w * year) / sum(w), 6) as mean_year from counted group by 1, 2""")
+def bootstrap_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the bootstrap samples that intervals of fits come from, and their means of values and covariates."""
+    cube = fcst(spark, d).withColumn("_id", F.concat_ws("|", F.col("init_date").cast("string"), F.col("lead_time").cast("string")))
+    drawn = replicates(cube, 1000).withColumn("w", newton.resampled_count(0, F.col("k"), F.col("_id")))
+    means = [F.round(F.sum(F.col("w") * c) / F.sum("w"), 6).alias(name) for name, c in (("mean_value", F.col("value")), ("mean_year", F.year("time")))]
+    return drawn.groupBy("ensemble", "k").agg(F.sum("w").cast("long").alias("n"), *means)
+
+
+@query()
+def gev_fit_by_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Fits of all orders' values by priority, each one group over the whole table."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderpriority", F.col("o_totalprice").alias("value"))
+    return newton.fit_by_sums(orders, ["o_orderpriority"]).drop("k")
+
+
+SCORED = f"""v as (select lead_time, value as v, c, location, scale from fcst join params using (lead_time)),
+    g as (select lead_time, (v - location) / scale as z, 1 - c * (v - location) / scale as w, c, scale from v),
+    t as (select *, ln(w) / c as u, exp(ln(w) / c) as t from g where w > 0)"""
+
+
+@query(f"""with {FCST}, {LMM}, {SCORED}
+    select lead_time, count(*) as n, round(sum(ln(scale) - (1 - c) * u + t), 3) as nllf, round(sum(u - (t - 1 + c) * (u + z / w) / c), 3) as by_shape,
+        round(1e3 * sum((t - 1 + c) / (w * scale)), 3) as by_location, round(1e3 * sum((1 + z * (t - 1 + c) / w) / scale), 3) as by_scale from t group by 1""")
+def gev_score(spark: SparkSession, d: str) -> DataFrame:
+    """The likelihood and its gradient at the L-moment fits of each lead, of the values that these allow."""
+    p = _params(spark, d).select("lead_time", F.col("c").alias("_c"), F.col("location").alias("_mu"), F.col("scale").alias("_sigma"))
+    rows = fcst(spark, d).join(p, "lead_time").select("lead_time", "_c", "_mu", "_sigma", F.col("value").alias("_y"), F.lit(0.0).alias("_v"), F.lit(1).alias("_w"))
+    made, s = newton.summed(rows, ["lead_time"], trend=False), F.col("_sums")
+    return made.select("lead_time", (F.col("_weight") - F.col("_bad")).cast("long").alias("n"), *[F.round(f * s[i], 3).alias(name) for i, (name, f) in enumerate((("nllf", 1.0), ("by_shape", 1.0), ("by_location", 1e3), ("by_scale", 1e3)))])
+
+
 @query()
 def gev_return_curve(spark: SparkSession, d: str) -> DataFrame:
     """Curves from the fits of annual maxima in each cell."""
