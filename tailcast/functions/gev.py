@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailcast.tables import written
+
 #: What a value outside the support adds to a negative log-likelihood.
 PENALTY = math.log(1.7976931348623157e308) * 100
 INF = float("inf")
@@ -99,31 +101,40 @@ def gamma_of_one_plus(x: Column) -> Column:
     return F.when(x > -0.5, lanczos(x)).otherwise(reflected)
 
 
-#: Slices of a group's range that ranks are worked out in.
-SLICES = 1000
-
+def distinct_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., _x, _m, _before, _n): each distinct value of a group, how often it occurs, how many values are less, and the group's number.
 
-def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by..., _x, _j, _n): values, their ranks from 1 and number in the group. Values are ranked within
-    slices of the group's range, after those of lower slices, so that no window holds a whole group."""
+    Values are counted first, so that ties are one row, and these rows dealt out by ranges of group and value that Spark
+    samples, so that outliers and heavy tails leave no range overfull; what lies in the ranges before is
+    added up by range. The dealt table is written, for both to see the same ranges.
+    """
     seen = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    stats = seen.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
-    slot = F.least(F.floor(F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * SLICES), F.lit(SLICES - 1))
+    counted = seen.groupBy(*by, "_x").agg(F.count("*").alias("_m"))
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = written(counted.repartitionByRange(ranges, *by, "_x").withColumn("_slot", F.spark_partition_id()))
     keys = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
     same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
-    dealt = seen.join(stats.select(*keys, "_lo", "_hi", "_n"), reduce(and_, same, F.lit(True))).select(*by, "_x", "_n", slot.alias("_slot"))
-    up = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*by, "_slot").agg(F.count("*").alias("_c")).select(*keys, F.col("_slot").alias("_of"), F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_before"))
-    placed = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_slot").orderBy("_x")))
-    return placed.join(counts, reduce(and_, same, F.col("_slot") == F.col("_of"))).select(*by, "_x", (F.col("_before") + F.col("_in")).alias("_j"), "_n")
+    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*by, "_slot").agg(F.sum("_m").alias("_c"))
+    sums = sums.select(*keys, F.col("_slot").alias("_of"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_lower"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    within = Window.partitionBy(*by, "_slot").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_in", F.coalesce(F.sum("_m").over(within), F.lit(0)))
+    return placed.join(sums, reduce(and_, same, F.col("_slot") == F.col("_of"))).select(*by, "_x", "_m", (F.col("_lower") + F.col("_in")).alias("_before"), "_n")
+
+
+def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., _x, _j, _n): values, their ranks from 1 and number in the group, a row for each."""
+    return distinct_ranks(df, value, by).select(*by, "_x", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_m"))).alias("_j"), "_n")
 
 
 def fit_lmoments(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by..., n, c, location, scale) by L-moments: probability-weighted moments from each
-    group's ranks, then Hosking's closed form."""
-    j, n, x = F.col("_j"), F.col("_n"), F.col("_x")
-    sums = ranked(df, value, by).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(x).alias("b0"), F.avg(F.try_divide(j - 1, n - 1) * x).alias("b1"), F.avg(F.try_divide((j - 1) * (j - 2), (n - 1) * (n - 2)) * x).alias("b2")
+    """(by..., n, c, location, scale) by L-moments: probability-weighted moments from the ranks of each
+    group's distinct values, those of ties added up in closed form, then Hosking's closed form."""
+    x, m, k, n = F.col("_x"), F.col("_m").cast("double"), F.col("_before").cast("double"), F.col("_n").cast("double")
+    # sums of i and of i * (i - 1) for i = k .. k + m - 1
+    one, two = m * (2 * k + m - 1) / 2, m * (3 * k * k + 3 * k * (m - 2) + (m - 1) * (m - 2)) / 3
+    sums = distinct_ranks(df, value, by).groupBy(*by).agg(
+        F.max("_n").alias("n"), F.sum(x * m / n).alias("b0"), F.sum(F.try_divide(one, n - 1) * x / n).alias("b1"), F.sum(F.try_divide(two, (n - 1) * (n - 2)) * x / n).alias("b2")
     )
     l2 = 2 * F.col("b1") - F.col("b0")
     t3 = F.try_divide(6 * F.col("b2") - 6 * F.col("b1") + F.col("b0"), l2)

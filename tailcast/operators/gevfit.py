@@ -260,17 +260,20 @@ def fit_gev(
 def check_gev_fit(df: DataFrame, params: DataFrame, by: Sequence[str], value: str = "value", test: str = "ks", covariate: str | None = None) -> DataFrame:
     """(by..., n, statistic, pvalue): whether values are draws of given distributions (``params``: by...,
     and the three parameters, or the five and a ``covariate`` column of ``df``), by Kolmogorov
-    and Smirnov (``ks``) or Cramer and von Mises (``cvm``). Ranks in parts, one row a group for the p-value.
+    and Smirnov (``ks``) or Cramer and von Mises (``cvm``). Ranks in ranges, one row a group for the p-value.
     """
     if test not in ("ks", "cvm"):
         raise ValueError(f"unknown test {test}")
     names = PARAMETERS[covariate is None]
     joined = df.where(F.col(value).isNotNull()).join(params.select(*by, *names), list(by))
     at = gev.at_covariate({k: F.col(k) for k in names}, F.col(covariate) if covariate else None)
-    ranked = gev.ranked(joined.select(*by, gev.cdf(F.col(value).cast("double"), *at).alias("_u")), "_u", list(by))
-    u, j, n = F.col("_x"), F.col("_j"), F.col("_n").cast("double")
-    made = F.max(F.greatest(j / n - u, u - (j - 1) / n)) if test == "ks" else 1 / (12 * F.max(n)) + F.sum(F.pow(u - (2 * j - 1) / (2 * n), 2))
-    found = ranked.groupBy(*by).agg(F.max("_n").alias("n"), made.alias("statistic"))
+    ranks = gev.distinct_ranks(joined.select(*by, gev.cdf(F.col(value).cast("double"), *at).alias("_u")), "_u", list(by))
+    u, m, k, n = F.col("_x"), F.col("_m").cast("double"), F.col("_before").cast("double"), F.col("_n").cast("double")
+    if test == "ks":
+        made = F.max(F.greatest((k + m) / n - u, u - k / n))
+    else:  # the sum of squares of u - (2 j - 1) / 2 n over ranks j = k + 1 .. k + m, about their mean
+        made = 1 / (12 * F.max(n)) + F.sum(m * F.pow(u - (2 * k + m) / (2 * n), 2) + m * (m * m - 1) / (12 * n * n))
+    found = ranks.groupBy(*by).agg(F.max("_n").alias("n"), made.alias("statistic"))
     return found.select(*by, "n", "statistic", (_ks_p if test == "ks" else _cvm_p)("statistic", "n").alias("pvalue"))
 
 

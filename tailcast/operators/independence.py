@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailcast.operators.resampling import permutation
+from tailcast.operators.resampling import drawn_first
 
 
 def detrended(df: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -86,8 +86,9 @@ def null_bounds(df: DataFrame, by: Sequence[str] = (), n_resamples: int = 100, l
         raise ValueError("the level lies within (0, 1)")
     keys = ["init_month", *by]
     shape = df.groupBy(*keys).agg(F.countDistinct("init_date").alias("_i"), F.countDistinct("ensemble").alias("_e"))
-    drawn = permutation(df.where(F.col(value).isNotNull()), keys, ["init_date", "lead_time", "ensemble"], n_resamples, seed).join(shape, keys)
-    cells = drawn.where(F.col("pos") < F.col("_i") * F.col("_e")).select(*keys, "k", F.floor(F.col("pos") / F.col("_e")).alias("init_date"), (F.col("pos") % F.col("_e")).alias("ensemble"), value)
+    sized = df.where(F.col(value).isNotNull()).join(shape, keys).withColumn("_size", F.col("_i") * F.col("_e"))
+    drawn = drawn_first(sized, keys, ["init_date", "lead_time", "ensemble"], "_size", n_resamples, seed)
+    cells = drawn.select(*keys, "k", F.floor(F.col("pos") / F.col("_e")).alias("init_date"), (F.col("pos") % F.col("_e")).alias("ensemble"), value)
     r = mean_correlation(cells, [*keys, "k"], value=value)
     tail = (1 - level) / 2
     return r.groupBy(*keys).agg(F.percentile("r", tail).alias("ci_lower"), F.percentile("r", 1 - tail).alias("ci_upper"))

@@ -83,6 +83,22 @@ def permutation(df: DataFrame, by: Sequence[str], order: Sequence[str], n_repeat
     return rows.withColumn("pos", F.row_number().over(shuffled) - 1)
 
 
+def drawn_first(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, n_repeats: int, seed: int = 0) -> DataFrame:
+    """The first ``size`` (a column, the same in a group) rows of each replicate's random order, as ``permutation`` has it, with ``k`` and ``pos``.
+
+    Only rows whose draw is under a bound are ordered: so many that fewer than ``size`` pass it with a probability under
+    1e-18; were it to happen, the job fails. So a replicate shuffles about ``size`` rows, however large the group.
+    """
+    wanted = F.col(size).cast("double")
+    bound = F.floor((wanted + 10 * F.sqrt(wanted) + 50) / F.col("n") * 2.0**32)
+    rows = replicates(numbered(df, by, order), n_repeats).withColumn("_draw", draw(seed, F.col("k"), F.col("idx"))).where(F.col("_draw") < bound)
+    group = Window.partitionBy(*by, "k")
+    placed = rows.withColumn("pos", F.row_number().over(group.orderBy("_draw", "idx")) - 1).withColumn("_passed", F.count("*").over(group))
+    short = (F.col("_passed") < F.col(size)) & (F.col("_passed") < F.col("n"))
+    checked = F.when(short, F.raise_error(F.lit("fewer rows passed the bound than are drawn: choose another seed")).cast("boolean")).otherwise(F.col("pos") < F.col(size))
+    return placed.where(checked).drop("_draw", "_passed")
+
+
 def percentile_interval(df: DataFrame, by: Sequence[str], statistic: Column, level: float = 0.95, prefix: str = "ci") -> DataFrame:
     """Interval of an aggregate over replicates ``k``: two aggregations."""
     tail = (1 - level) / 2

@@ -6,6 +6,7 @@ from the grid's coordinates and joined to the data on (lat, lon).
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -89,7 +90,7 @@ def overlap_mask(cells: DataFrame, shapes: DataFrame, threshold: float) -> DataF
 
 def buffered(cells: DataFrame, shapes: DataFrame, degrees: float) -> DataFrame:
     """(region, lat, lon) for cells whose centre is in the region or within ``degrees`` of its
-    outline, distances taken on the plane of degrees (no projection)."""
+    outline, distances taken on the plane of degrees; ``projected_buffer`` takes them on a projection."""
     e = edges(shapes)
     c = cells.select("lat", "lon").distinct()
     near = c.join(e, F.col("lat").between(F.least("y1", "y2") - degrees, F.greatest("y1", "y2") + degrees) & F.col("lon").between(F.least("x1", "x2") - degrees, F.greatest("x1", "x2") + degrees))
@@ -100,6 +101,67 @@ def buffered(cells: DataFrame, shapes: DataFrame, degrees: float) -> DataFrame:
     return near.where(away <= degrees).select("region", "lat", "lon").union(centre_mask(cells, shapes).select("region", "lat", "lon")).distinct()
 
 
+# The WGS 84 ellipsoid (metres; eccentricity) and metres of a buffer's degree.
+AXIS, ECCENTRICITY, DEGREE = 6378137.0, 0.0818191908426215, 111_320.0
+
+
+def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(x, y) in metres on the ellipsoidal Mercator projection."""
+    wave = ECCENTRICITY * F.sin(F.radians(lat))
+    upright = F.ln(F.tan(math.pi / 4 + F.radians(lat) / 2)) + ECCENTRICITY / 2 * F.ln((1 - wave) / (1 + wave))
+    return AXIS * F.radians(lon), AXIS * upright
+
+
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """An outline without the points that lie within ``tolerance`` of the line that the others make (Douglas and
+    Peucker); what would be left with no area stays whole. A small helper for one ring."""
+    keep, spans = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while spans:
+        a, b = spans.pop()
+        (x1, y1), (x2, y2) = points[a], points[b]
+        dx, dy = x2 - x1, y2 - y1
+        far, at = tolerance, 0
+        for i in range(a + 1, b):
+            x, y = points[i]
+            t = min(1.0, max(0.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            away = math.hypot(x - x1 - t * dx, y - y1 - t * dy)
+            if away > far:
+                far, at = away, i
+        if at:
+            keep.add(at)
+            spans += [(a, at), (at, b)]
+    return [points[i] for i in sorted(keep)] if len(keep) > 3 else points
+
+
+def projected_buffer(cells: DataFrame, shapes: DataFrame, degrees: float, tolerance: float = 10_000.0) -> DataFrame:
+    """(region, lat, lon) for cells whose centre is within ``degrees`` (of 111.32 km of the projection) of a shape, or in it: shapes
+    are put on the Mercator projection, their outlines simplified by up to ``tolerance`` metres, and distances taken there.
+
+    Metres of the projection grow away from the equator, there a degree of longitude stays a degree, and
+    one of latitude becomes larger; at 40 degrees a buffer of 1 reaches 0.77 degrees north and south and 1 east and west.
+    """
+    def placed(p: Column) -> Column:
+        x, y = mercator(p["lat"], p["lon"])
+        return F.struct((x / DEGREE).alias("lon"), (y / DEGREE).alias("lat"))
+
+    rings = shapes.select("region", F.transform("ring", placed).alias("ring"))
+
+    def coarser(batches):
+        for pdf in batches:
+            made = []
+            for ring in pdf["ring"]:
+                outline = [(p["lon"], p["lat"]) for p in ring]
+                closed = outline if outline[0] == outline[-1] else [*outline, outline[0]]
+                made.append([{"lon": a, "lat": b} for a, b in simplified(closed, tolerance / DEGREE)[:-1]])
+            yield pdf.assign(ring=made)[["region", "ring"]]
+
+    flat = rings.mapInPandas(coarser, "region string, ring array<struct<lon double, lat double>>")
+    u, v = (c / DEGREE for c in mercator(F.col("_lat"), F.col("_lon")))
+    places = cells.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct().select("_lat", "_lon", v.alias("lat"), u.alias("lon"))
+    near = buffered(places.select("lat", "lon"), flat, degrees)
+    return near.join(places, ["lat", "lon"]).select("region", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
+
+
 def with_combined(mask: DataFrame, name: str = "all") -> DataFrame:
     """The mask with one more region, the union of all."""
     return mask.select("region", "lat", "lon").unionByName(mask.select(F.lit(name).alias("region"), "lat", "lon").distinct())

@@ -31,6 +31,25 @@ def region_buffer(spark: SparkSession, d: str) -> DataFrame:
     return spatial.buffered(grid(spark, d), _shapes(spark), BUFFER)
 
 
+def _up(lat: str) -> str:
+    """SQL of the projection's way north, in degrees of 111.32 km."""
+    e = spatial.ECCENTRICITY
+    return f"({spatial.AXIS} / {spatial.DEGREE} * (ln(tan(pi() / 4 + radians({lat}) / 2)) + {e / 2} * ln((1 - {e} * sin(radians({lat}))) / (1 + {e} * sin(radians({lat}))))))"
+
+
+EAST = spatial.AXIS / spatial.DEGREE
+PROJECTED_BOX = " union all ".join(
+    f"select '{k}' as region, lat, lon from (select distinct lat, lon from grid) where sqrt(pow({EAST} * radians(greatest({x1} - lon, 0, lon - {x2})), 2) + pow(greatest({_up(f'{y1}::double')} - {_up('lat')}, 0, {_up('lat')} - {_up(f'{y2}::double')}), 2)) <= {BUFFER}"
+    for k, (x1, y1, x2, y2) in BOXES.items()
+)
+
+
+@query(f"with {GRID} {PROJECTED_BOX}")
+def region_buffer_projected(spark: SparkSession, d: str) -> DataFrame:
+    """Cells in a region or within so many degrees of it on the projection."""
+    return spatial.projected_buffer(grid(spark, d), _shapes(spark), BUFFER)
+
+
 @query("select cast(make_date(year(o_orderdate), 12, 31) as date) as time, max(o_totalprice) as price from orders where month(o_orderdate) in (6, 7, 8) group by 1")
 def open_dataset_chain(spark: SparkSession, d: str) -> DataFrame:
     """Rename, months and annual maxima, as the programs run them."""

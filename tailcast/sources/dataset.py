@@ -141,7 +141,7 @@ def prepare(df: DataFrame, spec: OpenSpec) -> DataFrame:
         by = others(d.lat, d.lon)
         cells = df.select(F.col(d.lat).alias("lat"), F.col(d.lon).alias("lon")).distinct()
         if spec.shape_buffer:
-            mask = spatial.buffered(cells, spec.shapes, spec.shape_buffer)
+            mask = spatial.projected_buffer(cells, spec.shapes, spec.shape_buffer)
         elif spec.shape_overlap:
             mask = spatial.overlap_mask(cells, spec.shapes, spec.shape_overlap)
         else:

@@ -390,3 +390,65 @@ def test_cross_correlation_pairs(spark):
     pairs = [(a, b) for a in (1, 2, 5) for b in (1, 2, 5) if a <= b]
     r = [np.corrcoef(*(rank([t[m, i] for i in range(9) if (b, i) in rest]) for t, m in ((own, a), (rest, b))))[0, 1] for a, b in pairs]
     assert got == pytest.approx(np.mean(r))
+
+
+def test_ranges_hold_outliers_and_ties(spark):
+    """One far outlier, half zeros and a heavy tail: values are dealt evenly, whatever their spread, and ties are one row."""
+    from tailcast.functions.gev import distinct_ranks, fit_lmoments
+
+    rng = np.random.default_rng(0)
+    tail = 1 / rng.random(4000) ** 3
+    values = np.concatenate([np.zeros(4000), tail, [1e30]])
+    df = spark.createDataFrame([("a", float(v)) for v in values], "g string, v double")
+    rows = distinct_ranks(df, "v", ["g"]).orderBy("_x").collect()
+    assert len(rows) == 4002 and rows[0]["_m"] == 4000 and rows[-1]["_before"] == 8000 and rows[0]["_n"] == 8001
+    assert [r["_before"] for r in rows[1:]] == list(range(4000, 8001))
+    dealt = spark.read.parquet(*{f.rpartition("/")[0] for f in distinct_ranks(df, "v", ["g"]).inputFiles()})
+    sizes = [r["count"] for r in dealt.groupBy("_slot").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 * 4002 / len(sizes)
+    tied = np.concatenate([rng.gumbel(size=500), np.full(300, 0.25)])
+    want = gevfit.start_of(tied[None], "LMM")[0]
+    r = fit_lmoments(spark.createDataFrame([("t", float(v)) for v in tied], "g string, v double"), "v", ["g"]).first()
+    np.testing.assert_allclose([r["c"], r["location"], r["scale"]], want, rtol=1e-9)
+
+
+def test_draws_without_replacement_are_the_first_of_an_order(spark):
+    """The same rows as of whole orders, and few more than are wanted pass."""
+    rows = [(g, i, float(i)) for g, n in (("a", 3000), ("b", 40), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, value double").withColumn("size", F.when(F.col("g") == "a", 60).otherwise(25))
+    whole = resampling.permutation(df, ["g"], ["i"], 20, seed=2).where("pos < size").select("g", "k", "pos", "i")
+    part = resampling.drawn_first(df, ["g"], ["i"], "size", 20, seed=2).select("g", "k", "pos", "i")
+    assert part.count() == whole.count() == 20 * (60 + 25 + 1) and part.exceptAll(whole).count() == 0
+
+
+def test_buffers_on_the_projection(spark):
+    """At 40 degrees south against a brute force in metres; coarser outlines; holes and poles of the simplifying."""
+    import math
+
+    e = spatial.ECCENTRICITY
+    up = lambda lat: spatial.AXIS * (math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) + e / 2 * math.log((1 - e * math.sin(math.radians(lat))) / (1 + e * math.sin(math.radians(lat)))))
+    across = lambda lon: spatial.AXIS * math.radians(lon)
+    ring = [(140.0, -42.0), (144.0, -41.0), (146.0, -38.0), (141.0, -38.5)]
+    shapes = spatial.shapes_table(spark, {"s": ring})
+    points = [(-45 + 0.25 * a, 136 + 0.25 * o) for a in range(40) for o in range(60)]
+    cells = spark.createDataFrame(points, "lat double, lon double")
+    corners = [(across(lon), up(lat)) for lon, lat in ring]
+
+    def away(x, y):
+        best = []
+        for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
+            dx, dy = x2 - x1, y2 - y1
+            t = min(1, max(0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+            best.append(math.hypot(x - x1 - t * dx, y - y1 - t * dy))
+        inside = sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1) for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True)) % 2
+        return 0.0 if inside else min(best)
+
+    got = {(r["lat"], r["lon"]) for r in spatial.projected_buffer(cells, shapes, 1.0).collect()}
+    want = {(lat, lon) for lat, lon in points if away(across(lon), up(lat)) <= spatial.DEGREE}
+    assert got == want and got != {(r["lat"], r["lon"]) for r in spatial.buffered(cells, shapes, 1.0).collect()}
+    south, west = spatial.ring_of_box(140.0, -40.0, 142.0, -38.0), spark.createDataFrame([(-40.75, 141.0), (-40.85, 141.0), (-39.0, 139.05), (-39.0, 138.95)], "lat double, lon double")
+    near = spatial.projected_buffer(west, spatial.shapes_table(spark, {"b": south}), 1.0)
+    assert {(r["lat"], r["lon"]) for r in near.collect()} == {(-40.75, 141.0), (-39.0, 139.05)}
+    notched = [(0, 0), (5, 0.001), (10, 0), (10, 10), (5, 9.999), (0, 10), (0, 0)]
+    assert spatial.simplified(notched, 0.01) == [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    assert spatial.simplified([(0, 0), (1e-3, 0), (1e-3, 1e-3), (0, 0)], 0.01) == [(0, 0), (1e-3, 0), (1e-3, 1e-3), (0, 0)]
