@@ -166,17 +166,21 @@ def minimise(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarra
     return simplex[rows, best], value[rows, best]
 
 
-def bca_interval(x: np.ndarray, statistic: Callable[[np.ndarray], float], replicates: np.ndarray, level: float) -> tuple[float, float]:
-    """Bias-corrected, accelerated bootstrap interval."""
-    normal, whole = NormalDist(), statistic(x)
-    below = np.clip((replicates < whole).mean(), 1e-9, 1 - 1e-9)
-    z0 = normal.inv_cdf(float(below))
-    left_out = np.array([statistic(np.delete(x, i)) for i in range(len(x))])
-    d = left_out.mean() - left_out
-    a = (d**3).sum() / (6 * (d**2).sum() ** 1.5) if (d**2).sum() else 0.0
+def bca_ends(replicates: np.ndarray, below: float, acceleration: float, level: float) -> tuple[float, float]:
+    """Ends of the bias-corrected and accelerated interval, given the share of replicates less than the statistic."""
+    normal = NormalDist()
+    z0 = normal.inv_cdf(float(np.clip(below, 1e-9, 1 - 1e-9)))
     ends = []
     for q in ((1 - level) / 2, (1 + level) / 2):
         z = z0 + normal.inv_cdf(q)
-        ends.append(normal.cdf(z0 + z / (1 - a * z)))
+        ends.append(normal.cdf(z0 + z / (1 - acceleration * z)))
     lo, hi = np.quantile(replicates, ends)
     return float(lo), float(hi)
+
+
+def bca_interval(x: np.ndarray, statistic: Callable[[np.ndarray], float], replicates: np.ndarray, level: float) -> tuple[float, float]:
+    """Bias-corrected, accelerated bootstrap interval."""
+    left_out = np.array([statistic(np.delete(x, i)) for i in range(len(x))])
+    d = left_out.mean() - left_out
+    a = (d**3).sum() / (6 * (d**2).sum() ** 1.5) if (d**2).sum() else 0.0
+    return bca_ends(replicates, (replicates < statistic(x)).mean(), a, level)

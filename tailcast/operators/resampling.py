@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailcast.functions.statistics import bca_interval
+from tailcast.functions.statistics import bca_ends, bca_interval
 
 
 def draw(seed: int, replicate: Column, position: Column) -> Column:
@@ -127,3 +127,58 @@ def statistic_interval(
 
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["statistic double", "ci_lower double", "ci_upper double"])
     return df.select(*keys, F.col(value).cast("double").alias("_x")).groupBy(*keys).applyInPandas(run, schema)
+
+
+def _quantile_without(df: DataFrame, by: Sequence[str], q: float) -> DataFrame:
+    """(by..., _theta, _w): the quantile of each group without one of its values, and without how many of them it is that:
+    it lies between two of three neighbours in the order, whichever value is left out."""
+    ranked = numbered(df, by, ["_x"])
+    at = F.floor(F.lit(q) * (F.col("n") - 2))
+    part = F.lit(q) * (F.col("n") - 2) - at
+    near = ranked.where((F.col("n") > 1) & F.col("idx").between(at, at + 2)).groupBy(*by, "n").agg(*[F.max(F.when(F.col("idx") == at + k, F.col("_x"))).alias(f"_{k}") for k in range(3)])
+    # of two values the one that is left is the quantile
+    x0, x1, x2 = F.col("_0"), F.coalesce("_1", "_0"), F.coalesce("_2", "_1", "_0")
+    cases = [(x1 + part * (x2 - x1), at + 1), (x0 + part * (x2 - x0), F.lit(1)), (x0 + part * (x1 - x0), F.col("n") - at - 2)]
+    return near.select(*by, F.explode(F.array(*[F.struct(t.alias("_theta"), w.cast("double").alias("_w")) for t, w in cases])).alias("_e")).select(*by, "_e.*")
+
+
+def bca_interval_by_columns(df: DataFrame, by: Sequence[str], statistic: str | float, order: Sequence[str], value: str = "value", sample_size: int | None = None, n_resamples: int = 9999, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(by..., statistic, below, acceleration, ci_lower, ci_upper): the bias-corrected and accelerated interval of the ``mean``,
+    the ``std`` or a quantile (a number in [0, 1]) of groups of any size.
+
+    Replicates are aggregates over joined draws; what a statistic is without one value follows from a
+    group's sums, or its neighbours in the order, so nothing is left out in turn. A group's ``n_resamples``
+    replicates are all that comes together in one row. ``below`` is the share of replicates less than the statistic. Missing
+    values are left out; groups of under two values have no interval, those without spread one of no width.
+    """
+    if not 0 < level < 1 or not (statistic in ("mean", "std") if isinstance(statistic, str) else 0 <= statistic <= 1):
+        raise ValueError("the level lies within (0, 1); the statistic is mean, std or a quantile")
+    keys = list(by)
+    made = {"mean": F.avg, "std": F.stddev_pop}.get(statistic, lambda x: F.percentile(x, float(statistic)))
+    seen = df.where(F.col(value).isNotNull()).select(*{*keys, *order}, F.col(value).cast("double").alias("_x"))
+    whole = seen.groupBy(*keys).agg(made("_x").alias("statistic"), F.avg("_x").alias("_mean"), F.var_pop("_x").alias("_var"), F.count("*").cast("double").alias("_n"))
+    if isinstance(statistic, str):
+        n, x, m = F.col("_n"), F.col("_x"), F.col("_mean")
+        shifted = (m - x) / (n - 1)  # of the mean, by leaving x out
+        spread = F.sqrt(F.greatest(n / (n - 1) * F.col("_var") - n / ((n - 1) * (n - 1)) * (x - m) * (x - m), F.lit(0.0)))
+        without = seen.join(whole, keys).where("_n > 1").select(*keys, (m + shifted if statistic == "mean" else spread).alias("_theta"), F.lit(1.0).alias("_w"))
+    else:
+        without = _quantile_without(seen, keys, float(statistic))
+    d, w = F.col("_theta") - F.col("statistic"), F.col("_w")
+    sums = without.join(whole.select(*keys, "statistic"), keys).groupBy(*keys).agg(F.sum(w).alias("_c"), *[F.sum(w * F.pow(d, k)).alias(f"_s{k}") for k in (1, 2, 3)])
+    c, mean = F.col("_c"), F.col("_s1") / F.col("_c")
+    squares = F.col("_s2") - c * mean * mean
+    cubes = -(F.col("_s3") - 3 * mean * F.col("_s2") + 2 * c * F.pow(mean, 3))
+    # sums of squares that are rounding alone are none
+    pushed = F.when(squares > 1e-14 * F.col("_s2"), F.try_divide(cubes, 6 * F.pow(F.greatest(squares, F.lit(0.0)), 1.5)))
+    pulled = sums.select(*keys, F.coalesce(pushed, F.lit(0.0)).alias("acceleration"))
+    drawn = resample(seen, keys, [*order, "_x"], n_resamples, seed, size=sample_size).groupBy(*keys, "k").agg(made("_x").alias("_s"))
+    below = drawn.join(whole.select(*keys, "statistic"), keys).groupBy(*keys).agg(F.avg((F.col("_s") < F.col("statistic")).cast("double")).alias("below"), F.collect_list("_s").alias("_all"))
+    joined = whole.select(*keys, "statistic").join(below, keys, "left").join(pulled, keys, "left")
+
+    @F.pandas_udf("ci_lower double, ci_upper double")
+    def ends(drawn: pd.Series, below: pd.Series, pull: pd.Series) -> pd.DataFrame:
+        rows = [bca_ends(np.asarray(x, dtype=float), b, a, level) if x is not None and a == a and a is not None else (None, None) for x, b, a in zip(drawn, below, pull, strict=True)]
+        return pd.DataFrame(rows, columns=["ci_lower", "ci_upper"], dtype=float)
+
+    return joined.withColumn("_ends", ends("_all", "below", "acceleration")).select(*keys, "statistic", "below", "acceleration", *[F.nanvl(f"_ends.{c}", F.lit(None)).alias(c) for c in ("ci_lower", "ci_upper")])

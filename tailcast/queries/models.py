@@ -143,3 +143,24 @@ def statistic_ci_percentile(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def statistic_ci_bca(spark: SparkSession, d: str) -> DataFrame:
     return r.statistic_interval(sample(spark, d), KINDS, lambda v: float(np.median(v)), method="bca")
+
+
+LEFT_OUT = """others as (select event_type, count(*) as n, avg(value) as m, stddev_pop(value) as s, median(value) as q, sum(value) as a, sum(value * value) as b from sample group by 1),
+    ordered as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as r from sample),
+    mid as (select event_type, n, floor((n - 2) * 0.5) as f, (n - 2) * 0.5 - floor((n - 2) * 0.5) as g from others),
+    near as (select event_type, n, f, g, max(value) filter (r = f) as x0, max(value) filter (r = f + 1) as x1, max(value) filter (r = f + 2) as x2 from ordered join mid using (event_type) group by all),
+    without as (
+        select event_type, 'mean' as name, m as whole, (a - value) / (n - 1) as t from sample join others using (event_type)
+        union all select event_type, 'std', s, sqrt((b - value * value) / (n - 1) - pow((a - value) / (n - 1), 2)) from sample join others using (event_type)
+        union all select event_type, 'median', q, case when r <= f then x1 + g * (x2 - x1) when r = f + 1 then x0 + g * (x2 - x0) else x0 + g * (x1 - x0) end from ordered join near using (event_type) join others using (event_type)),
+    pull as (select event_type, name, any_value(whole) as whole, sum(pow(c - t, 3)) / (6 * pow(sum(pow(c - t, 2)), 1.5)) as acceleration from (select *, avg(t) over (partition by event_type, name) as c from without) group by 1, 2),
+    each as (unpivot (select event_type, k, avg(value) as mean, stddev_pop(value) as std, median(value) as median from drawn group by 1, 2) on mean, std, median into name name value v)"""
+
+
+@query(f"""with {SAMPLE}, {BOOT}, {LEFT_OUT}
+    select event_type, name, round(any_value(whole), 6) as statistic, avg((v < whole)::int::double) as below, round(any_value(acceleration), 5) + 0 as acceleration from each join pull using (event_type, name) group by 1, 2""")
+def bca_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What bias-corrected intervals of means, deviations and medians are made of."""
+    parts = [r.bca_interval_by_columns(sample(spark, d), KINDS, s, ["event_id"], sample_size=200, n_resamples=1000).withColumn("name", F.lit(name)) for name, s in (("mean", "mean"), ("std", "std"), ("median", 0.5))]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return whole.select("event_type", "name", F.round("statistic", 6).alias("statistic"), "below", (F.round("acceleration", 5) + 0.0).alias("acceleration"))

@@ -452,3 +452,36 @@ def test_buffers_on_the_projection(spark):
     notched = [(0, 0), (5, 0.001), (10, 0), (10, 10), (5, 9.999), (0, 10), (0, 0)]
     assert spatial.simplified(notched, 0.01) == [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
     assert spatial.simplified([(0, 0), (1e-3, 0), (1e-3, 1e-3), (0, 0)], 0.01) == [(0, 0), (1e-3, 0), (1e-3, 1e-3), (0, 0)]
+
+
+def test_corrected_intervals_by_columns(spark):
+    """As by leaving each value out in turn, for odd and even numbers, ties and tiny groups."""
+    from tailcast.functions.statistics import bca_interval
+
+    rng = np.random.default_rng(1)
+    groups = {"odd": rng.gumbel(size=41), "even": rng.exponential(size=60), "ties": rng.integers(0, 4, 30).astype(float), "two": np.array([1.0, 3.0]), "one": np.array([2.0]), "flat": np.full(12, 7.0)}
+    df = spark.createDataFrame([(g, i, float(v)) for g, x in groups.items() for i, v in enumerate(x)] + [("one", 9, None)], "g string, i int, value double")
+    kinds = {"mean": np.mean, "std": np.std, 0.5: np.median, 0.9: lambda x: np.quantile(x, 0.9), 0.0: np.min}
+    for kind, f in kinds.items():
+        drawn = {}
+        for r in resampling.resample(df.where("value is not null"), ["g"], ["i", "value"], 200, seed=0).groupBy("g", "k").agg(F.collect_list("value").alias("v")).collect():
+            drawn.setdefault(r["g"], []).append(f(np.array(r["v"])))
+        got = {r["g"]: r for r in resampling.bca_interval_by_columns(df, ["g"], kind, ["i"], n_resamples=200).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            r = got[g]
+            assert r["statistic"] == pytest.approx(f(x))
+            if len(x) == 1:
+                assert r["ci_lower"] is None
+            elif np.ptp(x) == 0:
+                assert r["ci_lower"] == r["ci_upper"] == pytest.approx(f(x))
+            else:
+                left = np.array([f(np.delete(x, i)) for i in range(len(x))])
+                d = left.mean() - left
+                a = (d**3).sum() / (6 * (d**2).sum() ** 1.5) if (d**2).sum() > 1e-20 else 0.0
+                assert r["acceleration"] == pytest.approx(a, abs=1e-6), (kind, g)
+                if g in ("odd", "even"):
+                    lo, hi = bca_interval(x, f, np.array(drawn[g]), 0.95)
+                    assert (r["ci_lower"], r["ci_upper"]) == (pytest.approx(lo, abs=1e-6), pytest.approx(hi, abs=1e-6)), (kind, g)
+    with pytest.raises(ValueError):
+        resampling.bca_interval_by_columns(df, ["g"], "mode", ["i"])
