@@ -75,6 +75,41 @@ def resample_dims(df: DataFrame, dims: dict[str, tuple[int, int]], n_repeats: in
     return index.join(df, list(dims))
 
 
+def resample_tables(
+    tables: dict[str, DataFrame], dims: dict[str, tuple[int, int]], n_repeats: int, function: Callable[..., pd.DataFrame], schema: str, seed: int = 0, bundled: bool = False,
+) -> DataFrame:
+    """(k, columns of ``schema``): any function of samples of several tables that are drawn together.
+
+    Labels of each dim (size, block) are drawn once a replicate, from the first table that has the dim, and all tables that have it are
+    read at them; positions are ``<dim>_pos``. ``bundled`` functions get a replicate's tables, by name, as pandas frames (one without
+    rows has none); others get one at a time, and ``table`` says which. A replicate is one task's work: a sample of the sizes asked for.
+    """
+    first = next(iter(tables.values()))
+    drawn = {}
+    for j, (dim, (size, block)) in enumerate(dims.items()):
+        labels = numbered(next(t for t in tables.values() if dim in t.columns).select(dim).distinct(), [], [dim])
+        index = index_table(labels.groupBy().agg(F.count("*").alias("n")), [], n_repeats, seed + j, block, size)
+        drawn[dim] = index.join(labels.select("idx", dim), "idx").select("k", F.col("pos").alias(f"{dim}_pos"), dim)
+    parts = []
+    for name, df in tables.items():
+        index = first.sparkSession.range(n_repeats).select(F.col("id").cast("int").alias("k"))
+        own = [d for d in dims if d in df.columns]
+        for dim in own:
+            index = index.join(drawn[dim], "k")
+        parts.append((index.join(df, own) if own else index.crossJoin(df)).withColumn("table", F.lit(name)))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    own_columns = {name: [c for c in part.columns if c not in ("k", "table")] for name, part in zip(tables, parts, strict=True)}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = {name: pdf.loc[pdf["table"] == name, columns] for name, columns in own_columns.items()}
+        made = function(**frames) if bundled else function(frames[key[1]])
+        return made.assign(k=key[0]) if bundled else made.assign(k=key[0], table=key[1])
+
+    if bundled:
+        return whole.groupBy("k").applyInPandas(run, f"k int, {schema}")
+    return whole.groupBy("k", "table").applyInPandas(run, f"k int, table string, {schema}")
+
+
 def permutation(df: DataFrame, by: Sequence[str], order: Sequence[str], n_repeats: int, seed: int = 0) -> DataFrame:
     """``df`` with ``k`` and ``pos``: each replicate puts every group's rows in a random order
     (draws without replacement are the first ones)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,3 +165,21 @@ def bca_parts(spark: SparkSession, d: str) -> DataFrame:
     parts = [r.bca_interval_by_columns(sample(spark, d), KINDS, s, ["event_id"], sample_size=200, n_resamples=1000).withColumn("name", F.lit(name)) for name, s in (("mean", "mean"), ("std", "std"), ("median", 0.5))]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return whole.select("event_type", "name", F.round("statistic", 6).alias("statistic"), "below", (F.round("acceleration", 5) + 0.0).alias("acceleration"))
+
+
+@query(f"""with {FCST}, {OBS}, quarters as (select cast(date_trunc('quarter', time) as date) as init_date, sum(value) as seen from obs group by 1),
+    labels as (select init_date, row_number() over (order by init_date) - 1 as idx, count(*) over () as n from (select distinct init_date from fcst)),
+    starts as (select k, b, {_hash(0, "k", "b")} % (n - 3 + 1) as s from (select distinct n from labels), (select unnest(range(0, 100)) as k), (select unnest(range(0, 8)) as b)),
+    drawn as (select k, b * 3 + j as pos, s + j as idx from starts, (select unnest(range(0, 3)) as j)),
+    both_of as (select k, pos, avg(value) as forecast, any_value(seen) as seen from drawn join labels using (idx) join fcst using (init_date) join quarters using (init_date) group by 1, 2)
+    select cast(k as integer) as k, count(*) as n, round(corr(forecast, seen), 6) + 0 as r from both_of group by 1""")
+def bundled_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of forecasts' means with what was seen, over blocks of three starts that are drawn for both tables together."""
+    seen = obs(spark, d).groupBy(F.trunc("time", "quarter").alias("init_date")).agg(F.sum("value").alias("seen"))
+
+    def correlation(forecast: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        both = pd.concat([forecast.groupby("init_date_pos")["value"].mean(), seen.groupby("init_date_pos")["seen"].first()], axis=1).dropna()
+        return pd.DataFrame({"n": [len(both)], "r": [round(both["value"].corr(both["seen"]), 6) + 0.0]})
+
+    tables = {"forecast": fcst(spark, d).select("init_date", "ensemble", "lead_time", "value"), "seen": seen}
+    return r.resample_tables(tables, {"init_date": (24, 3)}, 100, correlation, "n long, r double", bundled=True)

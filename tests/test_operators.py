@@ -485,3 +485,25 @@ def test_corrected_intervals_by_columns(spark):
                     assert (r["ci_lower"], r["ci_upper"]) == (pytest.approx(lo, abs=1e-6), pytest.approx(hi, abs=1e-6)), (kind, g)
     with pytest.raises(ValueError):
         resampling.bca_interval_by_columns(df, ["g"], "mode", ["i"])
+
+
+def test_functions_of_tables_drawn_together(spark):
+    """Tables that share a dim are read at the same labels; one at a time or bundled; a table without the dims whole."""
+    import pandas as pd
+
+    a = spark.createDataFrame([(i, e, float(10 * i + e)) for i in range(6) for e in range(3)], "start int, member int, value double")
+    b = spark.createDataFrame([(i, float(10 * i)) for i in range(6)], "start int, seen double")
+    c = spark.createDataFrame([(7.0,)], "scale double")
+    dims = {"start": (4, 2), "member": (3, 1)}
+
+    def gap(a, b, c):
+        both = a.merge(b, on=["start_pos", "start"])
+        return pd.DataFrame({"n": [len(both)], "least": [(both["value"] - both["seen"]).min()], "scale": [c["scale"].sum()]})
+
+    rows = resampling.resample_tables({"a": a, "b": b, "c": c}, dims, 5, gap, "n long, least double, scale double", bundled=True).collect()
+    assert len(rows) == 5 and all(r["n"] == 12 and 0 <= r["least"] < 3 and r["scale"] == 7 for r in rows)
+    one = resampling.resample_tables({"a": a, "b": b}, dims, 5, lambda t: pd.DataFrame({"n": [len(t)]}), "n long").collect()
+    assert sorted((r["table"], r["n"]) for r in one) == [("a", 12)] * 5 + [("b", 4)] * 5
+    joint = {r["k"]: r for r in resampling.resample_dims(a, dims, 5).groupBy("k").agg(F.sum("value").alias("v")).collect()}
+    summed = resampling.resample_tables({"a": a}, dims, 5, lambda t: pd.DataFrame({"v": [t["value"].sum()]}), "v double").collect()
+    assert {r["k"]: r["v"] for r in summed} == {k: r["v"] for k, r in joint.items()}

@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +149,43 @@ def test_forecasts_with_metadata(spark, tree):
     meta = {"rename": {"pr": "rain"}, "units": {"rain": "mm"}}
     df = open_forecasts(spark, f"{tree}/list.txt", OpenSpec(variables=("rain",), metadata=meta, squeeze=False), 1, 2)
     assert "rain" in df.columns and df.count() == 24
+
+
+def test_files_of_events(spark, tmp_path):
+    """Only the files that an event needs are in the plan; others may be no files at all."""
+    from tailcast.sources import circulation
+
+    days = [date(2000, 1, 1) + timedelta(days=k) for k in range(120)]
+    for run in ("r1i1p1f1", "r2i1p1f1"):
+        for m, (lo, hi) in enumerate(((0, 31), (31, 60), (60, 91), (91, 120))):
+            name = f"{tmp_path}/s1999-{run}/pr_day_{days[lo]:%Y%m%d}-{days[hi - 1]:%Y%m%d}.parquet"
+            spark.createDataFrame([(d, 0.0, 1.0, float(k + 1000 * (run[1] == "2"))) for k, d in list(enumerate(days))[lo:hi]], "time date, lat double, lon double, value double").coalesce(1).write.parquet(name)
+    paths = [f"file://{p}" for p in sorted(str(p) for p in tmp_path.glob("*/*.parquet"))]
+    files = circulation.described(spark.createDataFrame([(p,) for p in paths] + [("/no/such/pr_20000125-20000210.txt",), ("/x/plain.parquet",)], "path string"))
+    known = {r["path"].rpartition("/")[2]: r for r in files.collect()}
+    assert known["pr_day_20000101-20000131.parquet"]["last"] == date(2000, 1, 31) and known["pr_day_20000101-20000131.parquet"]["start_year"] == 1999
+    assert known["plain.parquet"]["first"] is None and known["plain.parquet"]["run"] is None
+    events = spark.createDataFrame([(1, date(2000, 2, 2), "r1i1p1f1", date(1999, 11, 1)), (2, date(2000, 4, 20), "r2i1p1f1", date(1999, 11, 1))], "event int, time date, run string, init_date date")
+    found = {(r["event"], r["path"].split("/")[-2][6:8], r["path"][-16:-8]) for r in circulation.files_of_events(events, files, 3, run="run", init_date="init_date").collect()}
+    assert found == {(1, "r1", "20000131"), (1, "r1", "20000229"), (2, "r2", "20000429")}
+    one = circulation.described(spark.createDataFrame([("/a/x_199001-199112.nc",), ("/a/x_1990-1991.nc",)], "path string")).collect()
+    assert [(r["first"], r["last"]) for r in one] == [(date(1990, 1, 1), date(1991, 12, 31))] * 2
+    listed = circulation.catalogue(spark, f"file://{tmp_path}", "part-*.parquet")
+    assert listed.count() == 8
+
+
+def test_fields_of_events_read_their_files_only(spark, tmp_path):
+    from tailcast.sources import circulation
+
+    days = [date(2000, 1, 1) + timedelta(days=k) for k in range(60)]
+    for name, part in (("f_20000101-20000131", days[:31]), ("f_20000201-20000229", days[31:])):
+        rows = spark.createDataFrame([(d, float(lat), 5.0, float(d.day)) for d in part for lat in (0, 1)], "time date, lat double, lon double, value double").toPandas()
+        rows.to_parquet(f"{tmp_path}/{name}.parquet")
+    files = circulation.catalogue(spark, f"file://{tmp_path}", "f_*.parquet")
+    events = spark.createDataFrame([(7, date(2000, 2, 2))], "event int, time date")
+    got = circulation.event_fields(spark, events, files, 3, agg="sum").collect()
+    assert sorted(tuple(r) for r in got) == [(7, 0.0, 5.0, 30.0 + 31 + 1 + 2), (7, 1.0, 5.0, 64.0)]
+    late = circulation.event_fields(spark, spark.createDataFrame([(7, date(2000, 2, 20))], "event int, time date"), files, 3)
+    assert [f.rpartition("/")[2] for f in late.inputFiles() if "f_2000" in f] == ["f_20000201-20000229.parquet"] and late.first()["value"] == 18.5
+    with pytest.raises(ValueError):
+        circulation.event_fields(spark, spark.createDataFrame([(7, date(2001, 2, 20))], "event int, time date"), files, 3)
