@@ -120,26 +120,36 @@ def event_dates(df: DataFrame, freq: str, method: str = "max", **how: object) ->
     return temporal_aggregation(df, freq, method, dates=True, **how)
 
 
-def climatology(df: DataFrame, value: str = "value", by: Sequence[str] = (), period: Sequence[str] | None = None, time: str = "time", init: str | None = None) -> DataFrame:
+def _several(value: str | Sequence[str]) -> list[str]:
+    return [value] if isinstance(value, str) else list(value)
+
+
+def climatology(df: DataFrame, value: str | Sequence[str] = "value", by: Sequence[str] = (), period: Sequence[str] | None = None, time: str = "time", init: str | None = None) -> DataFrame:
     """(by..., [init_month], value): the mean of each group, of each initial month if ``init``
-    is the column of initial dates. Rows outside ``period`` take no part."""
+    is the column of initial dates; of several values in one aggregation. Rows outside ``period`` take no part."""
     if period:
         df = select_time_period(df, period, time, auxiliary=init is not None)
     keys = [F.col(c) for c in by] + ([F.month(init).alias("init_month")] if init else [])
-    return df.groupBy(*keys).agg(F.avg(value).alias(value))
+    return df.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in _several(value)])
+
+
+def _less(df: DataFrame, mean: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """Values less those of ``mean`` that have the same keys."""
+    names = {v: f"_clim_{i}" for i, v in enumerate(values)}
+    joined = df.join(mean.withColumnsRenamed(names), keys, "left")
+    return joined.withColumns({v: F.col(v) - F.col(c) for v, c in names.items()}).drop(*names.values())
 
 
-def anomalies(df: DataFrame, period: Sequence[str] | None = None, frequency: str | None = None, value: str = "value", time: str = "time", by: Sequence[str] = ()) -> DataFrame:
-    """Observations less their mean over ``period``, of each month (or day of the year) if
+def anomalies(df: DataFrame, period: Sequence[str] | None = None, frequency: str | None = None, value: str | Sequence[str] = "value", time: str = "time", by: Sequence[str] = ()) -> DataFrame:
+    """Observations, of one or several values, less their mean over ``period``, of each month (or day of the year) if
     ``frequency`` is ``month`` (``day``)."""
     unit = {"month": F.month, "day": F.dayofyear}.get(frequency or "")
     keys = [*by, "_unit"]
     d = df.withColumn("_unit", unit(time) if unit else F.lit(0))
-    mean = climatology(d, value, keys, period, time).withColumnRenamed(value, "_clim")
-    return d.join(mean, keys, "left").withColumn(value, F.col(value) - F.col("_clim")).drop("_unit", "_clim")
+    return _less(d, climatology(d, value, keys, period, time), _several(value), keys).drop("_unit")
 
 
-def forecast_anomalies(df: DataFrame, period: Sequence[str] | None = None, value: str = "value", time: str = "time", init: str = "init_date", lead: str = "lead_time", by: Sequence[str] = ()) -> DataFrame:
-    """Forecasts less the mean over members and starts of their initial month, lead and place."""
-    mean = climatology(df, value, [lead, *by], period, time, init).withColumnRenamed(value, "_clim")
-    return df.withColumn("init_month", F.month(init)).join(mean, [lead, *by, "init_month"], "left").withColumn(value, F.col(value) - F.col("_clim")).drop("init_month", "_clim")
+def forecast_anomalies(df: DataFrame, period: Sequence[str] | None = None, value: str | Sequence[str] = "value", time: str = "time", init: str = "init_date", lead: str = "lead_time", by: Sequence[str] = ()) -> DataFrame:
+    """Forecasts, of one or several values, less the mean over members and starts of their initial month, lead and place."""
+    mean = climatology(df, value, [lead, *by], period, time, init)
+    return _less(df.withColumn("init_month", F.month(init)), mean, _several(value), [lead, *by, "init_month"]).drop("init_month")

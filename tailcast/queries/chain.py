@@ -80,6 +80,19 @@ def create_grid(spark: SparkSession, d: str) -> DataFrame:
     return spatial.create_grid(spark, "AUS300i", lon_offset=1.0)
 
 
+NAMED = """tlat as (select cast(-44.5 + 1.5 + 3 * i as double) as dlat from (select unnest(range(0, 20)) as i) where -44.5 + 1.5 + 3 * i < -10 - 1.5),
+    tlon as (select cast(112 + 1.5 + 3 * j + 1 as double) as dlon from (select unnest(range(0, 20)) as j) where 112 + 1.5 + 3 * j < 156.25 - 1.5),
+    nlat as (select dlat, first(lat order by abs(lat - dlat), -lat) as lat from tlat, (select distinct lat from grid) group by 1),
+    nlon as (select dlon, first(lon order by abs(lon - dlon), -lon) as lon from tlon, (select distinct lon from grid) group by 1)"""
+
+
+@query(f"with {GRID}, {NAMED} select dlat as lat, dlon as lon, count(*) as n, round(avg(value), 6) as value from grid join nlat using (lat) join nlon using (lon) group by 1, 2")
+def named_grid_means(spark: SparkSession, d: str) -> DataFrame:
+    """Fields on a named grid, from the nearest cells, and their means."""
+    on_grid = spatial.regrid(grid(spark, d), spatial.create_grid(spark, "AUS300i", lon_offset=1.0), "nearest_s2d", ["time"])
+    return r6(on_grid.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.avg("value").alias("value")))
+
+
 @query(f"with {SAMPLE}, {OBS} select event_id, sample.value, obs.value as covariate from sample left join obs on cast(sample.time as date) = obs.time")
 def covariate_join(spark: SparkSession, d: str) -> DataFrame:
     events = sample(spark, d).withColumn("time", F.col("time").cast("date"))

@@ -213,9 +213,8 @@ def fileio(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     )
     out = open_forecasts(spark, a.infiles, spec, a.n_time_files, a.n_ensemble_files) if a.forecast else open_dataset(spark, a.infiles, spec)
     if a.anomaly:
-        value = (a.variables or [c for c, t in out.dtypes if t == "double" and c not in ("lat", "lon")])[0]
-        made = forecast_anomalies(out, a.anomaly, value, by=_cells(out)) if a.forecast else anomalies(out, a.anomaly, a.anomaly_freq, value, by=_cells(out))
-        out = made
+        values = list(a.variables) or [c for c, t in out.dtypes if t == "double" and c not in ("lat", "lon")]
+        out = forecast_anomalies(out, a.anomaly, values, by=_cells(out)) if a.forecast else anomalies(out, a.anomaly, a.anomaly_freq, values, by=_cells(out))
     if a.lead_dim_max_size:
         out = selection.first_leads(out, a.lead_dim_max_size)
     return out

@@ -189,3 +189,11 @@ def test_fields_of_events_read_their_files_only(spark, tmp_path):
     assert [f.rpartition("/")[2] for f in late.inputFiles() if "f_2000" in f] == ["f_20000201-20000229.parquet"] and late.first()["value"] == 18.5
     with pytest.raises(ValueError):
         circulation.event_fields(spark, spark.createDataFrame([(7, date(2001, 2, 20))], "event int, time date"), files, 3)
+
+
+def test_anomalies_of_all_variables(spark, tmp_path):
+    rows = [(date(2000 + y, m, 1), float(m + y), float(10 * m - y)) for y in range(3) for m in (1, 2)]
+    spark.createDataFrame(rows, "time date, pr double, tas double").write.parquet(f"{tmp_path}/in.parquet")
+    cli.run(["fileio", f"{tmp_path}/in.parquet", f"{tmp_path}/out.parquet", "--anomaly", "2000-01-01", "2002-12-31", "--anomaly_freq", "month"], spark)
+    got = {r["time"]: (r["pr"], r["tas"]) for r in spark.read.parquet(f"{tmp_path}/out.parquet").collect()}
+    assert got == {date(2000 + y, m, 1): (float(y - 1), float(1 - y)) for y in range(3) for m in (1, 2)}
