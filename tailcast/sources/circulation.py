@@ -57,7 +57,7 @@ def event_fields(spark: SparkSession, events: DataFrame, files: DataFrame, days:
     names = sorted(r["path"] for r in found.select("path").distinct().limit(MOST_FILES + 1).collect())
     if not names or len(names) > MOST_FILES:
         raise ValueError(f"{'no' if not names else 'more than ' + str(MOST_FILES)} files of these events")
-    field = read(spark, names, file_format).withColumn("_path", F.col("_metadata.file_path")).withColumnRenamed(value, "value")
+    field = read(spark, names, file_format, "_path").withColumnRenamed(value, "value")
     spread = events.select(event, F.explode(F.sequence(F.date_sub(time, days), F.col(time).cast("date"))).alias("_day"))
     mine = field.withColumn("_day", F.col("time").cast("date")).join(spread, "_day").join(found.withColumnRenamed("path", "_path"), [event, "_path"])
     return mine.groupBy(event, *by).agg({"mean": F.avg, "sum": F.sum}[agg]("value").alias("value"))

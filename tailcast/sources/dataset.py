@@ -172,7 +172,13 @@ def prepare(df: DataFrame, spec: OpenSpec) -> DataFrame:
 
 def open_dataset(spark: SparkSession, infiles: Sequence[str] | str, spec: OpenSpec | None = None) -> DataFrame:
     spec = spec or OpenSpec()
-    return prepare(files.read(spark, infiles, spec.file_format), spec)
+    return prepare(files.read(spark, infiles, spec.file_format, variables=stored_variables(spec)), spec)
+
+
+def stored_variables(spec: OpenSpec) -> list[str]:
+    """The names that the files have for the variables that are asked for."""
+    before = {new: old for old, new in spec.metadata.get("rename", {}).items()}
+    return [before.get(v, v) for v in for_indices(spec).variables]
 
 
 def open_forecasts(spark: SparkSession, names: Sequence[str] | str, spec: OpenSpec | None = None, n_time_files: int = 1, n_ensemble_files: int = 1) -> DataFrame:
@@ -186,10 +192,10 @@ def open_forecasts(spark: SparkSession, names: Sequence[str] | str, spec: OpenSp
     listed = files.file_list(spark, names)
     places = [(re.sub("^file:/+", "/", f.rstrip("/")), i, e) for i, start in enumerate(files.nested(listed, n_time_files, n_ensemble_files)) for e, member in enumerate(start) for f in member]
     known = spark.createDataFrame(places, "_file string, _start int, _member int")
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    path = F.regexp_replace(F.col("_path"), "^file:/+", "/")
     either = F.array(path, F.regexp_replace(path, "/[^/]*$", ""))  # listed is a file, or the folder that holds it
-    rows = files.read(spark, listed, spec.file_format).withColumn("_file", F.explode(either))
-    joined = files.fix_metadata(rows.join(F.broadcast(known), "_file").drop("_file"), spec.metadata)
+    rows = files.read(spark, listed, spec.file_format, "_path", stored_variables(spec)).withColumn("_file", F.explode(either))
+    joined = files.fix_metadata(rows.join(F.broadcast(known), "_file").drop("_file", "_path"), spec.metadata)
     if spec.dims.ensemble not in joined.columns:
         joined = joined.withColumn(spec.dims.ensemble, F.col("_member"))
     cells = [c for c in (spec.dims.lat, spec.dims.lon) if c in joined.columns]

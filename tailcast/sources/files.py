@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import re
 import subprocess
 import sys
@@ -14,6 +15,10 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailcast.dims import DIMS
+from tailcast.sources.arrays import register
+from tailcast.sources.netcdf import write_netcdf
+
 # What a file name ends with and how it is read.
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".csv.gz": "csv", ".json": "json", ".orc": "orc", ".avro": "avro"}
 ARRAYS = {".nc": "netcdf4", ".zarr.zip": "zarr", ".zarr": "zarr"}
@@ -21,8 +26,7 @@ METADATA_KEYS = ("rename", "drop_coords", "round_coords", "units")
 
 
 def guess_format(name: str) -> str:
-    """The reader's name; ValueError for what is not known. Formats for arrays are told but
-    need a data source of that name on the cluster."""
+    """The reader's name; ValueError for what is not known."""
     plain = name.rstrip("/")
     for end, kind in (ARRAYS | FORMATS).items():
         if plain.endswith(end):
@@ -30,10 +34,17 @@ def guess_format(name: str) -> str:
     raise ValueError(f"unknown type of file: {name}")
 
 
-def read(spark: SparkSession, files: Sequence[str] | str, file_format: str | None = None) -> DataFrame:
-    """All files as one lazy table; text formats have a header and are typed by Spark."""
+def read(spark: SparkSession, files: Sequence[str] | str, file_format: str | None = None, path_column: str | None = None, variables: Sequence[str] = ()) -> DataFrame:
+    """All files as one lazy table; text formats have a header and are typed by Spark. ``path_column`` has each row's
+    file. Of stores of arrays ``variables`` are read alone: they must have the same dimensions."""
     paths = [files] if isinstance(files, str) else list(files)
     kind = file_format or guess_format(paths[0])
+    if kind in ARRAYS.values():
+        register(spark)
+        options = {"path": paths[0]} if len(paths) == 1 else {"paths": json.dumps(paths)}
+        return spark.read.format(kind).options(**options, **({"file_column": path_column} if path_column else {}), variables=",".join(variables)).load()
+    if path_column:
+        return read(spark, paths, kind).withColumn(path_column, F.col("_metadata.file_path"))
     reader = spark.read.format(kind)
     if kind == "csv":
         reader = reader.option("header", True).option("inferSchema", True)
@@ -104,7 +115,11 @@ def provenance(inputs: dict[str, str] | None = None, repo_dir: str | None = None
 
 def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), history: str | None = None) -> None:
     """Replaces ``path``. The ending gives the format (Parquet otherwise); one of ``.zip`` puts
-    the files into an archive beside, uncompressed, and is for local paths."""
+    the files into an archive beside, uncompressed, and is for local paths. ``.nc`` is one file in a folder that
+    all executors share."""
+    if path.endswith(".nc"):
+        write_netcdf(df, path, axes_of(df), history)
+        return
     target = path.removesuffix(".zip")
     kind = next((v for k, v in FORMATS.items() if target.endswith(k)), "parquet")
     if history and df.columns:
@@ -115,6 +130,14 @@ def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), history: s
         zip_folder(target, path)
 
 
+def axes_of(df: DataFrame) -> list[str]:
+    """The columns that are a cube's coordinates: those of starts and leads, else times, and places, and all texts.
+    With starts and leads the time is a variable."""
+    cube = [DIMS.init_date, DIMS.ensemble, DIMS.lead_time] if {DIMS.init_date, DIMS.lead_time} <= set(df.columns) else [DIMS.ensemble, DIMS.time]
+    texts = [c for c, t in df.dtypes if t == "string"]
+    return [c for c in (*texts, *cube, DIMS.lat, DIMS.lon) if c in df.columns]
+
+
 def zip_folder(folder: str, archive: str) -> None:
     root = Path(folder.removeprefix("file://"))
     with zipfile.ZipFile(archive.removeprefix("file://"), "w", zipfile.ZIP_STORED) as z:
