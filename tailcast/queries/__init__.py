@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tailcast.queries import calendar, chain, extremes, models, selection, spatial  # noqa: E402, F401
+from tailcast.queries import calendar, chain, drawn, extremes, models, selection, spatial  # noqa: E402, F401
