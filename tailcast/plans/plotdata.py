@@ -39,6 +39,17 @@ def nonstationary_return_curve(params: DataFrame, covariates: Sequence[float], b
     return each.select(*by, "covariate", "return_period", gev.return_level(F.col("return_period"), F.col("c"), F.col("loc_"), F.col("scale_")).alias("value"))
 
 
+def trend_curves(params: DataFrame, df: DataFrame, covariate: str, by: Sequence[str] = (), n: int = 40) -> DataFrame:
+    """(by..., kind, covariate, x, y) at the least and the largest covariate: levels by return period (``curve``), and
+    densities at ``n`` values between the least and the largest (``density``)."""
+    early, late, lo, hi = df.where(F.col("value").isNotNull()).agg(F.min(covariate), F.max(covariate), F.min("value"), F.max("value")).first()
+    if early is None:
+        raise ValueError("no values to draw")
+    curve = nonstationary_return_curve(params, [early, late], by).select(*by, F.lit("curve").alias("kind"), "covariate", F.col("return_period").alias("x"), F.col("value").alias("y"))
+    density = nonstationary_pdfs(params, [early, late], lo, hi, by, n).select(*by, F.lit("density").alias("kind"), "covariate", "x", F.col("density").alias("y"))
+    return curve.unionByName(density)
+
+
 def _at(params: DataFrame, covariates: Sequence[float]) -> DataFrame:
     each = params.withColumn("covariate", F.explode(F.array(*[F.lit(float(c)) for c in covariates])))
     _, loc, scale = gev.at_covariate({k: F.col(k) for k in gevfit.PARAMETERS[False]}, F.col("covariate"))
@@ -104,12 +115,13 @@ def independence_map(least: DataFrame) -> DataFrame:
     return least.select("init_month", "lat", "lon", "min_lead")
 
 
-def moment_densities(replicates: DataFrame, observed: DataFrame, bins: int = 20) -> DataFrame:
-    """(moment, bin, left, right, n, obs): histograms of (moment, value), the moments of bootstrap samples,
-    over ``bins`` bins of each moment's range, with the observed moment of (moment, obs)."""
-    ends = replicates.groupBy("moment").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    joined = replicates.join(F.broadcast(ends), "moment").withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
+def moment_densities(replicates: DataFrame, observed: DataFrame, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., moment, bin, left, right, n, obs): histograms of (by..., moment, value), the moments of bootstrap samples,
+    over ``bins`` bins of each moment's range, with the observed moment of (by..., moment, obs)."""
+    keys = [*by, "moment"]
+    ends = replicates.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    joined = replicates.join(ends, keys).withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
     at = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_lo"), F.col("_w"))), F.lit(0)), F.lit(bins - 1)).cast("int")
-    counted = joined.where("value is not null").groupBy("moment", at.alias("bin"), "_lo", "_w").agg(F.count("*").alias("n"))
-    edges = counted.select("moment", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("left"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("right"), "n")
-    return edges.join(F.broadcast(observed.select("moment", "obs")), "moment", "left")
+    counted = joined.where("value is not null").groupBy(*keys, at.alias("bin"), "_lo", "_w").agg(F.count("*").alias("n"))
+    edges = counted.select(*keys, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("left"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("right"), "n")
+    return edges.join(observed.select(*keys, "obs"), keys, "left")

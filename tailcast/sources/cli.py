@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,22 @@ class Pairs(argparse.Action):
 DIM_OPTIONS = {"time": "time_dim", "lat": "lat_dim", "lon": "lon_dim", "ensemble": "ensemble_dim", "init_date": "init_dim", "lead_time": "lead_dim"}
 
 
+def _names(p: argparse.ArgumentParser, *dims: str) -> None:
+    for dim in dims:
+        p.add_argument(f"--{DIM_OPTIONS[dim]}", dest=f"dim_{dim}", default=dim)
+
+
+def _session(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--dask_config", "--session_config", dest="session_config", help="a YAML file of the session's master and settings")
+    p.add_argument("--output_chunks", nargs="*", action=Pairs, default={}, help="dimensions whose ranges the parts of the output hold")
+
+
+def _outfile(p: argparse.ArgumentParser) -> None:
+    """In its place, or by name."""
+    p.add_argument("outfile", nargs="?")
+    p.add_argument("--outfile", dest="named_outfile")
+
+
 def lead(text: str) -> int | str:
     """A number of leads, or the name of a table of them by month."""
     return int(text) if text.lstrip("-").isdigit() else text
@@ -74,7 +91,9 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--rolling_sum_window", type=int)
     f.add_argument("--anomaly", nargs=2)
     f.add_argument("--anomaly_freq", choices=["month"])
-    f.add_argument("--regrid_grid")
+    f.add_argument("--regrid_grid", "--regrid_name", dest="regrid_grid", help="the name of a grid, or a file that has its cells")
+    f.add_argument("--regrid_lat_offset", type=float, default=0.0)
+    f.add_argument("--regrid_lon_offset", type=float, default=0.0)
     f.add_argument("--regrid_method", default="conservative")
     f.add_argument("--point_selection", nargs=2, type=float)
     f.add_argument("--lat_bnds", nargs=2, type=float)
@@ -85,8 +104,12 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--shp_header", help="the column of the shapes that names them")
     f.add_argument("--combine_shapes", action="store_true")
     f.add_argument("--standard_calendar", action="store_true", help="dates of tables are of the standard calendar in any case")
-    for dim in ("time", "lat", "lon", "ensemble", "init_date", "lead_time"):
-        f.add_argument(f"--{DIM_OPTIONS[dim]}", dest=f"dim_{dim}", default=dim)
+    _names(f, *DIM_OPTIONS)
+    f.add_argument("--agg_y_dim", help="the dimension that --spatial_agg takes for latitude")
+    f.add_argument("--agg_x_dim", help="the dimension that --spatial_agg takes for longitude")
+    f.add_argument("--input_chunks", nargs="*", action=Pairs, default={}, help="taken and left: Spark splits what it reads by bytes")
+    f.add_argument("--verbose", action="store_true", help="print the files of each start and member")
+    _session(f)
     f.add_argument("--spatial_agg", choices=["mean", "sum", "weighted_mean"])
     f.add_argument("--units", nargs="*", action=Pairs, default={})
     f.add_argument("--units_timing", choices=["start", "middle", "end"], default="end")
@@ -101,6 +124,8 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--n_resamples", type=int, default=100)
     i.add_argument("--spatial_selection", nargs="*", action=Pairs, default={})
     i.add_argument("--plot_outfile")
+    _names(i, "ensemble", "init_date", "lead_time")
+    _session(i)
 
     s = sub.add_parser("similarity", help="tests of model against observations")
     for name in ("fcst_file", "obs_file", "var", "outfile"):
@@ -112,6 +137,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--regrid", choices=["obs", "fcst"])
     s.add_argument("--regrid_method", default="conservative")
     s.add_argument("--plot_outfile")
+    _names(s, "time", "ensemble", "init_date", "lead_time")
+    _session(s)
 
     b = sub.add_parser("bias_correction", help="take the model's bias out")
     for name in ("fcst_file", "obs_file", "var"):
@@ -125,29 +152,41 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--by_lead", action="store_true")
     b.add_argument("--regrid", choices=["obs", "fcst"])
     b.add_argument("--regrid_method", default="conservative")
+    _names(b, "init_date", "lead_time")
+    _session(b)
 
     t = sub.add_parser("stability", help="distributions by lead and by time")
-    for name in ("fcst_file", "var", "outfile"):
+    for name in ("fcst_file", "var"):
         t.add_argument(name)
+    _outfile(t)
     t.add_argument("--start_years", nargs="+", type=int, required=True)
     t.add_argument("--uncertainty", action="store_true")
     t.add_argument("--return_method", choices=["empirical", "gev"], default="empirical")
+    t.add_argument("--units", default="", help="kept with the values")
+    t.add_argument("--ylim", nargs=2, type=float, help="the range of the values that are drawn")
+    _names(t, "ensemble", "init_date", "lead_time")
 
     m = sub.add_parser("moments", help="moments of observations in the model's intervals")
-    for name in ("fcst_file", "obs_file", "var", "outfile"):
+    for name in ("fcst_file", "obs_file", "var"):
         m.add_argument(name)
+    _outfile(m)
     m.add_argument("--bias_file")
     m.add_argument("--min_lead", type=lead)
     m.add_argument("--min_lead_kwargs", nargs="*", action=Pairs, default={})
     m.add_argument("--n_resamples", type=int, default=1000)
     m.add_argument("--units", default="")
     m.add_argument("--plot_outfile")
+    _names(m, "ensemble", "init_date", "lead_time")
 
     e = sub.add_parser("eva", help="fits of the generalised extreme value distribution")
     for name in ("file", "var", "outfile"):
         e.add_argument(name)
     e.add_argument("--stack_dims", nargs="*", default=["ensemble", "init_date", "lead_time", "time"])
+    e.add_argument("--core_dim", default="time", help="the dimension along which values are fitted, if none are stacked")
+    e.add_argument("--stationary", action="store_true", help="the default")
     e.add_argument("--nonstationary", action="store_true")
+    e.add_argument("--file_kwargs", nargs="*", action=Pairs, default={}, help="fields of OpenSpec for the file: time_freq=YE-DEC time_agg=max")
+    _names(e, "ensemble", "init_date", "lead_time")
     e.add_argument("--fitstart", choices=gevfit.STARTS, default="LMM")
     e.add_argument("--retry_fit", action="store_true")
     e.add_argument("--use_basinhopping", action="store_true")
@@ -179,10 +218,23 @@ def _shapes(spark: SparkSession, name: str, header: str | None) -> DataFrame:
     return found.drop("region").withColumnRenamed(header, "region") if header and header != "region" else found
 
 
-def _value(df: DataFrame, var: str) -> DataFrame:
+def _dims(a: argparse.Namespace) -> Dims:
+    return Dims(**{d: getattr(a, f"dim_{d}", d) for d in DIM_OPTIONS})
+
+
+def _value(df: DataFrame, var: str, a: argparse.Namespace) -> DataFrame:
+    """The variable as ``value``, and dimensions by the names that the operators know."""
+    for dim in DIM_OPTIONS:
+        df = df.withColumnRenamed(getattr(a, f"dim_{dim}", dim), dim)
     return df.withColumnRenamed(var, "value")
 
 
+def _parts(df: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """Rows put into parts by ranges of the dimensions that were named."""
+    named = [c for c in a.output_chunks if c in df.columns]
+    return df.repartitionByRange(*named) if named else df
+
+
 def _cells(df: DataFrame) -> list[str]:
     return [c for c in ("lat", "lon", "region") if c in df.columns]
 
@@ -203,14 +255,18 @@ def fileio(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
     grid = None
     if a.regrid_grid:
-        grid = create_grid(spark, a.regrid_grid) if a.regrid_grid.startswith("AUS") else files.read(spark, a.regrid_grid).select("lat", "lon").distinct()
+        grid = create_grid(spark, a.regrid_grid, a.regrid_lat_offset, a.regrid_lon_offset) if a.regrid_grid.startswith("AUS") else files.read(spark, a.regrid_grid).select("lat", "lon").distinct()
     spec = OpenSpec(
         variables=tuple(a.variables), metadata=files.load_metadata(a.metadata_file) if a.metadata_file else {}, isel=a.isel, sel=a.sel, months=tuple(a.months), init_month=a.init_month,
         scale_factors=a.scale_factors, units=a.units, units_timing=a.units_timing, regrid=grid, regrid_method=a.regrid_method, point=a.point_selection, lat_bnds=a.lat_bnds, lon_bnds=a.lon_bnds,
-        shapes=_shapes(spark, a.shapefile, a.shp_header) if a.shapefile else None, dims=Dims(**{d: getattr(a, f"dim_{d}") for d in DIM_OPTIONS}), shape_overlap=a.shp_overlap, shape_buffer=a.shp_buffer, combine_shapes=a.combine_shapes, spatial_agg=a.spatial_agg,
+        shapes=_shapes(spark, a.shapefile, a.shp_header) if a.shapefile else None, dims=_dims(a), shape_overlap=a.shp_overlap, shape_buffer=a.shp_buffer, combine_shapes=a.combine_shapes, spatial_agg=a.spatial_agg,
         no_leap_days=a.no_leap_days, rolling_sum_window=a.rolling_sum_window, time_freq=a.time_freq, time_agg=a.time_agg, time_agg_dates=a.time_agg_dates, min_tsteps=a.time_agg_min_tsteps,
-        season=a.season, reset_times=a.reset_times, input_freq=a.input_freq,
+        season=a.season, reset_times=a.reset_times, input_freq=a.input_freq, agg_y_dim=a.agg_y_dim, agg_x_dim=a.agg_x_dim,
     )
+    if a.verbose and a.forecast:
+        for i, start in enumerate(files.nested(files.file_list(spark, a.infiles), a.n_time_files, a.n_ensemble_files)):
+            for e, names in enumerate(start):
+                print(f"start {i}, member {e}: {' '.join(names)}")
     out = open_forecasts(spark, a.infiles, spec, a.n_time_files, a.n_ensemble_files) if a.forecast else open_dataset(spark, a.infiles, spec)
     if a.anomaly:
         values = list(a.variables) or [c for c, t in out.dtypes if t == "double" and c not in ("lat", "lon")]
@@ -221,33 +277,37 @@ def fileio(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def run(argv: Sequence[str], spark: SparkSession | None = None) -> None:
-    a = parser().parse_args(argv)
-    spark = spark or files.session_from({})
+    asked = parser()
+    a = asked.parse_args(argv)
+    a.outfile = getattr(a, "named_outfile", None) or a.outfile
+    if not a.outfile:
+        asked.error("an outfile is needed")
+    spark = spark or files.session_from(files.load_config(a.session_config) if getattr(a, "session_config", None) else {})
     history = files.provenance(argv=["tailcast", *argv])
     if a.program == "fileio":
-        return files.write(fileio(spark, a), a.outfile, a.partition_by, history)
+        return files.write(_parts(fileio(spark, a), a), a.outfile, a.partition_by, history)
     if a.program == "eva":
-        df = _value(open_dataset(spark, a.file), a.var)
+        df = _value(open_dataset(spark, a.file, replace(OpenSpec(dims=_dims(a)), **a.file_kwargs)), a.var, a)
         df = _masked(spark, df, a.min_lead, "value", a.min_lead_kwargs)
         if a.reference_time_period:
             df = selection.select_time_period(df, a.reference_time_period)
-        by = [c for c in df.columns if c not in (*a.stack_dims, "value", "time")]
+        by = [c for c in df.columns if c not in (*a.stack_dims, "value", "time", a.core_dim)]
         keyed, keys = (df, by) if by else (df.withColumn("all", F.lit(1)), ["all"])
         if a.drop_max:
             keyed = selection.drop_max(keyed, keys)
         covariate = None
         if a.nonstationary:
             if a.covariate_file:
-                keyed, covariate = keyed.join(_value(open_dataset(spark, a.covariate_file), a.covariate).select("time", F.col("value").alias("covariate")), "time", "left"), "covariate"
+                keyed, covariate = keyed.join(_value(open_dataset(spark, a.covariate_file), a.covariate, a).select("time", F.col("value").alias("covariate")), "time", "left"), "covariate"
             elif a.covariate == "time.year":
                 keyed, covariate = keyed.withColumn("covariate", F.year("time")), "covariate"
             else:
                 covariate = a.covariate
         fitted = gevfit.fit_gev(keyed, keys, stationary=not a.nonstationary, covariate=covariate, start=a.fitstart, retry=a.retry_fit, assert_good_fit=a.assert_good_fit, pick_best_model=a.pick_best_model, basin_hops=8 if a.use_basinhopping else 0)
-        if a.plot_outfile and not a.nonstationary:
-            files.write(plotdata.gev_return_curve(keyed, keys, a.n_resamples), a.plot_outfile)
+        if a.plot_outfile:
+            files.write(plotdata.trend_curves(fitted, keyed, covariate, keys) if a.nonstationary else plotdata.gev_return_curve(keyed, keys, a.n_resamples), a.plot_outfile)
         return files.write(fitted, a.outfile, (), history)
-    fcst = _value(open_dataset(spark, a.fcst_file, OpenSpec(squeeze=False)), a.var)
+    fcst = _value(open_dataset(spark, a.fcst_file, OpenSpec(squeeze=False, dims=_dims(a))), a.var, a)
     fcst = _masked(spark, fcst, getattr(a, "min_lead", None), "value", getattr(a, "min_lead_kwargs", {}))
     if a.program == "independence":
         for dim, which in a.spatial_selection.items():
@@ -256,10 +316,13 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> None:
         keys = ["init_month", *_cells(fcst)]
         if a.plot_outfile:
             files.write(r.join(bounds, keys), a.plot_outfile)
-        return files.write(r.join(bounds, keys).join(least, keys), a.outfile, (), history)
+        return files.write(_parts(r.join(bounds, keys).join(least, keys), a), a.outfile, (), history)
     if a.program == "stability":
-        return files.write(stability.summary(fcst, a.start_years, a.return_method, a.uncertainty), a.outfile, (), history)
-    obs = _value(open_dataset(spark, a.obs_file, OpenSpec(squeeze=False)), a.var)
+        drawn = stability.summary(fcst, a.start_years, a.return_method, a.uncertainty)
+        if a.ylim:
+            drawn = drawn.where(F.col("value").between(*a.ylim))
+        return files.write(files.with_unit(drawn, "value", a.units) if a.units else drawn, a.outfile, (), history)
+    obs = _value(open_dataset(spark, a.obs_file, OpenSpec(squeeze=False, dims=_dims(a))), a.var, a)
     if a.program == "similarity":
         if a.reference_time_period:
             obs = selection.select_time_period(obs, a.reference_time_period)
@@ -267,20 +330,20 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> None:
         tests = similarity.similarity_tests(fcst, obs, _cells(fcst), a.by_lead)
         if a.plot_outfile:
             files.write(plotdata.similarity_map(tests, by=[c for c in tests.columns if not c.startswith(("ks_", "ad_"))]), a.plot_outfile)
-        return files.write(tests, a.outfile, (), history)
+        return files.write(_parts(tests, a), a.outfile, (), history)
     if a.program == "bias_correction":
         fcst, obs = _one_grid(fcst, obs, a.regrid, a.regrid_method)
         found = bias.bias(fcst, obs, a.method, a.base_period, a.rounding_freq, a.by_lead, _cells(fcst))
-        return files.write(bias.remove_bias(fcst, found, a.method), a.outfile, (), history)
-    model = _value(open_dataset(spark, a.bias_file, OpenSpec(squeeze=False)), a.var) if a.bias_file else fcst
+        return files.write(_parts(bias.remove_bias(fcst, found, a.method), a), a.outfile, (), history)
+    model = _value(open_dataset(spark, a.bias_file, OpenSpec(squeeze=False, dims=_dims(a))), a.var, a) if a.bias_file else fcst
     cells = _cells(model)
     size = obs.where(F.col("value").isNotNull()).groupBy(*cells).count().agg(F.max("count")).first()[0] or 0
     drawn = ["init_date", "ensemble", "lead_time"]
     bounds = moments.moments_interval(model, cells, drawn, size, a.n_resamples, gev=True)
     seen = moments.moments(obs, cells, gev="lmoments")
-    if a.plot_outfile and not cells:
-        long = seen.unpivot([], [c for c in seen.columns], "moment", "obs")
-        files.write(plotdata.moment_densities(moments.moment_replicates(model, [], drawn, size, a.n_resamples, gev=True), long), a.plot_outfile)
+    if a.plot_outfile:
+        long = seen.unpivot(cells, [c for c in seen.columns if c not in cells], "moment", "obs")
+        files.write(plotdata.moment_densities(moments.moment_replicates(model, cells, drawn, size, a.n_resamples, gev=True), long, by=cells), a.plot_outfile)
     return files.write(moments.compared(seen, bounds, cells, a.units), a.outfile, (), history)
 
 

@@ -47,6 +47,9 @@ class OpenSpec:
     shape_buffer: float | None = None
     combine_shapes: bool = False
     spatial_agg: str | None = None
+    #: What spatial_agg aggregates over, if not latitude and longitude.
+    agg_y_dim: str | None = None
+    agg_x_dim: str | None = None
     no_leap_days: bool = False
     rolling_sum_window: int | None = None
     time_freq: str | None = None
@@ -87,7 +90,8 @@ def prepare(df: DataFrame, spec: OpenSpec) -> DataFrame:
     unit = {c: files.unit_of(df, c) for c in df.columns}
     df = files.fix_metadata(df, spec.metadata)
     unit |= {c: files.unit_of(df, c) for c in df.columns}
-    places = [c for c in (d.time, d.lat, d.lon, d.ensemble, d.init_date, d.lead_time) if c in df.columns]
+    y, x = spec.agg_y_dim or d.lat, spec.agg_x_dim or d.lon
+    places = [c for c in dict.fromkeys((d.time, d.lat, d.lon, d.ensemble, d.init_date, d.lead_time, y, x)) if c in df.columns]
     values = list(spec.variables) or [c for c, t in df.dtypes if c not in places and t in ("double", "float", "int", "bigint")]
     df = s.project(df, values, places)
 
@@ -148,8 +152,7 @@ def prepare(df: DataFrame, spec: OpenSpec) -> DataFrame:
             mask = spatial.centre_mask(cells, spec.shapes)
         df = each(lambda one, v, by: spatial.select_regions(one.withColumnsRenamed({d.lat: "lat", d.lon: "lon"}), mask, spec.spatial_agg, by, v, spec.combine_shapes, spec.shapes), by)
     elif spec.spatial_agg:
-        by = others(d.lat, d.lon)
-        df = each(lambda one, v, by: spatial.aggregate(one, spec.spatial_agg, by, v, d.lat), by)
+        df = each(lambda one, v, by: spatial.aggregate(one, spec.spatial_agg, by, v, y), others(y, x))
     df = kept_units(df)
     if spec.units_timing == "middle":
         df = _convert(df, spec)

@@ -168,6 +168,15 @@ def makefile_variables(makefile: str, target: str = "print_file_vars", **variabl
     return dict(sorted((k.strip().lower(), v.strip()) for k, _, v in (x.partition("=") for x in said.splitlines()) if v))
 
 
+def load_config(path: str) -> dict:
+    """What ``session_from`` takes, from a YAML file."""
+    with open(path) as f:
+        made = yaml.safe_load(f) or {}
+    if set(made) - {"cluster", "conf"}:
+        raise KeyError(f"unknown keys in {path}: {sorted(set(made) - {'cluster', 'conf'})}")
+    return made
+
+
 def session_from(config: dict) -> SparkSession:
     """A session from ``{"cluster": local | master address, "conf": {...}}``."""
     master = config.get("cluster", "local")

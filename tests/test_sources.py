@@ -197,3 +197,46 @@ def test_anomalies_of_all_variables(spark, tmp_path):
     cli.run(["fileio", f"{tmp_path}/in.parquet", f"{tmp_path}/out.parquet", "--anomaly", "2000-01-01", "2002-12-31", "--anomaly_freq", "month"], spark)
     got = {r["time"]: (r["pr"], r["tas"]) for r in spark.read.parquet(f"{tmp_path}/out.parquet").collect()}
     assert got == {date(2000 + y, m, 1): (float(y - 1), float(1 - y)) for y in range(3) for m in (1, 2)}
+
+
+def test_options_of_programs(spark, tmp_path):
+    """Other names of dimensions, named outputs, drawn tables with trends and cells, parts of outputs."""
+    rows = [(date(2000 + y, 1, 1), e, k, date(2000 + y, 1 + k, 1), cell, float((y * 7 + e * 3 + k * 5 + cell) % 11 + y / 10)) for y in range(8) for e in range(3) for k in range(4) for cell in (0, 1)]
+    spark.createDataFrame(rows, "start date, member int, lead int, time date, lat int, pr double").write.parquet(f"{tmp_path}/f.parquet")
+    spark.createDataFrame([(date(2000 + m // 12, m % 12 + 1, 1), cell, float(m % 13)) for m in range(96) for cell in (0, 1)], "time date, lat int, pr double").write.parquet(f"{tmp_path}/o.parquet")
+    f, o, names = f"{tmp_path}/f.parquet", f"{tmp_path}/o.parquet", ["--ensemble_dim", "member", "--init_dim", "start", "--lead_dim", "lead"]
+    cli.run(["similarity", f, o, "pr", f"{tmp_path}/s.parquet", *names, "--output_chunks", "lat=1"], spark)
+    assert spark.read.parquet(f"{tmp_path}/s.parquet").count() == 2
+    cli.run(["independence", f, "pr", f"{tmp_path}/i.parquet", *names, "--n_resamples", "5"], spark)
+    cli.run(["stability", f, "pr", "--outfile", f"{tmp_path}/t.parquet", "--start_years", "2000", "2004", *names, "--units", "mm", "--ylim", "0", "9"], spark)
+    drawn = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert files.unit_of(drawn, "value") == "mm" and drawn.agg(F.max("value")).first()[0] <= 9
+    cli.run(["moments", f, o, "pr", "--outfile", f"{tmp_path}/m.parquet", *names, "--n_resamples", "5", "--plot_outfile", f"{tmp_path}/mp.parquet"], spark)
+    assert {r["lat"] for r in spark.read.parquet(f"{tmp_path}/mp.parquet").select("lat").distinct().collect()} == {0, 1}
+    cli.run(["eva", f, "pr", f"{tmp_path}/e.parquet", "--nonstationary", *names, "--plot_outfile", f"{tmp_path}/ep.parquet"], spark)
+    curves = spark.read.parquet(f"{tmp_path}/ep.parquet")
+    assert {tuple(r) for r in curves.select("kind", "covariate", "lat").distinct().collect()} == {(k, c, lat) for k in ("curve", "density") for c in (2000.0, 2007.0) for lat in (0, 1)}
+    cli.run(["eva", o, "pr", f"{tmp_path}/a.parquet", "--file_kwargs", "time_freq=YE-DEC", "time_agg=max"], spark)
+    assert {r["n"] for r in spark.read.parquet(f"{tmp_path}/a.parquet").collect()} == {8}
+    with pytest.raises(SystemExit):
+        cli.run(["stability", f, "pr", "--start_years", "2000"], spark)
+
+
+def test_options_of_fileio(spark, tmp_path, capsys):
+    rows = [(date(2000, 1, 1), float(a), float(b), float(10 * a + b)) for a in range(2) for b in range(3)]
+    spark.createDataFrame(rows, "time date, row double, col double, pr double").write.parquet(f"{tmp_path}/g.parquet")
+    cli.run(["fileio", f"{tmp_path}/g.parquet", f"{tmp_path}/out.parquet", "--variables", "pr", "--spatial_agg", "mean", "--agg_y_dim", "row", "--agg_x_dim", "col", "--input_chunks", "time=5"], spark)
+    assert [(r["time"], r["pr"]) for r in spark.read.parquet(f"{tmp_path}/out.parquet").collect()] == [(date(2000, 1, 1), 6.0)]
+    wide = [(date(2000, 1, 1), lat, lon, lat) for lat in (-30.0, -29.0, -28.0) for lon in (130.0, 131.0, 132.0)]
+    spark.createDataFrame(wide, "time date, lat double, lon double, pr double").write.parquet(f"{tmp_path}/w.parquet")
+    cli.run(["fileio", f"{tmp_path}/w.parquet", f"{tmp_path}/r.parquet", "--variables", "pr", "--regrid_name", "AUS100i", "--regrid_lat_offset", "0.25", "--regrid_method", "bilinear"], spark)
+    assert {r["lat"] % 1 for r in spark.read.parquet(f"{tmp_path}/r.parquet").where("pr is not null").collect()} == {0.25}
+    one = [(date(2000, 1, k), 1.0) for k in (1, 2)]
+    spark.createDataFrame(one, "time date, pr double").write.parquet(f"{tmp_path}/m0.parquet")
+    cli.run(["fileio", f"{tmp_path}/m0.parquet", f"{tmp_path}/v.parquet", "--forecast", "--verbose"], spark)
+    assert "start 0, member 0" in capsys.readouterr().out
+    (tmp_path / "s.yml").write_text("cluster: local\nconf:\n  spark.sql.ansi.enabled: 'true'\n")
+    assert files.load_config(f"{tmp_path}/s.yml")["conf"] == {"spark.sql.ansi.enabled": "true"}
+    (tmp_path / "bad.yml").write_text("queue: x\n")
+    with pytest.raises(KeyError):
+        files.load_config(f"{tmp_path}/bad.yml")
