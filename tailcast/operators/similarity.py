@@ -20,13 +20,20 @@ def pooled(fcst: DataFrame, obs: DataFrame, by: Sequence[str] = (), value: str =
     return one.unionByName(other).where("value is not null")
 
 
+def counted(both: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value, f, o): how often each distinct value is in both samples, counted map-side; what was counted before is added up."""
+    if "src" in both.columns:
+        return both.groupBy(*by, "value").agg(F.count(F.when(F.col("src") == "f", 1)).alias("f"), F.count(F.when(F.col("src") == "o", 1)).alias("o"))
+    return both.groupBy(*by, "value").agg(F.sum("f").alias("f"), F.sum("o").alias("o"))
+
+
 def _cumulated(both: DataFrame, by: Sequence[str]) -> DataFrame:
-    """A row for each distinct pooled value: counts of both samples there and below, after
-    values were counted map-side, so that windows hold distinct values only."""
-    counted = both.groupBy(*by, "value").agg(F.count(F.when(F.col("src") == "f", 1)).alias("f"), F.count(F.when(F.col("src") == "o", 1)).alias("o"))
+    """A row for each distinct pooled value: counts of both samples there and below, so that windows hold distinct
+    values only."""
+    counts = counted(both, by)
     w = Window.partitionBy(*by)
     up = w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.select(*by, "value", "f", "o", F.sum("f").over(up).alias("cf"), F.sum("o").over(up).alias("co"), F.sum("f").over(w).alias("nf"), F.sum("o").over(w).alias("no"), F.count("*").over(w).alias("distinct"))
+    return counts.select(*by, "value", "f", "o", F.sum("f").over(up).alias("cf"), F.sum("o").over(up).alias("co"), F.sum("f").over(w).alias("nf"), F.sum("o").over(w).alias("no"), F.count("*").over(w).alias("distinct"))
 
 
 def ks_statistic(both: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -82,11 +89,14 @@ def anderson_darling_test(both: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def similarity_tests(fcst: DataFrame, obs: DataFrame, by: Sequence[str] = (), by_lead: bool = False, value: str = "value") -> DataFrame:
-    """Both tests for each place, and each lead against all observations with ``by_lead``."""
+    """Both tests for each place, and each lead against all observations with ``by_lead``: these are counted first, so
+    that each lead gets distinct values with their counts, not all rows again."""
     keys = list(by)
     if by_lead:
-        leads = fcst.select("lead_time").distinct()
-        obs, keys = obs.crossJoin(F.broadcast(leads)), [*keys, "lead_time"]
-    both = pooled(fcst, obs, keys, value)
+        keys = [*keys, "lead_time"]
+        model, seen = counted(pooled(fcst, fcst.limit(0), keys, value), keys), counted(pooled(obs.limit(0), obs, by, value), by)
+        both = model.unionByName(seen.join(fcst.select("lead_time").distinct(), how="cross"))
+    else:
+        both = pooled(fcst, obs, keys, value)
     one, other = ks_test(both, keys), anderson_darling_test(both, keys)
     return one.join(other, keys, "full") if keys else one.crossJoin(other)

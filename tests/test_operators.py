@@ -507,3 +507,18 @@ def test_functions_of_tables_drawn_together(spark):
     joint = {r["k"]: r for r in resampling.resample_dims(a, dims, 5).groupBy("k").agg(F.sum("value").alias("v")).collect()}
     summed = resampling.resample_tables({"a": a}, dims, 5, lambda t: pd.DataFrame({"v": [t["value"].sum()]}), "v double").collect()
     assert {r["k"]: r["v"] for r in summed} == {k: r["v"] for k, r in joint.items()}
+
+
+def test_tests_by_lead_count_observations_once(spark):
+    """As each lead's own test; observations are counted before they meet the leads, ties and nulls in either."""
+    from tailcast.operators import similarity as sim
+
+    model = spark.createDataFrame([(p, k, float((i * (k + 3) + p) % 7) if i else None) for p in (0, 1) for k in range(3) for i in range(20)], "lat int, lead_time int, value double")
+    seen = spark.createDataFrame([(p, float(i % 6) if i else None) for p in (0, 1) for i in range(30)], "lat int, value double")
+    got = {(r["lat"], r["lead_time"]): tuple(r)[2:] for r in sim.similarity_tests(model, seen, ["lat"], by_lead=True).collect()}
+    assert len(got) == 6
+    for k in range(3):
+        for r in sim.similarity_tests(model.where(F.col("lead_time") == k).drop("lead_time"), seen, ["lat"]).collect():
+            assert got[r["lat"], k] == pytest.approx(tuple(r)[1:])
+    both = sim.similarity_tests(model.drop("lat"), seen.drop("lat"), by_lead=True)
+    assert both.count() == 3 and both.where("ks_pvalue is null").count() == 0
