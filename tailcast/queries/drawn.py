@@ -14,6 +14,7 @@ from tailcast.operators import extremes, gevfit
 from tailcast.operators import independence as ind
 from tailcast.operators import moments as m
 from tailcast.operators import similarity as sim
+from tailcast.operators.selection import squeeze
 from tailcast.plans import plotdata
 from tailcast.plans.views import FCST, GRID, OBS, SAMPLE, fcst, grid, obs, sample, table
 from tailcast.queries import query
@@ -96,6 +97,12 @@ def similarity_by_lead_drawn(spark: SparkSession, d: str) -> DataFrame:
     return drawn.select("lead_time", "test", F.round("statistic", 4).alias("statistic"), F.round("pvalue", 6).alias("pvalue"), "differs")
 
 
+@query(f"with {FCST} select init_date, lead_time, time, value from fcst where ensemble = 2")
+def one_member(spark: SparkSession, d: str) -> DataFrame:
+    """A dimension that has one label goes."""
+    return squeeze(fcst(spark, d).where("ensemble = 2"), ["ensemble", "lead_time"])
+
+
 FLAGS = f"""pool as (select l_returnflag as k, case when l_linenumber <= 2 then 'f' else 'o' end as src, case when l_returnflag = 'N' then 1.0::double else l_quantity::double end as value from lineitem), {CUM.format(k='k')}"""
 
 

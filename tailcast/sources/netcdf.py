@@ -90,17 +90,22 @@ class NetcdfStore(Store):
         self.file.seek(at)
         return np.frombuffer(self.file.read(n * kind.itemsize), kind)
 
+    def _part(self, at: int, kind: np.dtype, shape: Sequence[int], box: Box) -> np.ndarray:
+        """What lies between the first and the last cell of a box is read, no more."""
+        if any(b <= a for a, b in box):
+            return np.empty([max(0, b - a) for a, b in box], kind)
+        steps = [int(np.prod(shape[k + 1 :], dtype="int64")) for k in range(len(shape))]
+        first = sum(a * s for (a, _), s in zip(box, steps))
+        n = sum((b - 1) * s for (_, b), s in zip(box, steps)) - first + 1
+        flat = self._read(at + first * kind.itemsize, n, kind)
+        return np.lib.stride_tricks.as_strided(flat, [b - a for a, b in box], [s * kind.itemsize for s in steps], writeable=False)
+
     def box(self, name: str, box: Box) -> np.ndarray:
         v, begin = self.variables[name], self.places[name]
-        if not box:
-            return self._read(begin, 1, v.dtype).reshape(())
-        one = int(np.prod(v.shape[1:]))
-        (a, b), rest = box[0], tuple(slice(p, q) for p, q in box[1:])
-        if name in self.by_record and b > a:
-            flat = np.concatenate([self._read(begin + r * self.record, one, v.dtype) for r in range(a, b)])
-        else:
-            flat = self._read(begin + a * one * v.dtype.itemsize, (b - a) * one, v.dtype)
-        return flat.reshape(b - a, *v.shape[1:])[(slice(None), *rest)]
+        if name not in self.by_record:
+            return self._part(begin, v.dtype, v.shape, box)
+        parts = [self._part(begin + r * self.record, v.dtype, v.shape[1:], box[1:]) for r in range(*box[0])]
+        return np.stack(parts) if parts else np.empty([0, *[b - a for a, b in box[1:]]], v.dtype)
 
 
 def _chunks(shape: tuple[int, ...]) -> tuple[int, ...]:

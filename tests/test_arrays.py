@@ -224,6 +224,21 @@ def test_netcdf_records(spark, tmp_path):
     assert [tuple(r) for r in got] == [(r, x, r + x, (float(r), 10.0 * r, 0.5)[x]) for r in range(4) for x in range(3)]
 
 
+def test_parts_of_files_are_read_alone(spark, tmp_path, monkeypatch):
+    """Boxes of any shape, and no more bytes than from their first to their last cell."""
+    from tailcast.sources import netcdf
+
+    files.write(files.read(spark, store(f"{tmp_path}/a.zarr.zip", cube())), f"{tmp_path}/b.nc")
+    opened, read = netcdf.NetcdfStore(f"{tmp_path}/b.nc"), []
+    plain = netcdf.NetcdfStore._read
+    monkeypatch.setattr(netcdf.NetcdfStore, "_read", lambda self, at, n, kind: read.append(n) or plain(self, at, n, kind))
+    for box in (((0, 10), (0, 3), (0, 5)), ((3, 4), (1, 2), (2, 4)), ((2, 9), (1, 3), (0, 1)), ((5, 5), (0, 3), (0, 5))):
+        read.clear()
+        want = cube()[tuple(slice(*b) for b in box)]
+        np.testing.assert_array_equal(opened.box("pr", box), want)
+        assert sum(read) <= (2 if box[0] == (3, 4) else 150)
+
+
 def test_program_reads_and_writes_arrays(spark, tmp_path):
     path = store(f"{tmp_path}/a.zarr.zip", cube())
     cli.run(["fileio", path, f"{tmp_path}/o.nc", "--variables", "pr", "--lat_bnds", "-20", "-10"], spark)
