@@ -239,6 +239,21 @@ def test_parts_of_files_are_read_alone(spark, tmp_path, monkeypatch):
         assert sum(read) <= (2 if box[0] == (3, 4) else 150)
 
 
+def test_events_in_files_of_arrays(spark, tmp_path):
+    """Only the files that hold an event's days are opened: another of that ending is no such file."""
+    from tailcast.sources import circulation
+
+    table = files.read(spark, store(f"{tmp_path}/a b.zarr.zip", np.arange(150.0).reshape(10, 3, 5))).withColumnRenamed("pr", "value")
+    files.write(table.where("time <= '1999-12-31'"), f"{tmp_path}/f_19991230-19991231.nc")
+    files.write(table.where("time > '1999-12-31'"), f"{tmp_path}/f_20000101-20000108.nc")
+    (tmp_path / "f_20010101-20010108.nc").write_bytes(b"none")
+    known = circulation.catalogue(spark, f"file://{tmp_path}", "f_*.nc")
+    assert known.count() == 3
+    events = spark.createDataFrame([(1, date(2000, 1, 1))], "event int, time date")
+    got = {(r["lat"], r["lon"]): r["value"] for r in circulation.event_fields(spark, events, known, 1).collect()}
+    assert len(got) == 15 and got[-30.0, 110.0] == (15 + 30) / 2
+
+
 def test_program_reads_and_writes_arrays(spark, tmp_path):
     path = store(f"{tmp_path}/a.zarr.zip", cube())
     cli.run(["fileio", path, f"{tmp_path}/o.nc", "--variables", "pr", "--lat_bnds", "-20", "-10"], spark)
