@@ -199,6 +199,7 @@ def write_netcdf(df: DataFrame, path: str, dims: Sequence[str], history: str | N
     One aggregation finds the labels of the axes, which the header holds; so each value's place is known before
     it is written. Rows are shuffled by slabs of a million cells; a task writes a slab of all variables in its place,
     the same again if it is repeated. The folder must be shared; the file has its name only when it is whole.
+    The table is worked out twice, once for the axes: write one that is dear first.
     """
     names = [c for c in df.columns if c not in dims]
     stored = {c: _stored(df, c) for c in df.columns}
