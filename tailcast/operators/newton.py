@@ -1,20 +1,21 @@
 """Maximum-likelihood fits of the GEV by grouped sums, for groups of any size and for bootstraps.
 
-Parameters of all groups are a small table. Each round joins it to the rows and adds up, for each group, the negative
-log-likelihood, its gradient and its second derivatives, which are columns; a damped Newton step of every
-group follows from its sums. No group is ever gathered: what is shuffled is one row of sums for each group and task.
-A bootstrap sample is the same rows with counts drawn from a hash of seed, replicate and row, so nothing is copied.
+Rows are packed once into blocks of a group's rows, with the counts that bootstrap samples hold them by. Parameters of all groups are a
+small table: each round joins it to the blocks, adds up, for each group and sample, the negative log-likelihood, its gradient and its second
+derivatives, and a damped Newton step follows from the sums. No group is ever gathered: what is shuffled is one row of sums for each
+block and sample. A bootstrap sample is the same rows with counts drawn from a hash of seed, replicate and row, so nothing is copied.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ ROUNDS, SAMPLE_ROUNDS = 40, 12
 SMALLEST_STEP, SAMPLE_STEP = 1e-8, 1e-5
 #: Share of a parameter, or of 1, within which it counts as being at a bound.
 _ROOM = 1e-8
-#: A table of fewer rows is dealt out over all cores, since each row meets all replicates.
-FEW_ROWS = 1_000_000
+#: Rows of a block, on average, and of a task: each row meets all replicates.
+BLOCK_ROWS, TASK_ROWS = 10_000, 100_000
 #: Quantiles that starts are taken from.
 _QUANTILES = (0.1, 0.5, 0.9)
 #: Where |shape * z| is less, logarithms are worked out by series.
@@ -55,44 +56,104 @@ def _keyed(keys: Sequence[str]) -> list[Column]:
     return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
 
 
-def _series(factors: list[float]) -> str:
-    """SQL of the sum of ``factors[i] * _a ** i``."""
-    return reduce(lambda made, f: f"({made} * _a + {f!r}D)", reversed(factors[:-1]), f"{factors[-1]!r}D")
-
-
-_NEAR = f"abs(_a) < {_SERIES}D"
-#: Steps, each a projection, from ``_c``, ``_mu``, ``_sigma`` and ``_y`` to a row's negative log-likelihood ``_f`` (null where the value
-#: is impossible) and its first and second derivatives by shape, location and scale. ``_u`` is minus the log
-#: of minus the log of the distribution function, ``_uc``, ``_ucc``, ``_uz`` its derivatives.
-_STEPS = [
-    {"_z": "case when _sigma > 0 then (_y - _mu) / _sigma end"},
-    {"_a": "_c * _z"},
-    {"_w1": "case when _a < 1 then 1 - _a end"},
-    {"_u": f"case when _w1 is null then null when {_NEAR} then -_z * {_series([1 / (k + 1) for k in range(9)])} else ln(_w1) / nullif(_c, 0D) end"},
-    {"_uc": f"case when {_NEAR} then -_z * _z * {_series([k / (k + 1) for k in range(1, 10)])} else -(_u + _z / _w1) / nullif(_c, 0D) end"},
-    {"_ucc": f"case when {_NEAR} then -_z * _z * _z * {_series([k * (k - 1) / (k + 1) for k in range(2, 11)])} else -(2 * _uc + _z * _z / (_w1 * _w1)) / nullif(_c, 0D) end", "_t": "exp(_u)", "_uz": "-1 / _w1"},
-    {"_e": "_t - 1 + _c"},
-    {"_lz": "_e * _uz", "_lzz": "-_e * _c * _uz * _uz + _t * _uz * _uz", "_lzc": "-_e * _z * _uz * _uz + (_t * _uc + 1) * _uz"},
-    {
-        "_f": "ln(_sigma) - (1 - _c) * _u + _t", "_gc": "_u + _e * _uc", "_gm": "-_lz / _sigma", "_gs": "(1 - _z * _lz) / _sigma",
-        "_hcc": "2 * _uc + _t * _uc * _uc + _e * _ucc", "_hcm": "-_lzc / _sigma", "_hcs": "-_z * _lzc / _sigma",
-        "_hmm": "_lzz / (_sigma * _sigma)", "_hms": "(_lz + _z * _lzz) / (_sigma * _sigma)", "_hss": "(2 * _z * _lz + _z * _z * _lzz - 1) / (_sigma * _sigma)",
-    },
-]
-
-
-def summed(rows: DataFrame, keys: Sequence[str], trend: bool) -> DataFrame:
-    """(keys..., _weight, _bad, _sums, _least, _most) of rows with ``_c``, ``_mu``, ``_sigma``, ``_y``, ``_v`` (covariate) and ``_w`` (count): the
-    sum of counts and that of impossible values, and the negative log-likelihood, its gradient and the upper
-    triangle of its second derivatives, in order; the ends of ``_y``."""
-    for step in _STEPS:
-        rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
+def _series(a: np.ndarray, factors: list[float]) -> np.ndarray:
+    """The sum of ``factors[i] * a ** i``."""
+    return reduce(lambda made, f: made * a + f, reversed(factors[:-1]), np.full_like(a, factors[-1]))
+
+
+def _terms(c: float, mu: np.ndarray | float, sigma: np.ndarray | float, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are possible, and their negative log-likelihood and its first and second derivatives by shape, location and scale, [10, m]:
+    f, c, m, s, cc, cm, cs, mm, ms, ss. ``u`` is minus the log of minus the log of the distribution function, ``uc``, ``ucc``, ``uz`` its derivatives."""
+    sigma = np.broadcast_to(np.asarray(sigma, dtype=float), y.shape)
+    with np.errstate(all="ignore"):
+        z = (y - mu) / sigma
+        good = (sigma > 0) & (c * z < 1)
+        if not good.all():
+            z, sigma = z[good], sigma[good]
+        a = c * z
+        w = 1 - a
+        near = np.abs(a) < _SERIES
+        by = c or 1.0
+        u = np.log(w) / by
+        uc = -(u + z / w) / by
+        ucc = -(2 * uc + z * z / (w * w)) / by
+        if near.any():
+            n, x = a[near], z[near]
+            u[near] = -x * _series(n, [1 / (k + 1) for k in range(9)])
+            uc[near] = -x * x * _series(n, [k / (k + 1) for k in range(1, 10)])
+            ucc[near] = -x * x * x * _series(n, [k * (k - 1) / (k + 1) for k in range(2, 11)])
+        t, uz = np.exp(u), -1 / w
+        e = t - 1 + c
+        lz, lzz, lzc = e * uz, (t - e * c) * uz * uz, (t * uc + 1 - e * z * uz) * uz
+        square = sigma * sigma
+        by_scale = [(1 - z * lz) / sigma, 2 * uc + t * uc * uc + e * ucc, -lzc / sigma, -z * lzc / sigma, lzz / square, (lz + z * lzz) / square, (2 * z * lz + z * z * lzz - 1) / square]
+        return good, np.stack([np.log(sigma) - (1 - c) * u + t, u + e * uc, -lz / sigma, *by_scale])
+
+
+def _kinds(trend: bool) -> tuple[list[int], list[int]]:
+    """Of each sum - the negative log-likelihood, its gradient, the upper triangle of its second derivatives - the term and the power of the covariate."""
+    names = ["f", "c", "m", "s", "cc", "cm", "cs", "mm", "ms", "ss"]
     kinds = "cmMsS" if trend else "cms"
-    made = ["_f"] + [f"_g{k.lower()}" + " * _v" * k.isupper() for k in kinds]
-    for i, a in enumerate(kinds):
-        made += ["_h" + "".join(sorted((a + b).lower(), key="cms".index)) + " * _v" * (a + b).count("M") + " * _v" * (a + b).count("S") for b in kinds[i:]]
-    whole = F.expr("array(" + ", ".join(f"coalesce(sum(_w * {m}), 0D)" for m in made) + ")")
-    return rows.groupBy(*keys).agg(F.expr("cast(sum(_w) as double)").alias("_weight"), F.expr("cast(coalesce(sum(case when _f is null then _w end), 0) as double)").alias("_bad"), whole.alias("_sums"), F.min("_y").alias("_least"), F.max("_y").alias("_most"))
+    made = ["f", *kinds, *[a + b for i, a in enumerate(kinds) for b in kinds[i:]]]
+    return [names.index("".join(sorted(m.lower(), key="cms".index)) if m != "f" else m) for m in made], [sum(x in "MS" for x in m) for m in made]
+
+
+def _packed(rows: DataFrame, units: DataFrame, keys: list[str], n_resamples: int, seed: int) -> DataFrame:
+    """(keys..., _y, _v, _counts): rows as blocks of about ``BLOCK_ROWS`` of a group; values, covariates and,
+    two to a byte, the counts of each row in all samples."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    sizes = units.select(*_keyed(keys), F.ceil(F.col("_n") / BLOCK_ROWS).alias("_parts"))
+    dealt = rows.join(sizes, _same(keys)).withColumn("_part", F.monotonically_increasing_id() % F.col("_parts")).select(*rows.columns, "_part")
+    samples = [f"{seed}:{k}:".encode() for k in range(n_resamples)]
+
+    def pack(table: pa.Table) -> pa.Table:
+        counts = np.zeros((len(table), n_resamples + n_resamples % 2), dtype=np.uint8)
+        for i, row in enumerate(table.column("_id").to_pylist() if n_resamples else []):
+            name = row.encode()
+            hashes = np.frombuffer(b"".join([hashlib.md5(s + name).digest() for s in samples]), dtype=">u4")[::4]
+            counts[i, :n_resamples] = np.searchsorted(POISSON, hashes.astype(np.int64), side="right")
+        columns = [table.column(c).to_numpy().astype(float).tobytes() for c in ("_value", "_x")] + [(counts[:, ::2] | counts[:, 1::2] << 4).tobytes()]
+        return pa.table([*[table.column(k).slice(0, 1) for k in keys], *[pa.array([c], pa.binary()) for c in columns]], names=[*keys, "_y", "_v", "_counts"])
+
+    schema = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys) + "_y binary, _v binary, _counts binary"
+    return written(dealt.repartition(tasks, *keys, "_part").groupBy(*keys, "_part").applyInArrow(pack, schema))
+
+
+def summed(blocks: DataFrame, live: DataFrame, keys: list[str], trend: bool) -> DataFrame:
+    """(keys..., k, _weight, _bad, _sums, _least, _most) of blocks under the parameters ``tried`` of ``live``: the sum of counts and that
+    of impossible values, and the negative log-likelihood, its gradient and the upper
+    triangle of its second derivatives, in order; the ends of the values. All in standard units."""
+    tried = live.groupBy(*keys).agg(F.first("unit").alias("_unit"), F.collect_list(F.struct("k", "tried")).alias("_tried")).select(*_keyed(keys), "_unit", "_tried")
+    term, power = _kinds(trend)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i in range(batch.num_rows):
+                y, v, counts, unit, tries = (batch.column(name)[i].as_py() for name in ("_y", "_v", "_counts", "_unit", "_tried"))
+                y = (np.frombuffer(y) - unit[0]) / unit[1]
+                v = (np.frombuffer(v) - unit[2]) / unit[3] if trend else np.zeros(len(y))
+                counts = np.frombuffer(counts, dtype=np.uint8).reshape(len(y), -1).T
+                for one in tries:
+                    k, t = one["k"], one["tried"]
+                    count = counts[k // 2] >> 4 * (k % 2) & 15 if k >= 0 else np.ones(len(y), dtype=np.uint8)
+                    held = np.flatnonzero(count)
+                    if not len(held):
+                        continue
+                    w, own, x = count[held].astype(float), y[held], v[held]
+                    good, terms = _terms(t[0], t[1] + t[2] * x if trend else t[1], t[3] + t[4] * x if trend else t[2], own)
+                    wg, x = w[good], x[good]
+                    sums = np.einsum("tm,pm->tp", terms, np.stack([wg, wg * x, wg * x * x] if trend else [wg]))
+                    at.append(i)
+                    found.append((k, w.sum(), w.sum() - wg.sum(), sums[term, power].tolist(), own.min(), own.max()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)] if found else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*[batch.column(name).take(pa.array(at, pa.int64())) for name in keys], *columns], names=[*keys, "k", *names])
+
+    types, names = [pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64()], ["_weight", "_bad", "_sums", "_least", "_most"]
+    schema = "".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}, " for k in keys) + "k int, _weight double, _bad double, _sums array<double>, _least double, _most double"
+    parts = blocks.join(tried, _same(keys)).select(*keys, "_y", "_v", "_counts", "_unit", "_tried").mapInArrow(run, schema)
+    whole = F.array(*[F.sum(F.col("_sums")[i]) for i in range(len(term))])
+    return parts.groupBy(*keys, "k").agg(F.sum("_weight").alias("_weight"), F.sum("_bad").alias("_bad"), whole.alias("_sums"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
 
 
 def _to_physical(t: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -197,19 +258,14 @@ def _within(t: np.ndarray, unit: np.ndarray, low: np.ndarray, high: np.ndarray,
     return bool((theta >= low + room * np.maximum(1, np.abs(theta))).all() and (theta <= high - room * np.maximum(1, np.abs(theta))).all())
 
 
-def _rounds(rows: DataFrame, states: DataFrame, keys: list[str], trend: bool, low: np.ndarray, high: np.ndarray, seed: int, most: int = ROUNDS, smallest: float = SMALLEST_STEP) -> DataFrame:
-    """States when all are done, or after ``most`` rounds; rows are read once a round."""
+def _rounds(blocks: DataFrame, states: DataFrame, keys: list[str], trend: bool, low: np.ndarray, high: np.ndarray, most: int = ROUNDS, smallest: float = SMALLEST_STEP) -> DataFrame:
+    """States when all are done, or after ``most`` rounds; blocks are read once a round."""
     p, made = len(NAMES[trend]), [written(states)]
     for _ in range(most):
         going = made[-1].where("not done")
         if going.isEmpty():
             break
-        live = going.select(*_keyed(keys), "k", "unit", "tried")
-        met = rows.join(live, _same(keys)).withColumn("_w", F.when(F.col("k") < 0, 1).otherwise(resampled_count(seed, F.col("k"), F.col("_id")))).where("_w > 0")
-        met = met.withColumns({"_v": F.expr("(_x - unit[2]) / unit[3]" if trend else "0D"), "_y": F.expr("(_value - unit[0]) / unit[1]")})
-        at = {"_c": "tried[0]", "_mu": "tried[1] + tried[2] * _v", "_sigma": "tried[3] + tried[4] * _v"} if trend else {"_c": "tried[0]", "_mu": "tried[1]", "_sigma": "tried[2]"}
-        placed = met.select(*keys, "k", "_w", "_v", "_y", *[F.expr(sql).alias(name) for name, sql in at.items()])
-        made.append(written(_advanced(going, summed(placed, [*keys, "k"], trend), keys, p, low, high, smallest)))
+        made.append(written(_advanced(going, summed(blocks, going.select(*keys, "k", "unit", "tried"), keys, trend), keys, p, low, high, smallest)))
     out = written(reduce(DataFrame.unionByName, [m.where("done") for m in made[:-1]], made[-1]))
     dropped(*made)
     return out
@@ -252,8 +308,6 @@ def fit_by_sums(
     if n_resamples and not row:
         rows = numbered(rows, keys, ["_value", "_x"]).select(*keys, "_value", "_x", F.col("idx").cast("string").alias("_id"))
     rows = written(rows)
-    if n_resamples and rows.count() < FEW_ROWS:
-        rows = written(rows.repartition(df.sparkSession.sparkContext.defaultParallelism))
     spread = F.stddev_pop("_x") if trend else F.lit(1.0)
     slope = F.coalesce(F.try_divide(F.covar_pop("_value", "_x"), F.var_pop("_x")), F.lit(0.0)) if trend else F.lit(0.0)
     shares = F.percentile_approx("_value", [float(q) for q in _QUANTILES], 1000)
@@ -264,12 +318,14 @@ def fit_by_sums(
     good = units.where((F.col("_n") >= 4) & (F.col("unit")[1] > 0) & (F.col("unit")[3] > 0))
     blank = [F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("n"), F.array(*[F.lit(0.0)] * (1 + len(names) + len(names) * (len(names) + 1) // 2)).alias("held"), F.lit(1e-3).alias("damping"), F.lit(0).alias("tries"), F.lit(False).alias("done")]
     clipped = _started(good.select(*keys, F.lit(-1).alias("k"), "unit", "_q", "_slope"), trend, low, high)
-    own = _rounds(rows, clipped.select(*keys, "k", "unit", F.col("tried").alias("best"), "tried", *blank), keys, trend, low, high, seed)
+    blocks = _packed(rows, units, keys, n_resamples, seed)
+    own = _rounds(blocks, clipped.select(*keys, "k", "unit", F.col("tried").alias("best"), "tried", *blank), keys, trend, low, high)
     fits = own
     if n_resamples:
         k = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("k")
-        again = _rounds(rows, own.where("value is not null").select(*keys, k, "unit", "best", F.col("best").alias("tried"), *blank), keys, trend, low, high, seed, SAMPLE_ROUNDS, SAMPLE_STEP)
+        again = _rounds(blocks, own.where("value is not null").select(*keys, k, "unit", "best", F.col("best").alias("tried"), *blank), keys, trend, low, high, SAMPLE_ROUNDS, SAMPLE_STEP)
         fits = own.unionByName(again)
+    dropped(rows, blocks)
     made = fits.select(*keys, "k", "n", _physical(trend), (F.col("value") + F.col("n") * F.ln(F.col("unit")[1])).alias("nllf"), "value")
     made = made.select(*keys, "k", "n", *[F.when(F.col("value").isNotNull(), F.col("_theta")[i]).alias(name) for i, name in enumerate(names)], "nllf")
     rest = units.join(made.where("k < 0").select(*_keyed(keys), F.lit(True).alias("_fitted")), _same(keys), "left").where("_fitted is null")

@@ -138,3 +138,27 @@ def test_hops_recover_planted_trends(spark):
     assert 0 <= r["location_1"] <= 0.004 + 1e-9
     with pytest.raises(ValueError):
         gevfit.fit_gev(df, ["g"], bounds={"shape": (0, 1)})
+
+
+def test_rows_are_packed_once(spark, monkeypatch):
+    """Counts are drawn once and held beside the rows, whose blocks add up to the same fits, whatever their size and the keys."""
+    x = draws(-0.2, 10, 2, 120, 5)
+    df = frame(spark, {"a": (x, np.arange(120.0)), "b": (x[:50] + 1, np.arange(50.0))}).withColumn("g", F.when(F.col("g") == "a", "a"))
+    rows = df.select("g", F.col("value").alias("_value"), F.col("x").alias("_x"), F.col("i").cast("string").alias("_id"))
+    wanted = {(r["g"], r["value"], k): r["w"] for k in range(3) for r in df.withColumn("w", newton.resampled_count(2, F.lit(k), F.col("i"))).collect()}
+    fits = {}
+    for size in (17, 10_000):
+        monkeypatch.setattr(newton, "BLOCK_ROWS", size)
+        blocks = newton._packed(rows, rows.groupBy("g").agg(F.count("*").alias("_n")), ["g"], 3, 2).collect()
+        assert len(blocks) == (11 if size == 17 else 2)
+        got = {}
+        for b in blocks:
+            counts = np.frombuffer(b["_counts"], dtype=np.uint8).reshape(-1, 2)
+            for v, c in zip(np.frombuffer(b["_y"]), counts, strict=True):
+                got |= {(b["g"], v, k): c[k // 2] >> 4 * (k % 2) & 15 for k in range(3)}
+        assert got == wanted
+        fits[size] = newton.fit_by_sums(df, ["g"], covariate="x", n_resamples=3, row=["i"], seed=2).orderBy("g", "k").collect()
+    assert len(fits[17]) == 8
+    for a, b in zip(*fits.values(), strict=True):
+        assert a["n"] == b["n"]
+        np.testing.assert_allclose(list(a)[3:], list(b)[3:], rtol=1e-4, atol=1e-4)
