@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailcast.functions.gev import distinct_ranks
 from tailcast.functions.statistics import bca_ends, bca_interval
+from tailcast.tables import written
 
 
 def draw(seed: int, replicate: Column, position: Column) -> Column:
@@ -145,7 +147,8 @@ def statistic_interval(
     df: DataFrame, by: Sequence[str], statistic: Callable[[np.ndarray], float], value: str = "value", sample_size: int | None = None, n_resamples: int = 9999, level: float = 0.95, method: str = "percentile", seed: int = 0
 ) -> DataFrame:
     """(by..., statistic, ci_lower, ci_upper) of any function of a sample, a group at a time:
-    ``percentile``, or ``bca`` (bias-corrected and accelerated)."""
+    ``percentile``, or ``bca`` (bias-corrected and accelerated). A group is one task's work; ``quantile_interval``
+    and ``bca_interval_by_columns`` take groups of any size."""
     if method not in ("percentile", "bca") or not 0 < level < 1:
         raise ValueError("method is percentile or bca, the level within (0, 1)")
     keys = list(by)
@@ -217,3 +220,74 @@ def bca_interval_by_columns(df: DataFrame, by: Sequence[str], statistic: str | f
         return pd.DataFrame(rows, columns=["ci_lower", "ci_upper"], dtype=float)
 
     return joined.withColumn("_ends", ends("_all", "below", "acceleration")).select(*keys, "statistic", "below", "acceleration", *[F.nanvl(f"_ends.{c}", F.lit(None)).alias(c) for c in ("ci_lower", "ci_upper")])
+
+
+#: Places of a group's order are looked up by so many cells at most, in which they are compared with the values' places.
+_CELLS = 1_000_000
+
+
+def quantile_interval(df: DataFrame, by: Sequence[str], q: float, value: str = "value", sample_size: int | None = None, n_resamples: int = 9999, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(by..., statistic, ci_lower, ci_upper): the bias-corrected and accelerated interval of a quantile of groups of any size.
+
+    A quantile of a sample lies between two neighbours in the sample's order. The places of these in the order of the whole group are drawn at once, from
+    the distribution (of neighbouring order statistics of uniform draws) that they have in samples with replacement, so that a replicate costs the
+    same however large the group, and its two values are looked up by rank, as are those by which leaving out each value moves the
+    quantile. A group's ``n_resamples`` replicates are all that comes together. Missing values and NaN are left out;
+    groups without values have no statistic, those of one value no interval.
+    """
+    if not 0 < level < 1 or not 0 <= q <= 1:
+        raise ValueError("the level lies within (0, 1), the quantile within [0, 1]")
+    keys = list(by)
+    ranks = written(distinct_ranks(df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_x")), "_x", keys))
+
+    @F.pandas_udf("lo long, hi long, part double")
+    def places(n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        made = []
+        for size, replicate in zip(n.tolist(), k.tolist(), strict=True):
+            if replicate < -1:  # neighbours of the quantile of all values but one
+                at = min(max(int(q * (size - 2)), 0) - 2 - replicate, size - 1)
+                made.append((at, at, 0.0))
+                continue
+            m = size if replicate < 0 else sample_size or size
+            lo = int(q * (m - 1))
+            ends = (lo, min(lo + 1, m - 1))
+            if replicate >= 0:
+                rng = np.random.default_rng([seed, replicate])
+                first = rng.beta(lo + 1, m - lo)
+                second = first + (1 - first) * rng.beta(1, m - lo - 1) if lo + 1 < m else first
+                ends = (min(int(size * first), size - 1), min(int(size * second), size - 1))
+            made.append((*ends, q * (m - 1) - lo))
+        return pd.DataFrame(made, columns=["lo", "hi", "part"])
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        both = pdf.sort_values(["k", "_side"])
+        lo, hi, part = both["_x"].to_numpy(float)[::2], both["_x"].to_numpy(float)[1::2], both["part"].to_numpy(float)[::2]
+        found, n = lo + part * (hi - lo), int(pdf["_n"].iloc[0])
+        (x2, x1, x0, statistic), drawn = found[:4], found[4:]
+        out = {"statistic": statistic, "ci_lower": None, "ci_upper": None}
+        if n > 1:
+            at = int(q * (n - 2))
+            part = q * (n - 2) - at
+            without, times = np.array([x1 + part * (x2 - x1), x0 + part * (x2 - x0), x0 + part * (x1 - x0)]), np.array([at + 1, 1, n - at - 2])
+            d = (times * without).sum() / n - without
+            squares = (times * d**2).sum()
+            a = (times * d**3).sum() / (6 * squares**1.5) if squares > 1e-20 * (times * without**2).sum() else 0.0
+            out["ci_lower"], out["ci_upper"] = bca_ends(drawn, (drawn < statistic).mean(), a, level)
+        return pd.DataFrame([{k: pdf[f"_k{i}"].iloc[0] for i, k in enumerate(keys)} | out])
+
+    def same(prefix: str) -> Column:
+        return reduce(and_, [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)], F.lit(True))
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    wide = F.greatest(F.floor(F.col("_n") / _CELLS), F.lit(1))
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    sizes = ranks.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    wanted = sizes.select(*own, "_n", F.explode(F.sequence(F.lit(-4), F.lit(n_resamples - 1))).alias("k")).withColumn("_d", places("_n", "k"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("_side"), F.col(f"_d.{c}").alias("_at")) for i, c in enumerate(("lo", "hi"))])).alias("_e")
+    wanted = wanted.select(*names, "_n", "k", "_d.part", sides).select(*names, "_n", "k", "part", "_e.*").withColumn("_at_cell", F.floor(F.col("_at") / wide))
+    covered = ranks.select(*keys, "_x", "_before", "_m", F.explode(F.sequence(F.floor(F.col("_before") / wide), F.floor((F.col("_before") + F.col("_m") - 1) / wide))).alias("_cell"))
+    met = wanted.join(covered, same("_k") & (F.col("_at_cell") == F.col("_cell")) & (F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_m")))
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["statistic double", "ci_lower double", "ci_upper double"])
+    found = met.groupBy(*names).applyInPandas(ends, schema)
+    groups = df.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).distinct() if keys else df.sparkSession.range(1)
+    return groups.join(found, same("_g"), "left").select(*[F.col(f"_g{i}").alias(k) for i, k in enumerate(keys)], "statistic", "ci_lower", "ci_upper")

@@ -487,6 +487,28 @@ def test_corrected_intervals_by_columns(spark):
         resampling.bca_interval_by_columns(df, ["g"], "mode", ["i"])
 
 
+def test_intervals_of_quantiles_by_rank(spark, monkeypatch):
+    """As by drawing whole samples and leaving each value out; many more values cost no more draws; odd groups stay."""
+    rng = np.random.default_rng(2)
+    groups = {"odd": rng.gumbel(size=41), "even": rng.exponential(size=60), "ties": rng.integers(0, 4, 50).astype(float), None: rng.normal(size=80), "flat": np.full(12, 7.0), "one": np.array([2.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("one", None), ("odd", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    for cells, q, size in ((1_000_000, 0.5, None), (5, 0.6, 41)):
+        monkeypatch.setattr(resampling, "_CELLS", cells)
+        got = {r["g"]: r for r in resampling.quantile_interval(df, ["g"], q, sample_size=size, n_resamples=4000).collect()}
+        whole = {r["g"]: r for r in resampling.statistic_interval(df.where("g is null or g not in ('one', 'none')"), ["g"], lambda v: float(np.quantile(v, q)), sample_size=size, n_resamples=4000, method="bca").collect()}
+        assert set(got) == {*groups, "none"} and len(whole) == 5
+        for g, r in whole.items():
+            assert got[g]["statistic"] == pytest.approx(r["statistic"])
+            near = 0.15 * max(np.ptp(groups[g]), 1e-9) if g != "flat" else 1e-9
+            assert got[g]["ci_lower"] == pytest.approx(r["ci_lower"], abs=near) and got[g]["ci_upper"] == pytest.approx(r["ci_upper"], abs=near)
+        assert got["one"]["statistic"] == 2.0 and got["one"]["ci_lower"] is None and got["none"]["statistic"] is None
+    many = spark.range(2_000_000).select(F.lit("a").alias("g"), (F.col("id") % 1000).cast("double").alias("value"))
+    r = resampling.quantile_interval(many, ["g"], 0.5, n_resamples=999).first()
+    # the median's deviation is half the root of 2,000,000, in places of 2,000 to a value
+    assert r["statistic"] == 499.5 and 498.0 <= r["ci_lower"] <= r["ci_upper"] <= 501.0
+
+
 def test_functions_of_tables_drawn_together(spark):
     """Tables that share a dim are read at the same labels; one at a time or bundled; a table without the dims whole."""
     import pandas as pd
