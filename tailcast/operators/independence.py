@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailcast.operators.resampling import drawn_first
+from tailcast.tables import written
 
 
 def detrended(df: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Values less the ensemble mean's line over the starts, of each initial month and lead,
-    as it departs from the first start. Adds ``init_month``."""
-    d = df.withColumn("init_month", F.month("init_date")).withColumn("_x", F.unix_date(F.col("init_date").cast("date")).cast("double"))
+    as it departs from the first start. Adds ``init_month``. The table is written, to be worked out once."""
+    d = written(df).withColumn("init_month", F.month("init_date")).withColumn("_x", F.unix_date(F.col("init_date").cast("date")).cast("double"))
     keys = ["init_month", "lead_time", *by]
     means = d.groupBy(*keys, "_x").agg(F.avg(value).alias("_m"))
     lines = means.groupBy(*keys).agg(F.regr_slope("_m", "_x").alias("_slope"), F.min("_x").alias("_x0"))
@@ -32,9 +33,9 @@ def mean_correlation(df: DataFrame, by: Sequence[str], member: str = "ensemble",
 
     Members are ranked once. Where every member has all starts the mean over pairs is had
     from the sums of standardised ranks, with no pairs at all; other groups go by pairs of
-    members and the starts that both have.
+    members and the starts that both have. The values are written first, as each of these steps reads them.
     """
-    kept = df.where(F.col(value).isNotNull()).select(*by, member, along, value)
+    kept = written(df.where(F.col(value).isNotNull()).select(*by, member, along, value))
     shape = kept.groupBy(*by).agg(F.countDistinct(member).alias("_e"), F.countDistinct(along).alias("_i"), F.count("*").alias("_n"))
     sized = kept.join(shape, list(by)) if by else kept.crossJoin(F.broadcast(shape))
     whole = sized.where("_n = _e * _i and _e > 1")
@@ -85,6 +86,7 @@ def null_bounds(df: DataFrame, by: Sequence[str] = (), n_resamples: int = 100, l
     if not 0 < level < 1:
         raise ValueError("the level lies within (0, 1)")
     keys = ["init_month", *by]
+    df = written(df.select(*keys, "init_date", "lead_time", "ensemble", value))
     shape = df.groupBy(*keys).agg(F.countDistinct("init_date").alias("_i"), F.countDistinct("ensemble").alias("_e"))
     sized = df.where(F.col(value).isNotNull()).join(shape, keys).withColumn("_size", F.col("_i") * F.col("_e"))
     drawn = drawn_first(sized, keys, ["init_date", "lead_time", "ensemble"], "_size", n_resamples, seed)
@@ -108,7 +110,7 @@ def min_independent_lead(r: DataFrame, bounds: DataFrame, by: Sequence[str] = ()
 
 def run_tests(df: DataFrame, by: Sequence[str] = (), n_resamples: int = 100, level: float = 0.95, detrend: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Correlations by initial month and lead, null bounds and first independent leads."""
-    d = detrended(df, by) if detrend else df.withColumn("init_month", F.month("init_date"))
+    d = written(detrended(df, by) if detrend else df.withColumn("init_month", F.month("init_date")))
     r = mean_correlation(d, ["init_month", "lead_time", *by])
     bounds = null_bounds(d, by, n_resamples, level)
     return r, bounds, min_independent_lead(r, bounds, by)
