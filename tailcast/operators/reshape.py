@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailcast.tables import written
+
 #: How times are compared: to the year, month or day.
 ROUNDING = {"A": "YEAR", "Y": "YEAR", "M": "MONTH", "D": "DAY"}
 
 
 def to_init_lead(df: DataFrame, time: str = "time", by: Sequence[str] = (), init_date: str | None = None) -> DataFrame:
     """Adds ``lead_time``, 0 on in the order of time within ``by``, and ``init_date``, the
-    given one or the first time."""
-    w = Window.partitionBy(*by)
-    first = F.lit(init_date).cast("date") if init_date else F.min(F.col(time).cast("date")).over(w)
-    return df.withColumn("init_date", first).withColumn("lead_time", F.row_number().over(w.orderBy(time)) - 1)
+    given one or the first time.
+
+    Rows are dealt out by ranges of group and time that Spark samples, equal times by a hash of the row; what lies in
+    the ranges before is added up by range, so that no task holds a whole group.
+    """
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    tied = df.withColumn("_tie", F.xxhash64(*hashed))
+    dealt = written(tied.repartitionByRange(ranges, *by, time, "_tie").withColumn("_slot", F.spark_partition_id()))
+    group = Window.partitionBy(*by)
+    sums = dealt.groupBy(*by, "_slot").agg(F.count("*").alias("_c"), F.min(F.col(time).cast("date")).alias("_least"))
+    lower = F.coalesce(F.sum("_c").over(group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lower")
+    sums = sums.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slot").alias("_of"), lower, F.min("_least").over(group).alias("_least"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_slot") == F.col("_of"))
+    placed = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_slot").orderBy(time, "_tie"))).join(sums, same)
+    first = F.lit(init_date).cast("date") if init_date else F.col("_least")
+    kept = [F.col(c) for c in df.columns if c not in ("init_date", "lead_time")]
+    return placed.select(*kept, first.alias("init_date"), (F.col("_lower") + F.col("_in") - 1).cast("int").alias("lead_time"))
 
 
 def time_to_lead(df: DataFrame, time: str = "time", init: str = "init_date", by: Sequence[str] = (), value: str = "value") -> DataFrame:

@@ -271,6 +271,37 @@ def test_permutation_is_one(daily):
     assert sorted(r["pos"] for r in rows) == list(range(731)) and [r["value"] for r in sorted(rows, key=lambda r: r["pos"])] != sorted(r["value"] for r in rows)
 
 
+def test_independence_reads_its_source_once(spark):
+    """Each test read the cube anew, with all that it is made of."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rng = np.random.default_rng(3)
+    rows = [(date(1990 + i, 1, 1), e, lead, float(v)) for i in range(6) for e in range(3) for lead, v in enumerate(rng.normal(size=2))]
+    df = spark.createDataFrame(rows, "init_date date, ensemble int, lead_time int, value double")
+    r, bounds, least = independence.run_tests(df.mapInPandas(counted, df.schema), n_resamples=5)
+    assert r.count() == 2 and bounds.count() == 1 and least.count() == 1
+    assert read.value == len(rows)
+
+
+def test_leads_are_numbered_by_ranges(spark):
+    """No task holds a group: with all rows in one group, equal times too, the rows to be numbered are dealt out evenly."""
+    df = spark.range(4000).select((F.col("id") % 2).cast("int").alias("e"), F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).cast("timestamp").alias("time"), "id").unionByName(spark.sql("select cast(null as int) e, timestamp'2000-01-01' time, 9999L id"))
+    out = reshape.to_init_lead(df, by=["e"])
+    rows = out.orderBy("e", "lead_time").collect()
+    for e, n in ((0, 2000), (1, 2000), (None, 1)):
+        own = [r for r in rows if r["e"] == e]
+        assert [r["lead_time"] for r in own] == list(range(n)) and [r["time"] for r in own] == sorted(r["time"] for r in own)
+        assert {r["init_date"] for r in own} == {min(r["time"] for r in own).date()}
+    files = out.inputFiles()
+    sizes = [r["count"] for r in spark.read.parquet(*files).groupBy("_slot").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 4001 / 4
+
+
 def test_intervals(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([("g", float(v)) for v in rng.normal(size=200)], "g string, value double")
