@@ -60,8 +60,9 @@ def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", confid
 
     FP-growth runs over the blocked URLs' frequent tokens; how often combinations are found among all is
     counted through the index that matches rules. Tokens that the same URLs have are one item, named by
-    all of them in a rule, and a URL has at most ``widest`` items in the mining (those of the largest share
-    blocked), so that the combinations of a URL are bounded, whatever its length. A URL with
+    all of them in a rule. A URL of more than ``widest`` items is mined as several baskets of that many, such that any ``longest``
+    items are together in one, so that no basket has more combinations, whatever the URL's length, and none is left out;
+    what it adds to a combination's support is corrected by that count. A URL with
     different labels counts as blocked if most of them are; equal URLs count once.
     """
     spark = labelled.sparkSession
@@ -77,12 +78,13 @@ def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", confid
     items = counted.where(F.col("bad") >= least).groupBy("urls", "n", "bad").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("tokens"))
     items = saved(items.select("item", "tokens", "n", (F.col("bad") / F.col("n")).alias("share")))
     each = known.where("blocked").select("id", F.explode("tokens").alias("item")).join(small_side(items.select("item", "share")), "item")
-    baskets = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("share", "item")), asc=False).alias("i")).select(F.slice("i", 1, widest)["item"].alias("items"))
-    baskets = saved(baskets)
+    baskets = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("share", "item")), asc=False).alias("i")).select(F.col("i")["item"].alias("items"))
+    whole = saved(baskets)
+    baskets = saved(_baskets(whole, widest, longest))
     urls = baskets.count()
     if urls < least:
         return empty
-    # half a URL less, so that rounding up a share of all gives the count
+    # half a basket less, so that rounding up a share of all gives the count
     found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / urls, minConfidence=1.0).fit(baskets).freqItemsets
     sets = saved(found.where(F.size("items") <= longest).select(F.array_sort("items").alias("items")))
     rare = sets.select(F.monotonically_increasing_id().alias("set"), "items")
@@ -95,10 +97,21 @@ def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked", confid
     within = good.select("set", "confidence", F.explode(_parts(F.col("parts"), longest)).alias("parts"))
     covered = within.alias("x").join(good.alias("y"), (F.col("x.parts") == F.col("y.parts")) & (F.col("y.confidence") >= F.col("x.confidence"))).select(F.col("x.set").alias("set")).distinct()
     rules = saved(good.join(covered, "set", "left_anti").select(F.xxhash64("items").alias("rule"), "token", "items", "blocked", "urls", "confidence"))
-    discard(known, items, baskets, sets, rare, index, good)
+    discard(known, items, whole, baskets, sets, rare, index, good)
     return rules
 
 
+def _baskets(whole: DataFrame, widest: int, longest: int) -> DataFrame:
+    """(items) of at most ``widest`` (``longest`` at least): those of more items are dealt into blocks, and each choice of ``longest`` blocks is a basket."""
+    each = max(1, widest // longest)
+    n = F.ceil(F.size("items") / each).cast("int")
+    chosen = whole.where(F.size("items") > max(widest, longest)).select("items", n.alias("n"), F.lit(-1).alias("last"), F.array().cast("array<string>").alias("basket"))
+    for still in range(longest - 1, -1, -1):
+        chosen = chosen.withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.col("n") - 1 - still)))
+        chosen = chosen.withColumn("basket", F.concat("basket", F.slice("items", F.col("last") * each + 1, F.lit(each))))
+    return whole.where(F.size("items") <= max(widest, longest)).select("items").union(chosen.select("basket"))
+
+
 def _parts(items: Column, longest: int) -> Column:
     """All non-empty true subsets of a sorted array of at most ``longest`` items."""
     masks = F.array([F.lit(m) for m in range(1, (1 << longest) - 1)])

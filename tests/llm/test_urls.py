@@ -131,3 +131,19 @@ def test_labels_of_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com/de/5"), (2, "http://a.org/en/6"), (3, "http://a.net/en/7.html"), (4, "http://a.net/en/8"), (5, None)], "page_id long, url string")
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 1), (7, 1, 1), (9, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert {tuple(r) for r in queries.labelled_urls(pages, labels).collect()} == {("http://a.com/de/5", True), ("http://a.org/en/6", False), ("http://a.net/en/7.html", True)}
+
+
+def test_long_urls_are_mined_whole(spark):
+    """A rule of the tokens of the smallest share, beyond the most that a basket holds, is found too."""
+    rng = random.Random(4)
+    seen = {}
+    for k in range(260):
+        words = [w for w in "abcdefgh" if rng.random() < 0.6]
+        seen[f"http://x.net/{'/'.join(words)}/{k}"] = rng.random() < (0.97 if {"b", "g", "h"} <= set(words) else 0.25)
+    df = spark.createDataFrame(list(seen.items()), "url string, blocked boolean")
+    held = [(frozenset(r["t"]), r["blocked"]) for r in df.select(urls.tokens(df["url"]).alias("t"), "blocked").collect()]
+    want = brute_rules(held)
+    assert any(len(r) >= 3 for r in want)
+    for widest in (3, 5, 12):
+        got = {frozenset(r["items"]): (r["blocked"], r["urls"]) for r in urls.mine(df, widest=widest).collect()}
+        assert got == {r: v[1:] for r, v in want.items()}, widest
