@@ -44,8 +44,6 @@ _STEP = 1_000_000
 SMALL = 32
 #: Characters of a run by which lines of a larger key share an edit.
 _RUN = 7
-#: Share of the smaller one's runs that two lines have in common there; by edits alone it is half.
-_COMMON = 1 / 3
 _ATTR = "struct<n: int, sim: long>"
 
 #: Numbers of blocks that lines may have, each about 1.4 times the one before.
@@ -269,15 +267,15 @@ def _ids(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[::2], both[1::2]
 
 
-def across_components(placed: DataFrame, lines: DataFrame, feasible: Callable[[Column, Column], Column]) -> DataFrame:
+def across_components(placed: DataFrame, lines: DataFrame, feasible: Callable[[Column, Column], Column], least: float | None = None) -> DataFrame:
     """Pairs (a, b) of (key, id, attr, component, hub) of keys with one hub in different components that
-    may be similar, by (id, line) of them and the hubs.
+    may be similar, by (id, line) of them and the hubs. None of a similarity of ``least`` is left out; without it
+    only lines that share a third of the smaller one's edits are found.
 
-    Edits at different places add up: where two lines share no edit of their hub, each is
-    as near to the hub as to the other, and what is similar is in one component by now; one that isn't linked
-    with the hub shares half of the other's edits with it. So lines are joined by runs of ``_RUN`` characters
-    that the hub lacks, of which they must share ``_COMMON``. What makes the lines of a key
-    alike is in the hub too.
+    An edit changes ``_RUN`` runs of as many characters at most. Of the runs that the hub lacks, a similar line lacks no more than
+    the edits allow; the rest (``need``) it has, and the hub lacks them there too. So lines are joined by these runs, and must share as
+    many as either needs. Lines that need none are near the hub, nearly all of them linked with it: those
+    of other components are held against all that need none.
     """
     # keys of one hub share most of their lines, so each line is held against the hub once
     once = placed.groupBy("hub", "id").agg(F.first("attr").alias("attr"), F.first("component").alias("component"))
@@ -285,17 +283,31 @@ def across_components(placed: DataFrame, lines: DataFrame, feasible: Callable[[C
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = []
+            found, need = [], []
             for x, hub in zip(rows.column("line").to_pylist(), rows.column("hub_line").to_pylist(), strict=True):
                 own, other = ({t[i : i + _RUN] for i in range(max(len(t) - _RUN, 0) + 1)} for t in (x, hub))
                 found.append([xxhash.xxh3_64_intdigest(r.encode()) - (1 << 63) for r in own - other])
-            yield pa.RecordBatch.from_arrays([*rows.drop_columns(["line", "hub_line"]).columns, pa.array(found, pa.list_(pa.int64()))], names=[*rows.schema.names[:-2], "edits"])
+                # the longer of two similar lines has at most len(x) / least characters
+                need.append(max(0, len(found[-1]) - _RUN * int((1 - least) * len(x) / least + 1e-6)) if least else -(-len(found[-1]) // 3))
+            columns = [*rows.drop_columns(["line", "hub_line"]).columns, pa.array(found, pa.list_(pa.int64())), pa.array(need, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names[:-2], "edits", "need"])
 
-    edits = saved(both.mapInArrow(run, f"hub long, id long, attr {_ATTR}, component long, edits array<long>").select("hub", "id", "attr", "component", F.size("edits").alias("n"), F.explode("edits").alias("edit")))
+    held = saved(both.mapInArrow(run, f"hub long, id long, attr {_ATTR}, component long, edits array<long>, need int"))
+    edits = held.select("hub", "id", "attr", "component", "need", F.explode("edits").alias("edit"))
     x, y = edits.alias("x"), edits.alias("y")
-    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.edit") == F.col("y.edit")) & (F.col("x.component") < F.col("y.component")) & feasible(F.col("x.attr"), F.col("y.attr")))
-    shared = met.groupBy("x.hub", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.n", "y.n").alias("least")).count()
-    return shared.where(F.col("count") >= _COMMON * F.col("least")).select("a", "b").distinct()
+    apart = F.col("x.component") < F.col("y.component")
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.edit") == F.col("y.edit")) & apart & ((F.col("x.need") > 0) | (F.col("y.need") > 0)) & feasible(F.col("x.attr"), F.col("y.attr")))
+    shared = met.groupBy("x.hub", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (F.greatest if least else F.least)("x.need", "y.need").alias("need")).count()
+    found = shared.where(F.col("count") >= F.col("need")).select("a", "b")
+    if least is None:
+        return found.distinct()
+    close = held.where("need = 0").select("hub", "id", "attr", "component")
+    own = held.where("id = hub").select("hub", F.col("component").alias("hubs"))
+    rest = close.join(own, "hub", "left").where(~F.col("component").eqNullSafe(F.col("hubs"))).drop("hubs").alias("x")
+    y = close.alias("y")
+    beside = rest.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.component") != F.col("y.component")) & feasible(F.col("x.attr"), F.col("y.attr")))
+    beside = beside.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return found.union(beside).distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
@@ -358,7 +370,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
         return both.mapInArrow(run, "a long, b long")
 
-    linked = link(members, near, verified, lambda placed: across_components(placed, text, near), SMALL)
+    linked = link(members, near, verified, lambda placed: across_components(placed, text, near, similarity), SMALL)
     # a line that is linked with no other is named by all 128 bits, so that no unequal lines share a name
     placed = nodes.join(linked, "id", "left").select("id", "check", F.coalesce("component", "id").alias("group"), F.when(F.col("component").isNull(), F.col("check")).alias("rest"), "first", "n")
     groups = placed.groupBy("group", "rest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("group", F.col("rest").alias("other"), "first")

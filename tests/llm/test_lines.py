@@ -198,6 +198,31 @@ def test_large_buckets(spark, monkeypatch):
         assert got <= want and len(got) >= 0.9 * len(want) > 60, small
 
 
+def test_no_similar_pair_is_left_out_across_components(spark):
+    """All similar pairs of a key, whatever the number of its members: edits side by side, moved and left out words, short lines."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    made = []
+    for hub in (words[:40], words[40:46]):
+        whole = " ".join(hub)
+        made.append([whole])
+        for _ in range(45):
+            w = list(hub)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(3)] = rng.choice([[], [rng.choice(words[:8])], [w[at][:-1] + "x"], [w[at - 1]]])
+                w = w or ["x"]
+            made[-1].append(" ".join(w))
+    rows = [(100 * g + i, x, 100 * g) for g, group in enumerate(made) for i, x in enumerate(dict.fromkeys(group))]
+    df = spark.createDataFrame(rows, "id long, line string, hub long")
+    placed = df.select(F.col("hub").alias("key"), "id", F.struct(F.length("line").alias("n"), F.lit(0).cast("long").alias("sim")).alias("attr"), F.col("id").alias("component"), "hub")
+    got = {(r["a"], r["b"]) for r in lines.across_components(placed, df.select("id", "line"), lambda x, y: F.lit(True), 0.9).collect()}
+    want = {(a, b) for a, x, g in rows for b, y, h in rows if g == h and a < b and lines.similar(x, y, 0.9)}
+    assert len(want) > 100 and not want - got
+    # and not simply all
+    assert len(got) < sum(g == h and a < b for a, _, g in rows for b, _, h in rows)
+
+
 def test_odd_rows(spark):
     t = "this line is long enough to count\nother"
     rows = [(1, t, "x", [1], "r"), (1, t, "x", [1], "r"), (None, t, "x", [1], None), (None, None, None, None, None)]
