@@ -17,12 +17,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailcast.llm.buckets import link, shared_only
-from tailcast.llm.common import added_names, discard, id_bitmap, in_bitmap, mix, saved, steps, word_hashes
+from tailcast.llm.common import added_names, discard, id_bitmap, in_bitmap, mix, saved, small_side, steps, word_hashes
 
 #: Edit similarity (1 less distance by longer length) that linked lines have at least.
 SIMILAR = 0.9
@@ -42,7 +43,9 @@ BITS = 26
 _STEP = 1_000_000
 #: Members of different components up to which a key's pairs are compared as they are.
 SMALL = 32
-#: Characters of a run by which lines of a larger key share an edit.
+#: Lines, and characters, of the blocks in which lines of larger keys are compared, about; pairs compared at a time.
+_BLOCK, _BLOCK_CHARS, _PAIRS = 256, 1 << 20, 1 << 14
+#: Characters of a run by which lines share an edit.
 _RUN = 7
 _ATTR = "struct<n: int, sim: long>"
 
@@ -166,8 +169,8 @@ def _keyed(lines: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarra
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance, bit-parallel over one text as a whole number; common ends are
-    taken off first. With ``most`` any larger distance may be told as ``most + 1``, as soon as it is sure."""
+    """Levenshtein distance, bit-parallel over the band of diagonals that ``most`` edits can reach (Hyyrö), as a whole
+    number; common ends are taken off first. A distance of more than ``most`` may be told as ``most + 1``, as soon as it is sure."""
     if len(a) < len(b):
         a, b = b, a
     most = len(a) if most is None else most
@@ -185,26 +188,32 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
         few = _few_edits(a, b, min(most, _FEW_EDITS))
         if few <= min(most, _FEW_EDITS) or most <= _FEW_EDITS:
             return few
-    where: dict[str, int] = {}
-    for i, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << i
-    whole, top = (1 << len(b)) - 1, 1 << len(b) - 1
-    up, down, distance, left = whole, 0, len(b), len(a)
-    for x in a:
-        same = where.get(x, 0)
-        flat = (((same & up) + up) ^ up) | same | down
-        rise, fall = down | ~(flat | up) & whole, up & flat
-        distance += bool(rise & top) - bool(fall & top)
-        left -= 1
-        if distance - left > most:  # what is left can take away one each
-            return most + 1
-        rise = (rise << 1 | 1) & whole
-        up, down = (fall << 1 & whole) | ~(flat | rise) & whole, rise & flat
+    # ``most`` edits lead no farther from the corner's diagonal than this, on either side of both corners'
+    beyond = (most - len(a) + len(b)) // 2
+    width = len(a) - len(b) + 2 * beyond + 1
+    whole, corner, distance = (1 << width) - 1, 1 << width - 1 - beyond, len(a) - len(b)
+    up, down = whole >> beyond << beyond, 0
+    step = max(width, 1024)
+    for start in range(0, len(b), step):
+        where: dict[str, int] = {}
+        first = max(start - beyond, 0)
+        for i, x in enumerate(a[first : start - beyond + width + step], first - start + beyond):
+            where[x] = where.get(x, 0) | 1 << i
+        for i, x in enumerate(b[start : start + step]):
+            same = where.get(x, 0) >> i & whole
+            flat = ((((same & up) + up) ^ up) | same | down) & whole
+            if not flat & corner:
+                distance += 1
+                if distance > most:  # it never falls along a diagonal
+                    return most + 1
+            rise, fall = down | ~(flat | up) & whole, flat & up
+            flat >>= 1
+            up, down = fall | ~(flat | rise) & whole, flat & rise
     return distance
 
 
 #: Characters from which on a pair is first tried by its runs and by few edits.
-_LONG_LINE, _FEW_EDITS = 2_000, 300
+_LONG_LINE, _FEW_EDITS = 100_000, 300
 
 
 def _unlike(a: str, b: str, most: int) -> bool:
@@ -249,6 +258,78 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+#: Words of 64 diagonals up to which pairs are compared together, pairs from which on that takes less time than one by one,
+#: and bytes of such a set's windows.
+_BAND_WORDS, _TOGETHER, _WINDOWS = 8, 48, 1 << 17
+
+
+def similar_all(xs: list[str], ys: list[str], least: float) -> np.ndarray:
+    """``similar`` of each pair: those with bands of like width together, a step of all at a time."""
+    pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(xs, ys, strict=True)]
+    longer, shorter = (np.array([len(p[k]) for p in pairs], dtype=np.int64) for k in (0, 1))
+    most = (longer - least * longer + 1e-9).astype(np.int64)
+    good, words = np.zeros(len(pairs), dtype=bool), most // 64 + 1
+    words[longer - shorter > most] = 0
+    for n in np.unique(words[words > 0]).tolist():
+        at = np.flatnonzero(words == n)
+        at = at[np.argsort(shorter[at], kind="stable")]
+        size = max(_TOGETHER, _WINDOWS // (64 * n))
+        for part in np.split(at, range(size, len(at), size)):
+            if n <= _BAND_WORDS and len(part) >= _TOGETHER:
+                good[part] = _within([pairs[i][0] for i in part], [pairs[i][1] for i in part], most[part], n)
+            else:
+                good[part] = [edit_distance(*pairs[i], k) <= k for i, k in zip(part.tolist(), most[part].tolist(), strict=True)]
+    return good
+
+
+def _within(a: list[str], b: list[str], most: np.ndarray, words: int) -> np.ndarray:
+    """Whether texts ``a`` are within ``most`` edits of ``b``, none of which is longer: the steps of ``edit_distance`` over bands
+    of ``words`` 64-bit words for all pairs at once. Pairs that have passed their bound or their end are left out from time to time."""
+    size, end = (np.array([len(x) for x in t], dtype=np.int64) for t in (a, b))
+    codes = [np.frombuffer("".join(t).encode("utf-32-le"), dtype=np.uint32) for t in (a, b)]
+    none = max(int(x.max(initial=0)) for x in codes) + 1
+    distance, beyond, wide = size - end, (most - size + end) // 2, 64 * words
+    corner = distance + beyond
+    # a's characters where the window of step i begins at i; b's by steps
+    x = np.full((len(a), int(end.max(initial=0)) + wide), none, dtype=np.min_scalar_type(none))
+    y = np.full((int(end.max(initial=0)), len(a)), none, dtype=x.dtype)
+    for table, code, n, first in ((x, codes[0], size, beyond), (y.T, codes[1], end, 0 * beyond)):
+        table[np.repeat(np.arange(len(n)), n), np.arange(len(code)) - np.repeat(np.cumsum(n) - n - first, n)] = code
+    low = beyond - 64 * np.arange(words)[:, None]
+    up = np.where(low < 64, ~np.uint64(0) << np.clip(low, 0, 63).astype(np.uint64), np.uint64(0))
+    down, one = np.zeros_like(up), np.uint64(1)
+    out, at = np.zeros(len(a), dtype=bool), np.arange(len(a))
+    for i in range(len(y)):
+        if i % 16 == 0:
+            on = (end > i) & (distance <= most)
+            if on.sum() <= 0.8 * len(on):
+                out[at] = distance <= most
+                at, end, most, distance, corner, x, y, up, down = at[on], end[on], most[on], distance[on], corner[on], x[on], y[:, on], up[:, on], down[:, on]
+                if not len(at):
+                    return out
+            if i == 0 or len(at) != len(nth):
+                nth, word, bit = np.arange(len(at)), corner // 64, (corner % 64).astype(np.uint64)
+                window = np.empty((len(at), wide), dtype=bool)
+        np.equal(x[:, i : i + wide], y[i][:, None], out=window)
+        same = np.packbits(window.reshape(-1), bitorder="little").view(np.uint64).reshape(-1, words).T
+        added, carry = same & up, None
+        for k in range(words):
+            total = added[k] + up[k]
+            over = total < up[k]
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            added[k], carry = total, over.astype(np.uint64)
+        flat = (added ^ up) | same | down
+        distance += ((flat[word, nth] >> bit & one) == 0) & (end > i)
+        rise, fall = down | ~(flat | up), flat & up
+        after = flat >> one
+        after[:-1] |= flat[1:] << np.uint64(63)
+        up, down = fall | ~(after | rise), after & rise
+    out[at] = distance <= most
+    return out
+
+
 def _lines(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple[list, list[int], list[bytes]]]:
     """Ids, line numbers and normalised lines of ``least`` bytes or more."""
     for rows, texts in steps(batches, "text", _STEP):
@@ -268,46 +349,64 @@ def _ids(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def across_components(placed: DataFrame, lines: DataFrame, feasible: Callable[[Column, Column], Column], least: float | None = None) -> DataFrame:
-    """Pairs (a, b) of (key, id, attr, component, hub) of keys with one hub in different components that
-    may be similar, by (id, line) of them and the hubs. None of a similarity of ``least`` is left out; without it
-    only lines that share a third of the smaller one's edits are found.
-
-    An edit changes ``_RUN`` runs of as many characters at most. Of the runs that the hub lacks, a similar line lacks no more than
-    the edits allow; the rest (``need``) it has, and the hub lacks them there too. So lines are joined by these runs, and must share as
-    many as either needs. Lines that need none are near the hub, nearly all of them linked with it: those
-    of other components are held against all that need none.
-    """
-    # keys of one hub share most of their lines, so each line is held against the hub once
-    once = placed.groupBy("hub", "id").agg(F.first("attr").alias("attr"), F.first("component").alias("component"))
-    both = once.join(lines, "id").join(lines.select(F.col("id").alias("hub"), F.col("line").alias("hub_line")), "hub").select("hub", "id", "attr", "component", "line", "hub_line")
+    """Pairs (a, b) of (key, id, attr, component, hub) of keys with one hub in different components, by (id, line) of
+    them and the hubs: all those of a similarity of ``least``; without it those that share a third of the smaller one's edits of the hub."""
+    # keys of one hub share most of their lines, so each line is met under the hub once
+    once = placed.groupBy("hub", "id").agg(F.first("attr").alias("attr"), F.first("component").alias("component")).join(lines, "id")
+    if least is not None:
+        return _by_blocks(once.drop("attr"), least)
+    both = once.join(lines.select(F.col("id").alias("hub"), F.col("line").alias("hub_line")), "hub").select("hub", "id", "attr", "component", "line", "hub_line")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found, need = [], []
+            found = []
             for x, hub in zip(rows.column("line").to_pylist(), rows.column("hub_line").to_pylist(), strict=True):
                 own, other = ({t[i : i + _RUN] for i in range(max(len(t) - _RUN, 0) + 1)} for t in (x, hub))
                 found.append([xxhash.xxh3_64_intdigest(r.encode()) - (1 << 63) for r in own - other])
-                # the longer of two similar lines has at most len(x) / least characters
-                need.append(max(0, len(found[-1]) - _RUN * int((1 - least) * len(x) / least + 1e-6)) if least else -(-len(found[-1]) // 3))
+            need = [-(-len(x) // 3) for x in found]
             columns = [*rows.drop_columns(["line", "hub_line"]).columns, pa.array(found, pa.list_(pa.int64())), pa.array(need, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names[:-2], "edits", "need"])
 
     held = saved(both.mapInArrow(run, f"hub long, id long, attr {_ATTR}, component long, edits array<long>, need int"))
     edits = held.select("hub", "id", "attr", "component", "need", F.explode("edits").alias("edit"))
     x, y = edits.alias("x"), edits.alias("y")
-    apart = F.col("x.component") < F.col("y.component")
-    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.edit") == F.col("y.edit")) & apart & ((F.col("x.need") > 0) | (F.col("y.need") > 0)) & feasible(F.col("x.attr"), F.col("y.attr")))
-    shared = met.groupBy("x.hub", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (F.greatest if least else F.least)("x.need", "y.need").alias("need")).count()
-    found = shared.where(F.col("count") >= F.col("need")).select("a", "b")
-    if least is None:
-        return found.distinct()
-    close = held.where("need = 0").select("hub", "id", "attr", "component")
-    own = held.where("id = hub").select("hub", F.col("component").alias("hubs"))
-    rest = close.join(own, "hub", "left").where(~F.col("component").eqNullSafe(F.col("hubs"))).drop("hubs").alias("x")
-    y = close.alias("y")
-    beside = rest.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.component") != F.col("y.component")) & feasible(F.col("x.attr"), F.col("y.attr")))
-    beside = beside.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    return found.union(beside).distinct()
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.edit") == F.col("y.edit")) & (F.col("x.component") < F.col("y.component")) & feasible(F.col("x.attr"), F.col("y.attr")))
+    shared = met.groupBy("x.hub", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.need", "y.need").alias("need")).count()
+    return shared.where(F.col("count") >= F.col("need")).select("a", "b").distinct()
+
+
+def _by_blocks(held: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of (hub, id, component, line) with one hub, in different components, of a similarity of ``least``.
+
+    Lines that are in their hub's largest component already meet only those that aren't. A hub's lines are dealt
+    into blocks of about ``_BLOCK``, and each two blocks, one of lines of the other components and one of all, are a group: no
+    row is made for a pair that isn't similar, and no group outgrows a task, however many lines the hub has."""
+    sizes = held.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    hubs = sizes.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("core"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    blocks = F.ceil(F.greatest(F.col("n") / _BLOCK, F.col("chars") / _BLOCK_CHARS))
+    hubs = saved(hubs.select("hub", F.col("core.component").alias("core"), blocks.alias("blocks"), F.greatest(F.lit(1), F.ceil((1 - F.col("core.n") / F.col("n")) * blocks)).alias("rests")))
+    spread = F.xxhash64("id")
+    dealt = held.join(small_side(hubs), "hub").select("hub", "id", "component", "line", (F.col("component") != F.col("core")).alias("rest"), "blocks", "rests", spread.alias("spread"))
+    all_, rest = F.pmod("spread", "blocks"), F.pmod(F.shiftright("spread", 20), F.col("rests"))
+    own = ["id", "component", "line", "rest"]
+    first = dealt.where("rest").select("hub", rest.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(True).alias("first"), *own)
+    second = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("x"), all_.alias("y"), F.lit(False).alias("first"), *own)
+
+    def run(rows: pa.Table) -> pa.Table:
+        sides = [rows.filter(m) for m in (rows.column("first"), pc.invert(rows.column("first")))]
+        (i, c, n, _), (j, d, m, rest) = ((t.column("id").to_numpy(), t.column("component").to_numpy(), pc.utf8_length(t.column("line")).to_numpy(), t.column("rest").to_numpy()) for t in sides)
+        # of two lines that both are of the rest each is on both sides
+        meet = (c[:, None] != d) & (~rest | (i[:, None] < j)) & (np.minimum(n[:, None], m) >= least * np.maximum(n[:, None], m) - 1e-9)
+        x, y = np.nonzero(meet)
+        first, second = (t.column("line").to_pylist() for t in sides)
+        good = [np.zeros(0, dtype=bool)]
+        for at in range(0, len(x), _PAIRS):
+            good.append(similar_all([first[k] for k in x[at : at + _PAIRS]], [second[k] for k in y[at : at + _PAIRS]], least))
+        good = np.concatenate(good)
+        a, b = i[x[good]], j[y[good]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return first.union(second).groupBy("hub", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
@@ -333,10 +432,9 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "id", "check", "attr", "keys"])
 
     read = saved(docs.mapInArrow(hashed, f"doc_id long, line int, id long, check long, attr {_ATTR}, keys array<long>"))
-    seen = saved(read.select("doc_id", "line", "id", "check"))
+    seen = read.select("doc_id", "line", "id", "check")
     at = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")).alias("first")
-    nodes = saved(read.groupBy("id", "check").agg(F.first("attr", ignorenulls=True).alias("attr"), F.first("keys", ignorenulls=True).alias("keys"), at, F.count("*").alias("n")))
-    discard(read)
+    nodes = saved(read.groupBy("id", "check").agg(at, F.count("*").alias("n")))
 
     def could(lo: Column, hi: Column, few: Column, apart: Column) -> Column:
         return (lo >= similarity * hi - 1e-9) & (few | (F.bit_count(apart) <= BITS))
@@ -346,7 +444,23 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
     n, sim = F.col("attr.n"), F.col("attr.sim")
     pair = could(F.min(n), F.max(n), F.bool_or(sim == 0), F.bit_xor(sim))
-    members = shared_only(nodes.select(F.explode("keys").alias("key"), "id"), nodes.select("id", "attr"), pair)
+    # a line that is read in several steps has its keys several times, so keys count by the lines that they differ in
+    keys = read.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    keys = saved(keys.where("lo != hi").select("key"))
+    several = id_bitmap(keys.select(F.col("key").alias("id")))
+
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found, attr = rows.column("keys"), rows.column("attr")
+            key = found.flatten().to_numpy()
+            on = np.flatnonzero(in_bitmap(several.value, key))
+            row = np.repeat(np.arange(len(rows)), found.value_lengths().to_numpy())[on]
+            columns = [pa.array(key[on]), *(x.take(pa.array(row)) for x in (rows.column("id"), attr.field("n"), attr.field("sim")))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "sim"])
+
+    held = read.where("size(keys) > 0").select("id", "attr", "keys").mapInArrow(keyed, "key long, id long, n int, sim long")
+    held = saved(held.join(keys, "key", "left_semi").distinct())
+    members = shared_only(held.select("key", "id"), held.select("id", "n", "sim").distinct().select("id", F.struct("n", "sim").alias("attr")), pair)
 
     wanted = saved(members.select("id").distinct())
     bitmap = id_bitmap(wanted)
@@ -365,8 +479,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                good = [similar(x, y, similarity) for x, y in zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True)]
-                yield rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                good = similar_all(rows.column("x").to_pylist(), rows.column("y").to_pylist(), similarity)
+                yield rows.select(["a", "b"]).filter(pa.array(good))
 
         return both.mapInArrow(run, "a long, b long")
 
@@ -377,7 +491,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     named = placed.select("id", "check", "group", "rest").join(groups, "group").where(F.col("rest").eqNullSafe(F.col("other"))).select("id", "check", "first")
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))
     gone = saved(seen.join(named, ["id", "check"]).where(later).groupBy("doc_id").agg(F.collect_set("line").alias("removed")))
-    discard(seen, nodes, members, wanted, text, linked)
+    discard(read, nodes, keys, held, members, wanted, text, linked)
     return gone
 
 

@@ -272,3 +272,33 @@ def test_very_long_lines_in_seconds():
     assert lines.similar(one, "".join(edited), 0.9) and not lines.similar(one, other, 0.9)
     assert not lines.similar(one, one[:500_000] + other[500_000:], 0.9)
     assert time.monotonic() - began < 60
+
+
+def test_pairs_compared_together(monkeypatch):
+    """As one by one, whatever the width of the band and the number of pairs that share a set."""
+    rng = random.Random(13)
+    a = ["".join(rng.choice("abcé漢") for _ in range(rng.choice([0, 1, 20, 63, 64, 65, 129, 300]))) for _ in range(150)]
+    b = ["".join(c if rng.random() > p else rng.choice(["", "b", c + "c"]) for c in x) + "b" * rng.choice([0, 0, 9]) for x in a for p in [rng.choice([0.03, 0.1, 0.4])]]
+    edits = [distance(x, y) for x, y in zip(a, b, strict=True)]
+    for together in (1, lines._TOGETHER):
+        monkeypatch.setattr(lines, "_TOGETHER", together)
+        for least in (0.9, 0.4):
+            want = [d <= int(n - least * n + 1e-9) for x, y, d in zip(a, b, edits, strict=True) for n in [max(len(x), len(y))]]
+            assert lines.similar_all(a, b, least).tolist() == want and 20 < sum(want)
+    assert lines.similar_all([], [], 0.9).tolist() == []
+
+
+def test_only_similar_pairs_leave_the_blocks(spark, monkeypatch):
+    """Edited copies around a hub, in many blocks: just the similar pairs of different components become rows."""
+    monkeypatch.setattr(lines, "_BLOCK", 8)
+    rng = random.Random(14)
+    hub = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.randrange(100)}" for _ in range(40)]
+    made = [" ".join(hub)]
+    for i in range(60):
+        made.append(" ".join(w if rng.random() > 0.1 else rng.choice(hub) for w in (hub if i % 3 else made[-1].split())))
+    rows = [(i, x, 0 if i < 20 else i % 25 + 1) for i, x in enumerate(dict.fromkeys(made))]
+    df = spark.createDataFrame(rows, "id long, line string, component long")
+    placed = df.select(F.lit(7).cast("long").alias("key"), "id", F.struct(F.length("line").alias("n"), F.lit(0).cast("long").alias("sim")).alias("attr"), "component", F.lit(0).cast("long").alias("hub"))
+    got = [(r["a"], r["b"]) for r in lines.across_components(placed, df.select("id", "line"), lambda x, y: F.lit(True), 0.9).collect()]
+    want = {(a, b) for a, x, g in rows for b, y, h in rows if a < b and g != h and lines.similar(x, y, 0.9)}
+    assert sorted(got) == sorted(want) and len(want) > 10
