@@ -271,6 +271,33 @@ def _rounds(blocks: DataFrame, states: DataFrame, keys: list[str], trend: bool,
     return out
 
 
+def _finite(df: DataFrame, keys: list[str], value: str, covariate: str | None, row: Sequence[str] | None = None) -> DataFrame:
+    """(keys..., _value, _x, _id): values and covariates (0 without one), neither missing nor infinite, and what tells rows apart."""
+    x = F.col(covariate).cast("double") if covariate is not None else F.lit(0.0)
+    told = F.concat_ws("|", *[F.col(c).cast("string") for c in row]) if row else F.lit(None).cast("string")
+    rows = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_value"), F.nanvl(x, F.lit(None)).alias("_x"), told.alias("_id"))
+    return rows.where((F.abs("_value") < float("inf")) & (F.abs("_x") < float("inf")))
+
+
+def sums_at(df: DataFrame, fits: DataFrame, by: Sequence[str], value: str = "value", covariate: str | None = None) -> DataFrame:
+    """(by..., n, nllf, by_...): for each group of ``by`` the number of values that its parameters allow, their negative log-likelihood and
+    its derivative by each parameter. ``fits`` has a row of parameters for a group, by the names of ``fit_by_sums``; of
+    parameters that are missing or not finite, or allow no value, there is no row."""
+    trend, keys = covariate is not None, list(by)
+    names = NAMES[trend]
+    known = reduce(and_, [F.abs(F.nanvl(F.col(name), F.lit(None))) < float("inf") for name in names])
+    unit, tried = F.array(*[F.lit(v) for v in (0.0, 1.0, 0.0, 1.0)]), F.array(*[F.col(name).cast("double") for name in names])
+    given = written(fits.select(*keys, *names))
+    live = given.where(known).select(*keys, F.lit(-1).alias("k"), unit.alias("unit"), tried.alias("tried"))
+    rows = written(_finite(df, keys, value, covariate))
+    units = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    blocks = _packed(rows, units, keys, 0, 0)
+    sums = written(summed(blocks, live, keys, trend))
+    dropped(given, rows, units, blocks)
+    made = sums.select(*keys, (F.col("_weight") - F.col("_bad")).cast("long").alias("n"), *[F.col("_sums")[i].alias(name) for i, name in enumerate(("nllf", *[f"by_{name}" for name in names]))])
+    return made.where("n > 0")
+
+
 def fit_by_sums(
     df: DataFrame,
     by: Sequence[str],
@@ -302,9 +329,7 @@ def fit_by_sums(
     for name, at in (fixed or {}).items():
         low[names.index(name)] = high[names.index(name)] = at
 
-    x = F.col(covariate).cast("double") if trend else F.lit(0.0)
-    told = F.concat_ws("|", *[F.col(c).cast("string") for c in row]) if row else F.lit(None).cast("string")
-    rows = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_value"), F.nanvl(x, F.lit(None)).alias("_x"), told.alias("_id")).where((F.abs("_value") < float("inf")) & (F.abs("_x") < float("inf")))
+    rows = _finite(df, keys, value, covariate, row)
     if n_resamples and not row:
         rows = numbered(rows, keys, ["_value", "_x"]).select(*keys, "_value", "_x", F.col("idx").cast("string").alias("_id"))
     rows = written(rows)

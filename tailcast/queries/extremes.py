@@ -201,10 +201,9 @@ SCORED = f"""v as (select lead_time, value as v, c, location, scale from fcst jo
         round(1e3 * sum((t - 1 + c) / (w * scale)), 3) as by_location, round(1e3 * sum((1 + z * (t - 1 + c) / w) / scale), 3) as by_scale from t group by 1""")
 def gev_score(spark: SparkSession, d: str) -> DataFrame:
     """The likelihood and its gradient at the L-moment fits of each lead, of the values that these allow."""
-    p = _params(spark, d).select("lead_time", F.col("c").alias("_c"), F.col("location").alias("_mu"), F.col("scale").alias("_sigma"))
-    rows = fcst(spark, d).join(p, "lead_time").select("lead_time", "_c", "_mu", "_sigma", F.col("value").alias("_y"), F.lit(0.0).alias("_v"), F.lit(1).alias("_w"))
-    made, s = newton.summed(rows, ["lead_time"], trend=False), F.col("_sums")
-    return made.select("lead_time", (F.col("_weight") - F.col("_bad")).cast("long").alias("n"), *[F.round(f * s[i], 3).alias(name) for i, (name, f) in enumerate((("nllf", 1.0), ("by_shape", 1.0), ("by_location", 1e3), ("by_scale", 1e3)))])
+    made = newton.sums_at(fcst(spark, d), _params(spark, d), ["lead_time"])
+    rounded = (("nllf", "nllf", 1.0), ("by_shape", "by_c", 1.0), ("by_location", "by_location", 1e3), ("by_scale", "by_scale", 1e3))
+    return made.select("lead_time", "n", *[F.round(f * F.col(c), 3).alias(name) for name, c, f in rounded])
 
 
 @query()

@@ -162,3 +162,27 @@ def test_rows_are_packed_once(spark, monkeypatch):
     for a, b in zip(*fits.values(), strict=True):
         assert a["n"] == b["n"]
         np.testing.assert_allclose(list(a)[3:], list(b)[3:], rtol=1e-4, atol=1e-4)
+
+
+def test_sums_at_given_parameters(spark, monkeypatch):
+    """Likelihoods, and slopes as differences have them, of the values that the parameters allow, in blocks of any size; groups without parameters have no row."""
+    monkeypatch.setattr(newton, "BLOCK_ROWS", 37)
+    x = np.linspace(0, 1, 300)
+    samples = {"a": (draws(0.2, 5, 2, 300, 1), x), "b": (draws(-0.3, -10, 4, 300, 2, 3.0, 1.0, x), x), "gumbel": (draws(1e-9, 0, 1, 300, 3), x), "none": (draws(0.1, 0, 1, 9, 4), x[:9]), "nan": (draws(0.1, 0, 1, 9, 5), x[:9]), "above": (np.full(9, 99.0), x[:9])}
+    df = frame(spark, samples).withColumn("g", F.when(F.col("g") != "b", F.col("g"))).union(frame(spark, {"a": ([math.nan, math.inf], [0.0, 0.0])}))
+    given = {"a": (0.4, 5.0, 2.0), None: (-0.3, -10.0, 4.0), "gumbel": (0.0, 0.1, 1.1), "none": (None, 0.0, 1.0), "nan": (math.nan, 0.0, 1.0), "above": (0.5, 0.0, 1.0), "elsewhere": (0.1, 0.0, 1.0)}
+    fits = spark.createDataFrame([(g, *p) for g, p in given.items()], "g string, c double, location double, scale double")
+    got = {r["g"]: r for r in newton.sums_at(df, fits, ["g"]).collect()}
+    assert set(got) == {"a", None, "gumbel"} and 200 < got["a"]["n"] < 300 == got[None]["n"]
+    for g, p in [(g, np.array(given[g])) for g in got]:
+        values = samples[g or "b"][0]
+        values = values[p[0] * (values - p[1]) < 0.999 * p[2]] if g == "a" else values
+        inner = spark.createDataFrame([(g, float(v)) for v in values], "g string, value double")
+        r = newton.sums_at(inner, fits, ["g"]).first()
+        assert r["n"] == len(values) and math.isclose(r["nllf"], gev_nll(p[None], values[None])[0], rel_tol=1e-9)
+        slope = [(gev_nll((p + h)[None], values[None])[0] - gev_nll((p - h)[None], values[None])[0]) / 2e-6 for h in 1e-6 * np.eye(3)]
+        np.testing.assert_allclose([r["by_c"], r["by_location"], r["by_scale"]], slope, rtol=1e-4, atol=1e-3)
+    trends = spark.createDataFrame([(None, -0.3, -10.0, 3.0, 4.0, 1.0)], "g string, c double, location_0 double, location_1 double, scale_0 double, scale_1 double")
+    r, y = newton.sums_at(df, trends, ["g"], covariate="x").first(), samples["b"][0]
+    one = [gev_nll(np.array([[-0.3, -10 + 3 * v, 4 + v]]), np.array([[u]]))[0] for u, v in zip(y, x, strict=True)]
+    assert r["n"] == 300 and math.isclose(r["nllf"], sum(one), rel_tol=1e-9) and {"by_location_1", "by_scale_1"} <= set(r.asDict())
