@@ -433,8 +433,6 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
     read = saved(docs.mapInArrow(hashed, f"doc_id long, line int, id long, check long, attr {_ATTR}, keys array<long>"))
     seen = read.select("doc_id", "line", "id", "check")
-    at = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")).alias("first")
-    nodes = saved(read.groupBy("id", "check").agg(at, F.count("*").alias("n")))
 
     def could(lo: Column, hi: Column, few: Column, apart: Column) -> Column:
         return (lo >= similarity * hi - 1e-9) & (few | (F.bit_count(apart) <= BITS))
@@ -460,7 +458,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
     held = read.where("size(keys) > 0").select("id", "attr", "keys").mapInArrow(keyed, "key long, id long, n int, sim long")
     held = saved(held.join(keys, "key", "left_semi").distinct())
-    members = shared_only(held.select("key", "id"), held.select("id", "n", "sim").distinct().select("id", F.struct("n", "sim").alias("attr")), pair)
+    members = shared_only(held.select("key", "id", F.struct("n", "sim").alias("attr")), None, pair)
 
     wanted = saved(members.select("id").distinct())
     bitmap = id_bitmap(wanted)
@@ -486,12 +484,15 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
     linked = link(members, near, verified, lambda placed: across_components(placed, text, near, similarity), SMALL)
     # a line that is linked with no other is named by all 128 bits, so that no unequal lines share a name
-    placed = nodes.join(linked, "id", "left").select("id", "check", F.coalesce("component", "id").alias("group"), F.when(F.col("component").isNull(), F.col("check")).alias("rest"), "first", "n")
-    groups = placed.groupBy("group", "rest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("group", F.col("rest").alias("other"), "first")
-    named = placed.select("id", "check", "group", "rest").join(groups, "group").where(F.col("rest").eqNullSafe(F.col("other"))).select("id", "check", "first")
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))
-    gone = saved(seen.join(named, ["id", "check"]).where(later).groupBy("doc_id").agg(F.collect_set("line").alias("removed")))
-    discard(read, nodes, keys, held, members, wanted, text, linked)
+    nodes = seen.groupBy("id", "check").agg(F.count("*").alias("n")).join(small_side(linked), "id", "left").where("n > 1 or component is not null")
+    named = saved(nodes.select("id", "check", F.coalesce("component", "id").alias("group"), F.when(F.col("component").isNull(), F.col("check")).alias("rest")))
+    places = saved(seen.join(small_side(named), ["id", "check"]).select("doc_id", "line", "group", "rest"))
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")).alias("first")
+    firsts = saved(places.groupBy("group", F.col("rest").alias("other")).agg(at))
+    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))
+    later = places.join(small_side(firsts), "group").where(F.col("rest").eqNullSafe(F.col("other")) & again)
+    gone = saved(later.groupBy("doc_id").agg(F.collect_set("line").alias("removed")))
+    discard(read, keys, held, members, wanted, text, linked, named, places, firsts)
     return gone
 
 

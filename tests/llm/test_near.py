@@ -1,7 +1,9 @@
 import random
 import re
 
-from tailcast.llm import near
+from tailcast.llm import graph, near
+from tailcast.llm.buckets import link
+from tailcast.llm.common import saved
 from tailcast.llm.graph import components
 
 
@@ -103,3 +105,41 @@ def test_exact_mode(spark):
     few = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, tables=1).collect()}
     assert few != want
     assert {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, tables=1, exact=True).collect()} == want
+
+
+def _reachable(edges):
+    name = {}
+    for a, b in edges:
+        x, y = name.get(a, {a}), name.get(b, {b})
+        for i in x | y:
+            name[i] = x | y
+    return {i: min(s) for i, s in name.items()}
+
+
+def test_components_end_as_soon_as_edges_are_stars(spark, monkeypatch):
+    """A star forest needs no round; joins with few and with many ids name paths, circles and equal edges alike."""
+    rng, made = random.Random(3), []
+    monkeypatch.setattr(graph, "saved", lambda df: made.append(saved(df)) or made[-1])
+    stars = [(k * 100, k * 100 + i) for k in range(5) for i in range(1, 9)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame([e[::-1] if rng.random() < 0.5 else e for e in stars], "a long, b long")).collect()}
+    assert got == _reachable(stars) and len(made) == 2
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + (i * 7 + 1) % 30) for i in range(30)] + [(rng.randrange(200, 320), rng.randrange(200, 320)) for _ in range(70)]
+    edges += [(b, a) for a, b in edges[::3]] + [(-5, 7), (900, 900)]
+    wanted = _reachable([e for e in edges if e[0] != e[1]])
+    for most in (50_000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+        assert {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == wanted
+
+
+def test_later_links_join_components(spark):
+    """Links found across components put these together whole, single members too, as links of all pairs of a bucket would."""
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(25), rng.randrange(1000, 1090)) for _ in range(160)})
+    ids = {}
+    for key, i in rows:
+        ids.setdefault(key, []).append(i)
+    good = lambda a, b: (a * 7 + b * 13) % 5 == 0
+    members = spark.createDataFrame([(k, i, 1, len(ids[k])) for k, i in rows], "key long, id long, attr int, members long")
+    keep = lambda pairs: pairs.where("(a * 7 + b * 13) % 5 = 0")
+    got = link(members, lambda x, y: x == y, keep, lambda placed: placed.selectExpr("id as a", "id as b").limit(0), 1000)
+    assert {r["id"]: r["component"] for r in got.collect()} == _reachable([(a, b) for v in ids.values() for a in v for b in v if a < b and good(a, b)])
